@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relomap.llm.common import held_side, train_side
 from relomap.llm.exact_dedup import exact_dedup
+from relomap.llm.langid import fit_language, identify_language
 from relomap.llm.packing import PackOptions, pack_documents
+from relomap.llm.pieces import encode_documents
+from relomap.llm.quality import fit_quality, score_quality
 from relomap.llm.sharding import shard_documents
+from relomap.llm.topk import top_k
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +37,28 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "n_tokens", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit_language(docs, train_side("doc_id", 4, 2))
+    found = identify_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_side("doc_id", 4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train_side("doc_id", 4, 2))
+    found = score_quality(docs, model)
+    return found.select("doc_id", held_side("doc_id", 4, 2).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), digests=True)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), PackOptions(tokenizer=tokenizer_path("byte_bpe_50k.json")))
 
@@ -39,6 +66,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sharding": op3_sharding,
+    "op4_language_id": op4_language_id,
+    "op6_top_k": op6_top_k,
+    "op7_quality": op7_quality,
+    "op8_pieces": op8_pieces,
     "op10_packing": op10_packing,
 }
 
@@ -51,4 +82,11 @@ ORACLE_SQL: dict[str, str] = {
         w AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id,
                      count(*) OVER (PARTITION BY h) AS size FROM d)
         SELECT doc_id, keep_id, size AS group_size, keep_id = doc_id AS kept, h AS text_sha256 FROM w""",
+    "op6_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+              FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
 }
