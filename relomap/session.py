@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +30,19 @@ def local_session(cpus: int | str | None = None, shuffle_partitions: int = 8, **
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to this application's Python workers, once; they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="relomap-code-")) / "relomap.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, f"relomap/{path.relative_to(root)}")
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
