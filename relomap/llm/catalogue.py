@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relomap.llm.common import held_side, train_side
 from relomap.llm.exact_dedup import exact_dedup
 from relomap.llm.langid import fit_language, identify_language
+from relomap.llm.lattice import LatticeOptions, score_documents
 from relomap.llm.packing import PackOptions, pack_documents
 from relomap.llm.pieces import encode_documents
 from relomap.llm.quality import fit_quality, score_quality
@@ -59,6 +60,12 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), digests=True)
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    scored = score_documents(docs, train_side("doc_id", 7, 2), LatticeOptions(vocabulary=tokenizer_path("piece_bpe_32k.model")))
+    return scored.select("doc_id", (~F.col("learned_from")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), PackOptions(tokenizer=tokenizer_path("byte_bpe_50k.json")))
 
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_top_k": op6_top_k,
     "op7_quality": op7_quality,
     "op8_pieces": op8_pieces,
+    "op9_lattice": op9_lattice,
     "op10_packing": op10_packing,
 }
 
