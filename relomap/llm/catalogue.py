@@ -11,6 +11,7 @@ from relomap.llm.common import held_side, train_side
 from relomap.llm.exact_dedup import exact_dedup
 from relomap.llm.langid import fit_language, identify_language
 from relomap.llm.lattice import LatticeOptions, score_documents
+from relomap.llm.line_dedup import dedup_lines
 from relomap.llm.packing import PackOptions, pack_documents
 from relomap.llm.pieces import encode_documents
 from relomap.llm.quality import fit_quality, score_quality
@@ -45,6 +46,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_side("doc_id", 4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_documents(spark, sf_dir))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
+    "op5_line_dedup": op5_line_dedup,
     "op6_top_k": op6_top_k,
     "op7_quality": op7_quality,
     "op8_pieces": op8_pieces,

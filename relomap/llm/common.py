@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from relomap.session import ship
 
 #: Bytes of an Arrow batch that goes to a Python worker; a batch of very long texts then stays small.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: ASCII white space as the contracts list it: space and the characters from tab to carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -30,7 +30,7 @@ def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes and by rows, so that a worker's memory does not follow the text length."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
 
 
 def scratch_root(spark: SparkSession) -> str:
