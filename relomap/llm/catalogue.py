@@ -12,6 +12,7 @@ from relomap.llm.exact_dedup import exact_dedup
 from relomap.llm.langid import fit_language, identify_language
 from relomap.llm.lattice import LatticeOptions, score_documents
 from relomap.llm.line_dedup import dedup_lines
+from relomap.llm.ngram_join import ngram_join
 from relomap.llm.packing import PackOptions, pack_documents
 from relomap.llm.pieces import encode_documents
 from relomap.llm.quality import fit_quality, score_quality
@@ -30,6 +31,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
@@ -76,6 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
