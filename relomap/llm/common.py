@@ -2,30 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from relomap.session import ship
+from relomap.tables import forget, scratch_root, written
+
+__all__ = ["ASCII_SPACE", "flat_bytes", "forget", "held_side", "mix64", "row_ids", "runs_of", "scratch_root", "text_of", "train_side", "tune", "written"]
 
 #: Bytes of an Arrow batch that goes to a Python worker; a batch of very long texts then stays small.
 BATCH_BYTES = 4 << 20
 #: ASCII white space as the contracts list it: space and the characters from tab to carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-_written: list[tuple[SparkSession, str]] = []
-_own_root = ""
-
-
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes and by rows, so that a worker's memory does not follow the text length."""
     ship(spark)
@@ -33,64 +28,12 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = _own_root or _make_own_root()
-    return root.rstrip("/")
-
-
-def _make_own_root() -> str:
-    global _own_root
-    _own_root = "file://" + tempfile.mkdtemp(prefix="relomap-")
-    return _own_root
-
-
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors, fixes row ids."""
-    path = f"{scratch_root(spark)}/relomap-tables/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_remove_all)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._relomap_path = path  # type: ignore[attr-defined]
-    return out
-
-
-def forget(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for table in tables:
-        path = getattr(table, "_relomap_path", None)
-        if path:
-            _remove(spark, path)
-            with contextlib.suppress(ValueError):
-                _written.remove((spark, path))
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _remove_all() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):
-            _remove(spark, path)
-
-
 def row_ids() -> Iterator[int]:
     """Ids that are unique over the tasks of a stage; stable only once the rows have been written."""
     base = TaskContext.get().partitionId() << 40
     return (base + i for i in count())
 
 
-def long_array(values: object) -> pa.Array:
-    return pa.array(np.asarray(values, dtype=np.int64))
-
-
 def text_of(column: Column | str = "text") -> Column:
     """A text column with null as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")
