@@ -33,20 +33,20 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose lattices are worked on together.
 GROUP = 20_000
 #: Distinct words that a worker's table holds besides the broadcast ones, and that a partial count holds.
-TABLE = 300_000
+TABLE = 200_000
 
 
 @dataclass(frozen=True)
 class LatticeOptions:
     vocabulary: str = ""
     rounds: int = 3
-    classes: int = 8
+    classes: int = 6
     #: Training texts, those of smallest hashed content, that the classes' seeds are found on.
     seed_texts: int = 2000
     #: Added to each piece's expected count.
     smoothing: float = 0.1
     #: Commonest words whose counts are broadcast; a bound on that table, not on the words counted.
-    common: int = 250_000
+    common: int = 200_000
 
 
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
@@ -81,8 +81,9 @@ class Lattice:
         order = np.argsort(codes)
         self.codes, self.entry, self.logp = codes[order], order, np.atleast_2d(logp)
         self.lengths = sorted({len(p) for p in pieces})
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(self.codes >> np.uint64(44)).astype(np.int64)] = True
+        #: By the upper bits of a code the place of one such code, or -1; codes that share those bits are searched for.
+        self.place = np.full(1 << 20, -1, dtype=np.int32)
+        self.place[(self.codes >> np.uint64(44)).astype(np.int64)] = np.arange(len(codes))
 
     @staticmethod
     def _code(piece: bytes) -> int:
@@ -111,9 +112,12 @@ class Lattice:
             if n not in self.lengths:
                 continue
             mixed = code * np.uint64(0xFF51AFD7ED558CCD)
-            hit = np.flatnonzero(self.maybe[(mixed >> np.uint64(44)).astype(np.int64)])
-            spot = np.minimum(np.searchsorted(self.codes, mixed[hit]), len(self.codes) - 1)
-            same = self.codes[spot] == mixed[hit]
+            spot = self.place[(mixed >> np.uint64(44)).astype(np.int64)]
+            hit = np.flatnonzero(spot >= 0)
+            spot, mixed = spot[hit], mixed[hit]
+            other = np.flatnonzero(self.codes[spot] != mixed)
+            spot[other] = np.minimum(np.searchsorted(self.codes, mixed[other]), len(self.codes) - 1)
+            same = self.codes[spot] == mixed
             start = at[hit[same]]
             last = (room[start] == n) * (self.logp.shape[1] // 2)
             found.append((start, np.full(len(start), n), self.entry[spot[same]] + last))
@@ -122,13 +126,18 @@ class Lattice:
         return node, node + n, entry, place[start], place[start] + n, begin + np.arange(len(raw))
 
     def _sweep(self, values: np.ndarray, source: np.ndarray, target: np.ndarray, weight: np.ndarray, level: np.ndarray, back: bool) -> None:
-        order = np.lexsort((target, -level if back else level))
+        order = np.argsort((level.max() - level if back else level) * len(values) + target)
         source, target, weight, level = source[order], target[order], weight[order], level[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(level)]])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             into = target[a:b]
-            heads = np.concatenate([[0], np.flatnonzero(np.diff(into)) + 1])
-            values[into[heads]] = np.logaddexp.reduceat(values[source[a:b]] + weight[a:b], heads, axis=0)
+            heads = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]]))
+            x = values[source[a:b]] + weight[a:b]
+            if len(heads) < b - a:  # log of the sum over the arcs into a node, about their largest
+                top = np.maximum.reduceat(x, heads, axis=0)
+                x = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(heads, b - a)), axis=0)), heads, axis=0))
+            values[into[heads]] = x
+
 
     def marginals(self, words: list[bytes]) -> np.ndarray:
         """Natural-log probability of each marked word in each class, over all its segmentations."""
@@ -258,22 +267,57 @@ def estimate(counts: DataFrame, classes: int, o: LatticeOptions) -> tuple[list[b
     return pieces, logp
 
 
+class _Index(dict):
+    """Numbers for words; a word that is new gets the next one and is noted in ``fresh``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
+def _common(counts: DataFrame, shared, most: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """At most ``most`` of the commonest words, with counts and marginals: all words from some count on."""
+    steps = counts.groupBy(F.floor(F.log2("c") * 16).alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("step").desc()).collect()  # under 1100 steps
+    least, held = None, 0
+    for step, n in steps:
+        held += n
+        if held > most:
+            break
+        least = step
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(*shared.value)
+        for batch in batches:
+            rows = lattice.marginals(batch.column(0).to_pylist()) if batch.num_rows else []
+            yield batch.append_column("m", pa.array(list(rows), type=pa.list_(pa.float64())))
+
+    if least is None:
+        return [], np.zeros(0), np.zeros((0, len(shared.value[1])))
+    top = counts.where(F.floor(F.log2("c") * 16) >= least).select("word", "c").mapInArrow(measure, "word binary, c long, m array<double>").toArrow()
+    rows = np.asarray(top.column("m").combine_chunks().flatten()).reshape(top.num_rows, -1)
+    return top.column("word").to_pylist(), top.column("c").to_numpy(), rows
+
+
 def _scorer(pieces, common, end_log, log_prior, log_word, log_end):
     """Rows of texts to rows with what is known locally, and the words that must be looked up."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, logp = pieces.value
         lattice, ids = Lattice(names, logp), row_ids()
-        known_words, known_counts = common.value
-        index: dict[bytes, int] = {}
-        marginal = np.zeros((0, len(logp)))
-        counts = np.zeros(0)
+        known_words, known_counts, known_marginals = common.value
+        index = _Index()
+        marginal, counts, logs_of = known_marginals, known_counts, np.log10(known_counts + 1.0)
 
         def reset() -> None:
-            nonlocal marginal, counts
+            nonlocal marginal, counts, logs_of
             index.clear()
             index.update(zip(known_words, range(len(known_words)), strict=True))
-            marginal, counts = np.full((len(index), len(logp)), np.nan), known_counts.astype(np.float64)
+            marginal, counts, logs_of = known_marginals, known_counts, np.log10(known_counts + 1.0)
 
         reset()
         for batch in batches:
@@ -281,27 +325,25 @@ def _scorer(pieces, common, end_log, log_prior, log_word, log_end):
                 reset()
             cut = [words_of(t) for t in batch.column(1).to_pylist()]
             words = [w for c in cut for w in c]
-            found = list(map(index.get, words))
-            if None in found:
-                new = [w for w in dict.fromkeys(words) if w not in index]
-                index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-                marginal = np.concatenate([marginal, np.full((len(new), len(logp)), np.nan)])
-                counts = np.concatenate([counts, np.full(len(new), -1.0)])
-                found = list(map(index.get, words))
-            at = np.array(found, dtype=np.int64)
-            fresh = np.unique(at[np.isnan(marginal[at, 0])])
-            if len(fresh):
-                spot = dict(zip(at.tolist(), words, strict=True))
-                marginal[fresh] = lattice.marginals([spot[i] for i in fresh.tolist()])
+            at = np.array(list(map(index.__getitem__, words)), dtype=np.int64)
+            if index.fresh:
+                marginal = np.concatenate([marginal, lattice.marginals(index.fresh)])
+                counts = np.concatenate([counts, np.full(len(index.fresh), -1)])
+                logs_of = np.concatenate([logs_of, np.zeros(len(index.fresh))])
+                index.fresh.clear()
             lengths = np.array([len(c) for c in cut], dtype=np.int64)
             owner = np.repeat(np.arange(len(cut)), lengths)
             c = counts[at]
             here = c >= 0
             n = len(cut)
-            model = np.stack([np.bincount(owner, marginal[at, k], n) for k in range(len(logp))], axis=1) + log_prior + lengths[:, None] * log_word + log_end
+            model = np.zeros((n, len(logp)))
+            some = np.flatnonzero(lengths)
+            if len(some):
+                model[some] = np.add.reduceat(marginal[at], (np.cumsum(lengths) - lengths)[some], axis=0)
+            model += log_prior + lengths[:, None] * log_word + log_end
             model = np.logaddexp.reduce(model, axis=1)
-            logs = np.bincount(owner[here], np.log10(c[here] + 1), n) + end_log
-            known = np.bincount(owner[here], c[here] > 0, n).astype(np.int64)
+            logs = np.bincount(owner, logs_of[at], n) + end_log
+            known = np.bincount(owner, c > 0, n).astype(np.int64)
             rare, many, ends = [], [], [0]
             for a, b in zip(np.cumsum(lengths) - lengths, np.cumsum(lengths), strict=True):
                 some = Counter(words[a + j] for j in np.flatnonzero(~here[a:b]))
@@ -344,9 +386,8 @@ def score_documents(docs: DataFrame, learn: Column, options: LatticeOptions, id_
     prior = np.log((texts + 1) / (texts + 1).sum())
     end = (texts + 1) / (words + texts + 2)  # chance that a text ends rather than goes on with a word
 
-    top = counts.orderBy(F.col("c").desc(), "word").limit(o.common).toArrow()
-    common = spark.sparkContext.broadcast((top.column("word").to_pylist(), top.column("c").to_numpy()))
     shared = spark.sparkContext.broadcast((pieces, logp))
+    common = spark.sparkContext.broadcast(_common(counts, shared, o.common))
     schema = f"row_id long, doc_id {kind}, n_tokens long, known long, logs double, score double, rare array<binary>, many array<long>, learn boolean"
     scorer = _scorer(shared, common, float(np.log10(ended + 1)), prior, np.log1p(-end), np.log(end))
 
