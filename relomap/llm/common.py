@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from relomap.session import ship
 from relomap.tables import forget, scratch_root, written
 
-__all__ = ["ASCII_SPACE", "flat_bytes", "forget", "held_side", "mix64", "row_ids", "runs_of", "scratch_root", "text_of", "train_side", "tune", "written"]
+__all__ = ["ASCII_SPACE", "flat_bytes", "forget", "hashed_share", "held_side", "mix64", "row_ids", "runs_of", "scratch_root", "text_of", "train_side", "tune", "written"]
 
 #: Bytes of an Arrow batch that goes to a Python worker; a batch of very long texts then stays small.
 BATCH_BYTES = 4 << 20
@@ -49,6 +49,11 @@ def held_side(column: str, modulus: int, held: int) -> Column:
     return (F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus) == held
 
 
+def hashed_share(column: Column, most: Column | float, of: Column | float) -> Column:
+    """True for a share ``most / of`` of the values of a column, by their hash: a bounded sample that no task must sort."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < F.lit(float(1 << 30)) * most / F.greatest(F.lit(1.0), of if isinstance(of, Column) else F.lit(float(of)))
+
+
 def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The runs of equal ``key`` in sorted batches, one table each. Callers bound the rows of a key."""
     waiting: list[pa.RecordBatch] = []

@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import mix64, text_of, tune
+from relomap.llm.common import hashed_share, mix64, text_of, tune
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -36,7 +36,7 @@ RANGE = 25.0
 
 @dataclass(frozen=True)
 class LanguageOptions:
-    #: Texts per language that are learned from, those of smallest hashed id: the bound on the driver's sample.
+    #: Texts per language that are learned from, about so many and by hashed id: the bound on the driver's sample.
     texts_per_language: int = 400
     #: Words of such a text that are learned from: a window at a place that the id's hash gives.
     words_per_text: int = 400
@@ -239,27 +239,21 @@ def fit_language(docs: DataFrame, learn: Column, options: LanguageOptions | None
     tune(docs.sparkSession)
     known = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(1)).alias("h"), F.col(text_col).alias("text"))
+    sizes = docs.where(learn & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.orderBy(F.col("n").desc(), "lang").limit(o.languages)
+    chosen = known.join(F.broadcast(sizes), "lang").where(hashed_share(F.col("h"), o.texts_per_language, F.col("n"))).drop("n")
 
     def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, list[tuple[int, list[str]]]] = {}
-        for batch in batches:  # a task keeps as many texts of each language as the sample may hold
-            for lang, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kept = best.setdefault(lang, [])
-                if len(kept) >= 2 * o.texts_per_language:
-                    kept.sort()
-                    del kept[o.texts_per_language :]
-                if len(kept) >= o.texts_per_language and h > max(x[0] for x in kept[: o.texts_per_language]):
-                    continue
+        for batch in batches:
+            lang, h, texts = batch.columns
+            cut = []
+            for number, text in zip(h.to_pylist(), texts.to_pylist(), strict=True):
                 words = text.split()
-                at = h % max(1, len(words) - o.words_per_text + 1)
-                kept.append((h, words[at : at + o.words_per_text]))
-        for lang, kept in best.items():
-            kept.sort()
-            del kept[o.texts_per_language :]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kept)), pa.array([h for h, _ in kept]), pa.array([w for _, w in kept], type=pa.list_(pa.string()))], ["lang", "h", "words"])
-
-    ranked = known.mapInArrow(window, "lang string, h long, words array<string>").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "words")))
-    rows = ranked.where(F.col("r") <= o.texts_per_language).select("lang", "h", "words").collect()
+                at = number % max(1, len(words) - o.words_per_text + 1)
+                cut.append(words[at : at + o.words_per_text])
+            yield pa.RecordBatch.from_arrays([lang, h, pa.array(cut, type=pa.list_(pa.string()))], ["lang", "h", "words"])
+
+    rows = chosen.mapInArrow(window, "lang string, h long, words array<string>").collect()  # a bounded sample
     return fit([(lang, words) for lang, _, words in sorted((r.lang, r.h, r.words) for r in rows)], o)
 
 

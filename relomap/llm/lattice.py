@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import row_ids, text_of, tune, written
+from relomap.llm.common import hashed_share, row_ids, text_of, tune, written
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose lattices are worked on together.
@@ -40,8 +40,8 @@ TABLE = 200_000
 class LatticeOptions:
     vocabulary: str = ""
     rounds: int = 3
-    classes: int = 6
-    #: Training texts, those of smallest hashed content, that the classes' seeds are found on.
+    classes: int = 4
+    #: Training texts, about so many and by hashed content, that the classes' seeds are found on.
     seed_texts: int = 2000
     #: Added to each piece's expected count.
     smoothing: float = 0.1
@@ -371,7 +371,8 @@ def score_documents(docs: DataFrame, learn: Column, options: LatticeOptions, id_
     tune(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    chosen = base.where("learn").select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(o.seed_texts).select("text")
+    learned = base.where("learn").count()
+    chosen = base.where(F.col("learn") & hashed_share(F.col("text"), o.seed_texts, learned)).select("text").distinct()
     sample = chosen.mapInArrow(_bucket_rows, "row array<float>").toArrow().column("row").combine_chunks()
     seeds = seed_classes(np.asarray(sample.flatten(), dtype=np.float64).reshape(-1, BUCKETS), o.classes)
     by_kind = written(spark, word_counts(base.where("learn"), seeds), "word-counts")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import flat_bytes, text_of, tune
+from relomap.llm.common import flat_bytes, hashed_share, text_of, tune
 
 # Classes of bytes; shares of a text's bytes are features.
 _CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "comma", "bar", "loud", "quote", "bracket", "symbol", "dash", "high", "control")
@@ -67,7 +67,7 @@ class QualityOptions:
     l2: float = 1.0
     #: Least sum of hessians in a leaf.
     least: float = 3.0
-    #: Labelled rows that are learned from at most, those of smallest hashed id: the bound on the driver's sample.
+    #: Labelled rows that are learned from, about so many at most and by hashed id: the bound on the driver's sample.
     max_rows: int = 20_000
     #: A row is predicted 1 from this score on.
     threshold: float = 0.7
@@ -159,14 +159,14 @@ def fit(rows: np.ndarray, labels: np.ndarray, o: QualityOptions) -> BoostedTrees
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, options: QualityOptions | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> BoostedTrees:
-    """Fit on the texts of at most ``max_rows`` labelled rows, those where ``learn`` (over labels) holds.
+    """Fit on the texts of about ``max_rows`` labelled rows at most, of those where ``learn`` (over labels) holds.
 
     Rows whose id, text or label is null are not learned from; an id with several labels or texts counts once for each.
     """
     o = options or QualityOptions()
     tune(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & learn).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(o.max_rows)  # bounded, so it may be broadcast
+    chosen = chosen.where(hashed_share(F.col("_id"), o.max_rows, chosen.count()))  # bounded, so it may be broadcast
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
