@@ -54,7 +54,7 @@ def locate(lines: DataFrame, patterns: DataFrame, separator: str = " ", window:
     met = windows.join(wanted, "id")
     single = F.instr("line", F.col("text")) > 0
     place = F.instr(F.array_join("_ahead", separator), F.col("text"))
-    ends = F.aggregate("_ahead", F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.element_at(acc, -1), F.lit(-len(separator))) + len(separator) + F.length(x)))
+    ends = F.aggregate("_ahead", F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-len(separator))) + len(separator) + F.length(x)))
     ended = met.withColumns({"_single": single, "_place": place}).where("_single OR _place > 0").withColumn("_ends", F.when(F.col("_single"), F.array().cast("array<int>")).otherwise(ends))
     last = F.col("_place") + F.length("text") - 1
     upto = F.size(F.filter("_ends", lambda e: e < last))  # lines of the window before the one in which the text ends
