@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from itertools import count
 
 import numpy as np
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from relomap.session import ship
 from relomap.tables import forget, scratch_root, written
 
-__all__ = ["ASCII_SPACE", "flat_bytes", "forget", "hashed_share", "held_side", "mix64", "row_ids", "runs_of", "scratch_root", "text_of", "train_side", "tune", "written"]
+__all__ = ["ASCII_SPACE", "flat_bytes", "forget", "hashed_share", "held_side", "lean", "mix64", "row_ids", "runs_of", "scratch_root", "text_of", "train_side", "tune", "written"]
 
 #: Bytes of an Arrow batch that goes to a Python worker; a batch of very long texts then stays small.
 BATCH_BYTES = 4 << 20
@@ -49,6 +52,21 @@ def held_side(column: str, modulus: int, held: int) -> Column:
     return (F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus) == held
 
 
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker's function that gives memory back when it ends: workers live on, and what they keep is lost to others."""
+
+    @wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def hashed_share(column: Column, most: Column | float, of: Column | float) -> Column:
     """True for a share ``most / of`` of the values of a column, by their hash: a bounded sample that no task must sort."""
     return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < F.lit(float(1 << 30)) * most / F.greatest(F.lit(1.0), of if isinstance(of, Column) else F.lit(float(of)))

@@ -17,12 +17,15 @@ SLICE = 1 << 20
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
-    """(length difference, segment from 0, shift from the segment's place) of every substring that is probed."""
+    """(length difference, segment from 0, shift from the segment's place) of every substring that is probed.
+
+    A line's own segments are not: lines of one length that share a segment in place meet as index rows.
+    """
     out = []
     for delta in range(edits + 1):
         for i in range(edits + 1):
             room = edits - i
-            out += [(delta, i, d) for d in range(max(-i, delta - room), min(i, delta + room) + 1)]
+            out += [(delta, i, d) for d in range(max(-i, delta - room), min(i, delta + room) + 1) if delta or d]
     return out
 
 

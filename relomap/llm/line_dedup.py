@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import runs_of, text_of, tune, written
+from relomap.llm.common import lean, runs_of, text_of, tune, written
 from relomap.llm.components import Forest, components
 from relomap.llm.editjoin import Signer, within
 
@@ -43,7 +43,7 @@ def _sign(edits: int):
         signer, seen = Signer(edits), set()
         for batch in batches:
             h1, h2 = (batch.column(i).to_numpy() for i in (1, 2))
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             fresh = []
             for i, key in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):  # a task signs copies of a line once
@@ -119,10 +119,11 @@ def _verify(edits: int):
             node, probe, side = (run.column(n).to_numpy(zero_copy_only=False) for n in ("node", "probe", "side"))
             text = run.column("text").to_pylist()
             index, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
-            if len(index) * len(probes) <= 2000:
-                for i in index.tolist():
-                    for j in probes.tolist():
-                        if node[i] != node[j] and side[i] != 1 - side[j]:
+            order = np.concatenate([index, probes]).tolist()  # an index row meets later index rows and all probes
+            if len(index) * len(order) <= 2000:
+                for at, i in enumerate(index.tolist(), 1):
+                    for j in order[at:]:
+                        if node[i] != node[j] and (side[i] == 2 or side[i] != side[j]):
                             left.append(place(node[i], text[i]))
                             right.append(place(node[j], text[j]))
                 if len(left) > 20_000 or sum(map(len, texts[-50:])) > 1 << 22:
@@ -130,9 +131,9 @@ def _verify(edits: int):
                 continue
             yield flush()
             forest = Forest(len(set(node.tolist())))
-            for i in index.tolist():  # one index row at a time, with the probes that are not linked to it yet
+            for at, i in enumerate(index.tolist(), 1):  # one index row at a time, with rows that are not linked to it yet
                 mine = place(node[i], text[i])
-                others = [place(node[j], text[j]) for j in probes.tolist() if side[i] != 1 - side[j]]
+                others = [place(node[j], text[j]) for j in order[at:] if side[i] == 2 or side[i] != side[j]]
                 root = forest.root(mine)
                 others = [o for o in dict.fromkeys(others) if forest.root(o) != root]
                 if not others:
@@ -169,8 +170,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
     firsts = written(spark, judged.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "lines")
 
-    signed = judged.select("line", "h1", "h2").mapInArrow(_sign(o.edits), "key long, probe boolean, h1 long, h2 long")
-    met = signed.repartition("key").sortWithinPartitions("key", "probe", "h1", "h2").mapInArrow(_meet, "key long, probe boolean, h1 long, h2 long")
+    signed = judged.select("line", "h1", "h2").mapInArrow(lean(_sign(o.edits)), "key long, probe boolean, h1 long, h2 long")
+    met = signed.repartition("key").sortWithinPartitions("key", "probe", "h1", "h2").mapInArrow(lean(_meet), "key long, probe boolean, h1 long, h2 long")
     met = written(spark, met, "met")
     wanted = met.select("h1", "h2").distinct()
     texts = judged.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("text"))
@@ -185,7 +186,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Side 0 or 1 tells the blocks of a pair apart, so that only rows of different ones are compared; 2 is a block with itself.
     side = F.when(low == high, 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     dealt = dealt.select(F.xxhash64("key", low, high).alias("bucket"), "node", "probe", side.alias("side"), "text")
-    edges = dealt.repartition("bucket").sortWithinPartitions("bucket", "node", "probe").mapInArrow(_verify(o.edits), "a long, b long")
+    edges = dealt.repartition("bucket").sortWithinPartitions("bucket", "node", "probe").mapInArrow(lean(_verify(o.edits)), "a long, b long")
     linked = components(edges).join(texts.select("node", "h1", "h2"), "node").select("h1", "h2", "root")
     linked = written(spark, linked, "linked")
     whole = linked.join(firsts, ["h1", "h2"]).groupBy("root").agg(F.min("first").alias("class_first"), F.sum("n").alias("class_n"))
