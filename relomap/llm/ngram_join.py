@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import flat_bytes, mix64, runs_of, text_of, tune, written
+from relomap.llm.common import flat_bytes, lean, mix64, runs_of, text_of, tune, written
 from relomap.llm.components import Forest, components
 
 _BASE = 0x9E3779B97F4A7C15
@@ -335,23 +335,23 @@ def _grams(words: int):
 def candidate_links(sets: DataFrame, o: JoinOptions) -> DataFrame:
     """Candidate links ``a``, ``b`` between nodes of ``sets`` (``node``, ``sketch``), spanning within each path's node."""
     spark = sets.sparkSession
-    rows = sets.select("node", "sketch").mapInArrow(_split(o, True), "path long, node long")
+    rows = sets.select("node", "sketch").mapInArrow(lean(_split(o, True)), "path long, node long")
     edges: DataFrame | None = None
     for level in range(o.levels + 1):
-        met = written(spark, rows.repartition("path").sortWithinPartitions("path", "node").mapInArrow(_several, "path long, node long"), "met")
+        met = written(spark, rows.repartition("path").sortWithinPartitions("path", "node").mapInArrow(lean(_several), "path long, node long"), "met")
         big = met.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("head")).where(F.col("rows") > o.local)
         big = written(spark, big, "large")
         more = big.limit(1).count() > 0
         small = met.join(big, "path", "left_anti") if more else met
         ready = small.join(sets.select("node", "sketch"), "node").select("path", "node", "sketch")
-        found = ready.repartition("path").sortWithinPartitions("path", "node").mapInArrow(_link(o), "a long, b long")
+        found = ready.repartition("path").sortWithinPartitions("path", "node").mapInArrow(lean(_link(o)), "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
         if not more:
             break
         if level == o.levels:  # still as large after so many splits: one candidate component, for the exact stage to part
             edges = edges.unionByName(met.join(big, "path").select(F.col("head").alias("a"), F.col("node").alias("b")))
             break
-        rows = met.join(big, "path", "left_semi").join(sets.select("node", "sketch"), "node").select("node", "sketch", "path").mapInArrow(_split(o, False), "path long, node long")
+        rows = met.join(big, "path", "left_semi").join(sets.select("node", "sketch"), "node").select("node", "sketch", "path").mapInArrow(lean(_split(o, False)), "path long, node long")
     return edges
 
 
@@ -371,7 +371,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tune(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
-    rows = written(spark, texts.mapInArrow(_measure(o), f"doc_id {kind}, s1 long, s2 long, n long, sketch binary, t1 long, t2 long"), "sets")
+    rows = written(spark, texts.mapInArrow(lean(_measure(o)), f"doc_id {kind}, s1 long, s2 long, n long, sketch binary, t1 long, t2 long"), "sets")
     key = ["s1", "s2", "n"]
     sets = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.min(F.struct("t1", "t2")).alias("t"))
     sets = written(spark, sets.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
@@ -381,13 +381,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = coarse.join(sets.select("node", "copies", F.col("t.t1").alias("t1"), F.col("t.t2").alias("t2")), "node")
     sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / o.block).cast("int").alias("blocks"))
     members = written(spark, members.join(sizes, "root"), "members")
-    wanted = texts.join(members.select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
-    grams = wanted.select("text", "t1", "t2").mapInArrow(_grams(o.words), "t1 long, t2 long, grams binary")
+    # The members grow with the input, so this is a shuffle join at every size.
+    wanted = texts.join(members.select("t1", "t2").hint("merge"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    grams = wanted.select("text", "t1", "t2").mapInArrow(lean(_grams(o.words)), "t1 long, t2 long, grams binary")
     dealt = members.join(grams, ["t1", "t2"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(low == high, 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     dealt = dealt.select(F.xxhash64("root", low, high).alias("bucket"), "node", "copies", side.alias("side"), "grams")
-    exact = dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_count(o), "a long, b long, links long, sets long")
+    exact = dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(lean(_count(o)), "a long, b long, links long, sets long")
     exact = written(spark, exact, "exact")
     counts = exact.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"), F.sum("sets").alias("set_links"))
     final = written(spark, components(exact.where("b IS NOT NULL").select("a", "b")), "final")
