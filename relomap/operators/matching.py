@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relomap.operators.groups import group_counts
+from relomap.tables import with_ordinals
 
 
 def _sides(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -16,13 +17,14 @@ def _sides(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
 def greedy_pairs(candidates: DataFrame, key: str = "canonical_text", id_col: str = "candidate_id") -> DataFrame:
     """``del_id``, ``ins_id``: within each content the n-th deletion with the n-th insertion, by id.
 
-    The rank within a content is taken in one window over (content, side); a content on one side only is filtered out
-    by its counts before that, so the sort carries only rows that can pair.
+    Rows that can pair are numbered in one range sort by (content, side, id), and a row's rank is its number less the
+    first of its content and side; so a content that holds a third of all rows is ranked by many tasks.
     """
     live = candidates.where("active") if "active" in candidates.columns else candidates
     two = group_counts(candidates, key, id_col).where("dels > 0 AND ins > 0").select(key, F.least("dels", "ins").alias("_pairs"))
-    rank = F.row_number().over(Window.partitionBy(key, "kind").orderBy(id_col))
-    ranked = live.select(key, "kind", id_col).join(two, key).withColumn("_rank", rank).where(F.col("_rank") <= F.col("_pairs"))
+    numbered = with_ordinals(live.select(key, "kind", id_col).join(two, key), (key, "kind", id_col), "_number")
+    firsts = numbered.groupBy(key, "kind").agg(F.min("_number").alias("_first"))
+    ranked = numbered.join(firsts, [key, "kind"]).withColumn("_rank", F.col("_number") - F.col("_first")).where(F.col("_rank") < F.col("_pairs"))
     paired = ranked.groupBy(key, "_rank").agg(F.max(F.when(F.col("kind") == "delete", F.col(id_col))).alias("del_id"), F.max(F.when(F.col("kind") == "insert", F.col(id_col))).alias("ins_id"))
     return paired.select("del_id", "ins_id")
 
