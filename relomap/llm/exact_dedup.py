@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import ASCII_SPACE, flat_bytes, text_of, tune, written
+from relomap.llm.common import ASCII_SPACE, flat_bytes, lean, text_of, tune, written
 
 #: Bytes of a chunk; the last chunk's bytes are aligned to the end of the text, so the first one may be short.
 CHUNK = 512
@@ -171,7 +171,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = members.withColumn("salt", F.explode(F.when(F.col("is_head"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array("_own"))))
     members = members.select("doc_id", "n_points", "sha", "fp", "salt", "norm", (~F.col("is_head")).alias("tail"), (F.col("salt") == F.col("_own")).alias("own"))
     compared = members.repartition("fp", "salt").sortWithinPartitions("fp", "salt", "tail")
-    checked = written(spark, compared.mapInArrow(_compare, "doc_id long, n_points long, sha string, fp long, same boolean"), "compared")
+    checked = written(spark, compared.mapInArrow(lean(_compare), "doc_id long, n_points long, sha string, fp long, same boolean"), "compared")
     # A row that differs from its representative (a collision) joins the rows with its own digest instead.
     checked = checked.withColumn("sub", F.when(F.col("same"), F.lit("")).otherwise(F.col("sha")))
     final = checked.groupBy("fp", "sub").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("head"))

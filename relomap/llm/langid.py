@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import hashed_share, mix64, text_of, tune
+from relomap.llm.common import hashed_share, lean, mix64, text_of, tune
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Words of a block of the scan.
 BLOCK = 128
 #: Distinct words whose scores a worker holds; a full table starts anew.
-TABLE = 400_000
+TABLE = 200_000
 #: Scores are kept within this distance of a word's best one, so that single-precision products do not vanish.
 RANGE = 25.0
 
@@ -108,8 +108,8 @@ class LanguageModel:
 def forward_backward(factors: np.ndarray, lengths: np.ndarray, transfer: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Marginal label distributions of all words of sequences that stand end to end in ``factors``.
 
-    ``transfer[a, b]`` weighs label b after label a; ``lengths`` are the sequences' words. Cost and memory are linear in
-    the words.
+    ``transfer[a, b]`` weighs label b after label a, and all first labels weigh the same; ``lengths`` are the sequences'
+    words. Cost and memory are linear in the words.
     """
     n, k = factors.shape
     if not n:
@@ -125,7 +125,7 @@ def forward_backward(factors: np.ndarray, lengths: np.ndarray, transfer: np.ndar
     size, first, place = size[order], first[order], np.argsort(order, kind="stable")
     live = np.searchsorted(-size, -np.arange(block), side="left")
     live = [int(x) for x in live]
-    steps = int(size.max())
+    steps, opening = int(size.max()), (rank == 0)[order]
     transfer = transfer.astype(np.float32)
 
     product = np.tile(np.eye(k, dtype=np.float32), (blocks, 1, 1))  # of each block, entry label by exit label
@@ -133,6 +133,8 @@ def forward_backward(factors: np.ndarray, lengths: np.ndarray, transfer: np.ndar
         m = live[t]
         e = factors[first[:m] + t]
         p = (product[:m] @ transfer) * e[:, None, :]
+        if t == 0:  # no transition leads to a sequence's first word
+            p[opening] = np.eye(k, dtype=np.float32) * e[opening][:, None, :]
         product[:m] = p / p.max(axis=(1, 2), keepdims=True)
     entry, leave = np.full((blocks, k), 1.0 / k, dtype=np.float32), np.ones((blocks, k), dtype=np.float32)
     deepest = int(own.max())
@@ -150,6 +152,8 @@ def forward_backward(factors: np.ndarray, lengths: np.ndarray, transfer: np.ndar
         m = live[t]
         at = first[:m] + t
         v = (state[:m] @ transfer) * factors[at]
+        if t == 0:
+            v[opening] = factors[at][opening]
         state[:m] = v / v.sum(axis=1, keepdims=True)
         alpha[at] = state[:m]
     state = leave
@@ -253,7 +257,7 @@ def fit_language(docs: DataFrame, learn: Column, options: LanguageOptions | None
                 cut.append(words[at : at + o.words_per_text])
             yield pa.RecordBatch.from_arrays([lang, h, pa.array(cut, type=pa.list_(pa.string()))], ["lang", "h", "words"])
 
-    rows = chosen.mapInArrow(window, "lang string, h long, words array<string>").collect()  # a bounded sample
+    rows = chosen.mapInArrow(lean(window), "lang string, h long, words array<string>").collect()  # a bounded sample
     return fit([(lang, words) for lang, _, words in sorted((r.lang, r.h, r.words) for r in rows)], o)
 
 
@@ -318,6 +322,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")  # type: ignore[call-overload]
+    @lean
     def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = Labeller(shared.value)
         for batch in batches:

@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import hashed_share, row_ids, text_of, tune, written
+from relomap.llm.common import hashed_share, lean, row_ids, text_of, tune, written
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose lattices are worked on together.
@@ -239,7 +239,7 @@ def word_counts(texts: DataFrame, seeds: np.ndarray) -> DataFrame:
                     yield out(kind)
         yield from map(out, range(len(held)))
 
-    return texts.select("text").mapInArrow(count, "word binary, kind int, c long").groupBy("word", "kind").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(lean(count), "word binary, kind int, c long").groupBy("word", "kind").agg(F.sum("c").alias("c"))
 
 
 def estimate(counts: DataFrame, classes: int, o: LatticeOptions) -> tuple[list[bytes], np.ndarray]:
@@ -259,7 +259,7 @@ def estimate(counts: DataFrame, classes: int, o: LatticeOptions) -> tuple[list[b
             some = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.int64()), pa.array(flat[some])], ["entry", "n"])
 
-        found = counts.where("word IS NOT NULL").select("word", "kind", "c").mapInArrow(expect, "entry long, n double")
+        found = counts.where("word IS NOT NULL").select("word", "kind", "c").mapInArrow(lean(expect), "entry long, n double")
         found = found.groupBy("entry").agg(F.sum("n").alias("n")).toArrow()  # two rows per piece and class at most
         sums = np.zeros(logp.size)
         sums[found.column("entry").to_numpy()] = found.column("n").to_numpy()
@@ -298,7 +298,7 @@ def _common(counts: DataFrame, shared, most: int) -> tuple[list[bytes], np.ndarr
 
     if least is None:
         return [], np.zeros(0), np.zeros((0, len(shared.value[1])))
-    top = counts.where(F.floor(F.log2("c") * 16) >= least).select("word", "c").mapInArrow(measure, "word binary, c long, m array<double>").toArrow()
+    top = counts.where(F.floor(F.log2("c") * 16) >= least).select("word", "c").mapInArrow(lean(measure), "word binary, c long, m array<double>").toArrow()
     rows = np.asarray(top.column("m").combine_chunks().flatten()).reshape(top.num_rows, -1)
     return top.column("word").to_pylist(), top.column("c").to_numpy(), rows
 
@@ -373,7 +373,7 @@ def score_documents(docs: DataFrame, learn: Column, options: LatticeOptions, id_
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     learned = base.where("learn").count()
     chosen = base.where(F.col("learn") & hashed_share(F.col("text"), o.seed_texts, learned)).select("text").distinct()
-    sample = chosen.mapInArrow(_bucket_rows, "row array<float>").toArrow().column("row").combine_chunks()
+    sample = chosen.mapInArrow(lean(_bucket_rows), "row array<float>").toArrow().column("row").combine_chunks()
     seeds = seed_classes(np.asarray(sample.flatten(), dtype=np.float64).reshape(-1, BUCKETS), o.classes)
     by_kind = written(spark, word_counts(base.where("learn"), seeds), "word-counts")
     counts = by_kind.where("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c"))
@@ -403,7 +403,7 @@ def score_documents(docs: DataFrame, learn: Column, options: LatticeOptions, id_
         for out in scorer(pass_on()):
             yield out.append_column("learn", sides.pop(0))
 
-    rows = written(spark, base.mapInArrow(with_side, schema), "scored")
+    rows = written(spark, base.mapInArrow(lean(with_side), schema), "scored")
     looked = rows.select("row_id", F.explode(F.arrays_zip("rare", "many")).alias("w")).select("row_id", F.col("w.rare").alias("word"), F.col("w.many").alias("many"))
     # Words outside the broadcast table: counts of the common ones are known, so they need not take part.
     joined = looked.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))

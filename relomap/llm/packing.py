@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from relomap.llm.common import text_of, tune, written
+from relomap.llm.common import lean, text_of, tune, written
 
 #: Characters whose classes no Unicode version changes: Latin letters, digits, punctuation and ASCII white space.
 _PLAIN = re.compile("[{}]*".format("".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ((0x09, 0x0D), (0x20, 0x7E), (0xA1, 0x24F), (0x2010, 0x2027), (0x20AC, 0x20AC)))))
@@ -198,7 +198,7 @@ def pack_documents(docs: DataFrame, options: PackOptions) -> DataFrame:
     kind = docs.schema[options.id_col].dataType.simpleString()
     base = docs.select(F.col(options.id_col).alias("doc_id"), text_of(options.text_col).alias("text"))
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, rank long, part int"
-    pieces = written(spark, base.mapInArrow(_cutter(options), schema), "pieces")
+    pieces = written(spark, base.mapInArrow(lean(_cutter(options)), schema), "pieces")
 
     # A piece's rank among all of its length: its rank in its task, after the pieces of the tasks before.
     blocks = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -242,4 +242,4 @@ def _assign(ranked: DataFrame, plan: dict[int, np.ndarray], window: int, kind: s
             own = [batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
             yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (sequence, offset, tokens, padded))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_tokens"])
 
-    return ranked.mapInArrow(assign, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_tokens long")
+    return ranked.mapInArrow(lean(assign), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_tokens long")

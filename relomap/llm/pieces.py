@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import text_of, tune
+from relomap.llm.common import lean, text_of, tune
 
 #: The library's white-space marker.
 MARK = chr(0x2581)
@@ -120,7 +120,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *names])
 
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {schema}")
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, {schema}")
 
 
 def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -135,4 +135,4 @@ def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], ["doc_id", "text"])
 
     ids = F.filter(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda x: x.isNotNull())
-    return encoded.select(F.col(id_col).alias("doc_id"), ids.alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select(F.col(id_col).alias("doc_id"), ids.alias("ids")).mapInArrow(lean(run), f"doc_id {kind}, text string")

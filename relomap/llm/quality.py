@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import flat_bytes, hashed_share, text_of, tune
+from relomap.llm.common import flat_bytes, hashed_share, lean, text_of, tune
 
 # Classes of bytes; shares of a text's bytes are features.
 _CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "comma", "bar", "loud", "quote", "bracket", "symbol", "dash", "high", "control")
@@ -174,7 +174,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, options: Qual
             rows = statistics(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(rows), type=pa.list_(pa.float32()))], ["id", "label", "row"])
 
-    got = texts.select("_text", F.col("_id").cast("string"), "_label").mapInArrow(measure, "id string, label int, row array<float>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    got = texts.select("_text", F.col("_id").cast("string"), "_label").mapInArrow(lean(measure), "id string, label int, row array<float>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     rows = np.array(got.column("row").to_pylist(), dtype=np.float32).reshape(-1, len(FEATURES))
     return fit(rows, got.column("label").to_numpy().astype(np.float64), o)
 
