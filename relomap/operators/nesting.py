@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relomap.functions.hashing import fnv1a64
-from relomap.functions.text import diff_kind, escape_canonical, existing_move_id, has_content
+from relomap.functions.text import SPACE, collapse_space, diff_kind, escape_canonical, existing_move_id, has_content
 from relomap.model import CanonicalOptions
 
 _UNIT = ("doc_id", "unit_no")
@@ -21,11 +21,14 @@ def _in_unit(*order: str) -> Window:
 
 
 def canonical_token(options: CanonicalOptions) -> Column:
-    """What a node adds to the canonical form of a region around it."""
+    """What a row of the node table adds to the canonical form of a region around it; a text adds one part for each run."""
     text = F.coalesce(F.col("content"), F.lit(""))
-    words = F.concat(F.lit("T("), escape_canonical(text), F.lit(")"))
     if options.ignore_whitespace_only_text:
-        words = F.when(has_content(text), words).otherwise("")
+        runs = F.regexp_replace(escape_canonical(collapse_space(text)), " ", ")T(")
+        words = F.when(has_content(text), F.concat(F.lit("T("), runs, F.lit(")"))).otherwise("")
+    else:
+        runs = F.regexp_extract_all(text, F.lit(f"[{SPACE}]+|[^{SPACE}]+"), 0)
+        words = F.array_join(F.transform(runs, lambda x: F.concat(F.lit("T("), escape_canonical(x), F.lit(")"))), "")
     tag = F.when(F.col("kind") == "START", F.concat(F.lit("S("), "full_name", F.lit(")"))).when(F.col("kind") == "END", F.concat(F.lit("E("), "full_name", F.lit(")"))).otherwise("")
     if options.ignore_diff_ws:
         tag = F.when(F.col("full_name") == "diff:ws", "").otherwise(tag)

@@ -1,8 +1,9 @@
 """Scan of diff documents: XML texts to an ordered node table, in one pass.
 
-Each document is parsed by expat in a Python worker. Text is split at the edges of white space, so that a region's
-canonical form does not depend on how its text was broken by markers. Every diff tag carries its path; documents that
-are not well formed give one row with ``error`` set.
+Each document is parsed by expat in a Python worker. The text between two tags is one row, but counts as many nodes as it
+has runs of white space and of other characters: indices skip accordingly, and the canonical form is split there, so that
+it does not depend on how a text was broken by markers. Every diff tag carries its path; documents that are not well
+formed give one row with ``error`` set.
 """
 
 from __future__ import annotations
@@ -66,16 +67,19 @@ def parse(doc_id: int | None, xml: str, rooted: bool = False) -> list[tuple]:
     tagged: list[tuple[int, _Element]] = []
     stack: list[_Element] = []
     text: list[str] = []
-    unit = -1
+    unit, index = -1, 0
 
-    def add(kind: str, full_name: str | None, content: str | None = None, attrs: dict[str, str] | None = None) -> None:
+    def add(kind: str, full_name: str | None, content: str | None = None, attrs: dict[str, str] | None = None, nodes: int = 1) -> None:
+        nonlocal index
         name = full_name.rpartition(":")[2] if full_name else None
-        rows.append([doc_id, len(rows), max(unit, 0), kind, name, full_name, content, list((attrs or {}).items()) if attrs is not None else None, None, None])
+        rows.append([doc_id, index, max(unit, 0), kind, name, full_name, content, list((attrs or {}).items()) if attrs is not None else None, None, None])
+        index += nodes
 
     def flush() -> None:
-        for piece in _PIECES.findall("".join(text)):
-            add("TEXT", None, piece)
-        text.clear()
+        if text:
+            whole = "".join(text)
+            add("TEXT", None, whole, nodes=len(_PIECES.findall(whole)))
+            text.clear()
 
     def start(full_name: str, flat: list[str]) -> None:
         nonlocal unit

@@ -207,3 +207,14 @@ def test_across_documents(spark):
     docs = spark.createDataFrame([(0, single(D("int a;"))), (1, single(I("int a;")))], "doc_id long, xml string")
     assert detect_moves(docs).tags.count() == 0
     assert detect_moves(docs, across_documents=True).tags.count() == 2
+
+
+def test_space_may_count(spark):
+    from relomap.model import CanonicalOptions
+
+    docs = spark.createDataFrame([(0, single(D("a \\ b")))], "doc_id long, xml string")
+    form = lambda **o: regions(scan_nodes(docs), CanonicalOptions(**o)).first()
+    assert form().canonical_text == "T(a)T(\\\\)T(b)"
+    assert form(ignore_whitespace_only_text=False).canonical_text == "T(a)T( )T(\\\\)T( )T(b)"
+    assert form(ignore_outer_diff_wrapper=False).canonical_text == "S(diff:delete)T(a)T(\\\\)T(b)E(diff:delete)"
+    assert (form().start_idx, form().end_idx) == (1, 7)  # five runs of text between the tags
