@@ -16,11 +16,12 @@ from relomap.operators.nesting import checked, regions
 from relomap.operators.registry import number_candidates
 from relomap.session import ship
 from relomap.sources.xml import scan_nodes
+from relomap.tables import written
 
 
 @dataclass
 class Moves:
-    """The tables of one detection; each is a lazy DataFrame."""
+    """The tables of one detection. Nodes, regions and candidates are written tables; what follows from them is lazy."""
 
     documents: DataFrame
     nodes: DataFrame
@@ -73,13 +74,14 @@ def detect_moves(
     """Detect moves in ``documents`` (``doc_id``, ``xml``).
 
     Contents are matched within each document, across its units; ``across_documents`` matches them over all documents.
-    Documents that are not well formed have no regions; with ``strict`` any integrity error is raised when the result is
-    computed.
+    Documents that are not well formed have no regions; with ``strict`` any integrity error is raised.
     """
-    ship(documents.sparkSession)
+    spark = documents.sparkSession
+    ship(spark)
     output = output or OutputOptions()
-    nodes = scan_nodes(documents, output.rooted_archive_paths)
-    found = regions(checked(nodes) if strict else nodes, canonical)
+    # Both tables have several readers: they are written once, so that documents are parsed once.
+    nodes = written(spark, scan_nodes(documents, output.rooted_archive_paths), "nodes")
+    found = written(spark, regions(checked(nodes) if strict else nodes, canonical), "regions")
     candidates = number_candidates(filter_regions(found, filter_options), "doc_id", "start_idx")
     tags = plan_tags(candidates, () if across_documents else ("doc_id",))
     return Moves(documents, nodes, found, candidates, tags, output)
