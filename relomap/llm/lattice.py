@@ -39,10 +39,13 @@ TABLE = 200_000
 @dataclass(frozen=True)
 class LatticeOptions:
     vocabulary: str = ""
-    rounds: int = 3
-    classes: int = 4
+    #: Rounds over all training words, after rounds over those that a class has at least ``warm_count`` times.
+    rounds: int = 2
+    warm_rounds: int = 3
+    warm_count: int = 4
+    classes: int = 6
     #: Training texts, about so many and by hashed content, that the classes' seeds are found on.
-    seed_texts: int = 2000
+    seed_texts: int = 1200
     #: Added to each piece's expected count.
     smoothing: float = 0.1
     #: Commonest words whose counts are broadcast; a bound on that table, not on the words counted.
@@ -188,19 +191,29 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def seed_classes(rows: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
-    """Log weights (class, bucket of words) of a mixture of multinomials; its first centres are texts far apart."""
+    """Log weights (class, bucket of words) of a mixture of multinomials over rows of bucket counts.
+
+    The rows are seen in the space of their leading directions, where rows that are as independent as can be, taken
+    greedily, are the first centres; expectation-maximisation follows. Short texts say little and take part only where
+    there are no others.
+    """
+    sizes = rows.sum(axis=1)
+    rows = rows[sizes >= min(50, sizes.max(initial=0))]
     rows = rows[rows.sum(axis=1) > 0]
     if not len(rows):
         return np.zeros((1, BUCKETS))
     unit = np.sqrt(rows / rows.sum(axis=1, keepdims=True))
-    centres = [int(rows.sum(axis=1).argmax())]
-    near = unit @ unit[centres[0]]
-    weight = np.minimum(rows.sum(axis=1), 200.0)  # very short texts are far from all others and make poor centres
-    while len(centres) < min(classes, len(rows)):
-        centres.append(int(((1 - near) * weight).argmax()))
-        near = np.maximum(near, unit @ unit[centres[-1]])
-    share = np.zeros((len(rows), len(centres)))
-    share[np.arange(len(rows)), (unit @ unit[centres].T).argmax(axis=1)] = 1.0
+    spread, vectors = np.linalg.eigh(unit @ unit.T)
+    k = min(classes, len(rows))
+    space = vectors[:, -k:] * np.sqrt(np.maximum(spread[-k:], 0))
+    left, centres = space.copy(), []
+    for _ in range(k):
+        centres.append(int((left**2).sum(axis=1).argmax()))
+        axis = left[centres[-1]] / max(np.linalg.norm(left[centres[-1]]), 1e-12)
+        left = left - np.outer(left @ axis, axis)
+    near = space / np.maximum(np.linalg.norm(space, axis=1, keepdims=True), 1e-12)
+    share = np.zeros((len(rows), k))
+    share[np.arange(len(rows)), (near @ near[centres].T).argmax(axis=1)] = 1.0
     for _ in range(rounds):
         sums = share.T @ rows + 0.05
         logw = np.log(sums / sums.sum(axis=1, keepdims=True))
@@ -243,11 +256,15 @@ def word_counts(texts: DataFrame, seeds: np.ndarray) -> DataFrame:
 
 
 def estimate(counts: DataFrame, classes: int, o: LatticeOptions) -> tuple[list[bytes], np.ndarray]:
-    """Pieces and their log-probabilities in each class, by expectation-maximisation over word counts."""
+    """Pieces and their log-probabilities in each class, by expectation-maximisation over word counts.
+
+    The first rounds bring the weights near and run over the commoner words; the last are over all words.
+    """
     spark = counts.sparkSession
     pieces, start = vocabulary(o.vocabulary)
     logp = np.tile(start, (classes, 1))
-    for _ in range(o.rounds):
+    words = counts.where("word IS NOT NULL").select("word", "kind", "c")
+    for least in [o.warm_count] * o.warm_rounds + [1] * o.rounds:
         shared = spark.sparkContext.broadcast(logp)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -259,7 +276,7 @@ def estimate(counts: DataFrame, classes: int, o: LatticeOptions) -> tuple[list[b
             some = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.int64()), pa.array(flat[some])], ["entry", "n"])
 
-        found = counts.where("word IS NOT NULL").select("word", "kind", "c").mapInArrow(lean(expect), "entry long, n double")
+        found = words.where(F.col("c") >= least).mapInArrow(lean(expect), "entry long, n double")
         found = found.groupBy("entry").agg(F.sum("n").alias("n")).toArrow()  # two rows per piece and class at most
         sums = np.zeros(logp.size)
         sums[found.column("entry").to_numpy()] = found.column("n").to_numpy()
