@@ -97,6 +97,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        g AS (SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+              ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM w)),
+        n AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS k FROM g GROUP BY 1),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y, nx.k AS kx, ny.k AS ky FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE c::DOUBLE / (nx.n + ny.n - c) >= 0.8),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x),
+        classes AS (SELECT x, min(y) AS class_id, count(*) AS class_size FROM reach GROUP BY 1),
+        links AS (SELECT x, count(*) AS n_links, count(DISTINCT ky) FILTER (ky <> kx) AS n_set_links FROM l GROUP BY 1)
+        SELECT classes.x AS doc_id, class_id, class_size, coalesce(n_links, 0) AS n_links, coalesce(n_set_links, 0) AS n_set_links FROM classes LEFT JOIN links USING (x)""",
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256({_NORM}) AS h FROM documents),
         w AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id,
