@@ -178,3 +178,13 @@ def sibling_numbers(tokens: DataFrame, tags: list[str]) -> DataFrame:
     nested = tag_depth(tokens, tags).where("kind = 'START'")
     placed = _with_parents(nested, ("id",), "token_no", "depth", "parent_no")
     return placed.withColumn("sibling_no", F.row_number().over(Window.partitionBy("id", "parent_no", "depth", "name").orderBy("token_no")).cast("long")).drop("kind")
+
+
+def prefixed_nodes(nodes: DataFrame, prefix: str = "diff") -> DataFrame:
+    """Start tags of one namespace prefix with their paths, for inspection."""
+    return nodes.where((F.col("kind") == "START") & F.col("full_name").startswith(f"{prefix}:")).select("doc_id", "node_idx", "name", "attrs", "xpath")
+
+
+def prefixed_counts(nodes: DataFrame, prefix: str = "diff") -> DataFrame:
+    """``doc_id``, ``name``, ``n``: how often each tag of a namespace prefix starts."""
+    return prefixed_nodes(nodes, prefix).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))

@@ -218,3 +218,17 @@ def test_space_may_count(spark):
     assert form(ignore_whitespace_only_text=False).canonical_text == "T(a)T( )T(\\\\)T( )T(b)"
     assert form(ignore_outer_diff_wrapper=False).canonical_text == "S(diff:delete)T(a)T(\\\\)T(b)E(diff:delete)"
     assert (form().start_idx, form().end_idx) == (1, 7)  # five runs of text between the tags
+
+
+def test_text_reports(found):
+    from relomap.operators.nesting import prefixed_counts
+    from relomap.operators.report import candidate_lines, match_report, moves_difference
+
+    line = candidate_lines(found.candidates.where("doc_id = 0")).orderBy("candidate_id").first().line
+    assert line == '    0     del  [1,5] active=yes hash=9625020580829857204 file="f.cpp" raw="int a;" canon="T(int)T(a;)"'
+    pairs = match_report(found.candidates, found.matches)
+    assert pairs.count() == found.matches.count() and pairs.where("del_text <> ins_text AND del_bytes = ins_bytes").count() == 0
+    assert moves_difference(found.entries, found.entries).count() == 0
+    one = found.entries.where("doc_id = 0")
+    assert sorted(r.side for r in moves_difference(one, found.entries.where("doc_id = 12")).collect()) == ["missing", "unexpected"]
+    assert {(r.name, r.n) for r in prefixed_counts(found.nodes.where("doc_id = 10")).collect()} == {("delete", 1), ("insert", 1), ("ws", 1)}
