@@ -33,6 +33,21 @@ class Forest:
         return np.array([self.root(x) for x in range(len(self.parent))], dtype=np.int64)
 
 
+    def span(self, near: np.ndarray, left: np.ndarray, right: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+        """Join the pairs that ``near`` marks (left by right); returns those that joined two trees.
+
+        ``known`` holds a root for each number, perhaps an old one; rows whose pairs are known to be joined cost no loop.
+        """
+        out = []
+        for x, p in enumerate(left.tolist()):
+            others = right[near[x]]
+            for q in others[known[others] != known[p]].tolist():
+                if self.join(p, q):
+                    out.append((p, q))
+            known[others] = known[p] = self.root(p)
+        return out
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's larger (or, for small stars, smaller) neighbours to the least of its neighbourhood."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))

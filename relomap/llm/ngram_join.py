@@ -203,18 +203,21 @@ def linked(sketch: np.ndarray, path: np.int64, o: JoinOptions) -> list[tuple[int
     forest, out = Forest(len(sketch)), []
     least = math.ceil(o.candidate * o.tokens)
 
+    known = np.arange(len(sketch))
+
     def brute(rows: np.ndarray) -> None:
         for i in range(0, len(rows), 64):
-            a = sketch[rows[i : i + 64]]
+            left = rows[i : i + 64]
             for j in range(i, len(rows), 256):
-                b = sketch[rows[j : j + 256]]
-                same = np.zeros((len(a), len(b)), dtype=np.int16)
+                right = rows[j : j + 256]
+                both = np.concatenate([left, right])
+                known[both] = [forest.root(x) for x in both.tolist()]
+                if (known[both] == known[both[0]]).all():  # nothing left to join
+                    continue
+                same = np.zeros((len(left), len(right)), dtype=np.int16)
                 for k in range(o.tokens):
-                    same += a[:, k, None] == b[None, :, k]
-                for x, y in zip(*np.nonzero(same >= least), strict=True):
-                    p, q = int(rows[i + x]), int(rows[j + y])
-                    if p < q and forest.join(p, q):
-                        out.append((p, q))
+                    same += sketch[left, k][:, None] == sketch[right, k][None, :]
+                out.extend(forest.span(same >= least, left, right, known))
 
     def alike(rows: np.ndarray) -> bool:
         """Whether most rows are near the others, so that splitting would not part them."""
@@ -310,11 +313,8 @@ def _count(o: JoinOptions):
             for mine, others, grid in ((left, right, near), (right, left, near.T))[: 1 if side[0] == 2 else 2]:
                 links, some = grid @ copies[others], grid.sum(axis=1)
                 rows += [(int(node[m]), None, int(n), int(k)) for m, n, k in zip(mine, links, some, strict=True) if k]
-            forest = Forest(len(node))
-            for x, y in zip(*np.nonzero(near), strict=True):
-                p, q = int(left[x]), int(right[y])
-                if forest.join(p, q):
-                    rows.append((int(node[p]), int(node[q]), None, None))
+            joined = Forest(len(node)).span(near, left, right, np.arange(len(node)))
+            rows += [(int(node[p]), int(node[q]), None, None) for p, q in joined]
             if len(rows) > 50_000:
                 yield out()
         yield out()
