@@ -31,7 +31,7 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
 
     Loads are scaled by each dimension's total, so that a capacity is ``1 / shards`` everywhere. A shard is open for an
     item while the item fits the residual in every dimension; if it fits nowhere, the shard with the largest least
-    residual takes it. The last word has ``_even_out``, by bytes.
+    residual takes it. The last word has ``_even_out``.
     """
     total = items.sum(axis=0).astype(np.float64)
     loads = items / np.where(total > 0, total, 1)
@@ -44,36 +44,67 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
         k = int(score.argmax()) if fits.any() else int((residual - loads[i]).min(axis=1).argmax())
         out[i] = k
         residual[k] -= loads[i]
-    return _even_out(items[:, 0].astype(np.int64), out, shards)
+    return _even_out(items, out, shards)
 
 
-def _even_out(sizes: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
-    """Move or swap items from the fullest to the emptiest shard while that brings their bytes closer."""
-    fill = np.bincount(shard, weights=sizes, minlength=shards).astype(np.int64)
-    for _ in range(len(sizes)):
-        hi, lo = int(fill.argmax()), int(fill.argmin())
-        gap = int(fill[hi] - fill[lo])
+def _even_out(items: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
+    """Move or swap items between shards while that evens them out, first in all dimensions and last in bytes alone."""
+    mean = np.maximum(items.sum(axis=0) / shards, 1e-9)
+    loads = items / mean
+    fill = np.stack([np.bincount(shard, weights=loads[:, j], minlength=shards) for j in range(items.shape[1])], axis=1)
+    sizes = items[:, 0].astype(np.int64)
+
+    def options(hi: int, lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items of one shard and of another (-1: none), and what their exchange takes off the first, item by item."""
         mine, theirs = np.flatnonzero(shard == hi), np.flatnonzero(shard == lo)
-        if gap <= 1 or not len(mine):
-            break
-        wanted = gap / 2
-        gain = [(abs(sizes[mine] - wanted).min(), mine[abs(sizes[mine] - wanted).argmin()], -1)]
-        if len(theirs):
-            order = theirs[np.argsort(sizes[theirs])]
-            spots = np.clip(np.searchsorted(sizes[order], sizes[mine] - wanted), 0, len(order) - 1)
-            for at in (spots, np.maximum(spots - 1, 0)):
-                off = abs(sizes[mine] - sizes[order[at]] - wanted)
-                best = int(off.argmin())
-                gain.append((off[best], mine[best], order[at[best]]))
-        off, a, b = min(gain, key=lambda g: g[0])
-        moved = int(sizes[a] - (sizes[b] if b >= 0 else 0))
-        if moved <= 0 or moved >= gap or off >= wanted:
-            break
+        theirs = theirs[np.argsort(sizes[theirs], kind="stable")][:: max(1, len(theirs) // 200)]
+        theirs = np.append(theirs, -1)
+        other = np.where(theirs[:, None] >= 0, loads[theirs], 0.0)
+        return mine, theirs, loads[mine][:, None, :] - other[None, :, :]
+
+    def exchange(hi: int, lo: int, a: int, b: int, moved: np.ndarray) -> None:
         shard[a] = lo
         if b >= 0:
             shard[b] = hi
         fill[hi] -= moved
         fill[lo] += moved
+
+    for _ in range(40 * shards):
+        best = None
+        for j in range(items.shape[1]):
+            hi, lo = int(fill[:, j].argmax()), int(fill[:, j].argmin())
+            if hi == lo:
+                continue
+            mine, theirs, moved = options(hi, lo)
+            if not len(mine):
+                continue
+            gain = ((fill[hi] - 1) ** 2 + (fill[lo] - 1) ** 2).sum() - ((fill[hi] - moved - 1) ** 2 + (fill[lo] + moved - 1) ** 2).sum(axis=2)
+            x, y = np.unravel_index(int(gain.argmax()), gain.shape)
+            if gain[x, y] > 1e-10 and (best is None or gain[x, y] > best[0]):
+                best = (gain[x, y], hi, lo, mine[x], theirs[y], moved[x, y])
+        if best is None:
+            break
+        exchange(*best[1:])
+    for _ in range(40 * shards):
+        total = np.bincount(shard, weights=sizes, minlength=shards).astype(np.int64)
+        hi, lo = int(total.argmax()), int(total.argmin())
+        gap = int(total[hi] - total[lo])
+        if gap <= 1:
+            break
+        mine, theirs, moved = options(hi, lo)
+        taken = np.rint(moved[:, :, 0] * mean[0]).astype(np.int64)
+        # Of the exchanges that close most of the gap, the one that shifts tokens and rows least.
+        off = np.abs(taken - gap / 2)
+        fits = off <= max(1.0, min(gap / 4, off.min() * 2 if off.size else 0))
+        if not off.size or not fits.any() or off.min() >= gap / 2:
+            break
+        shift = np.where(fits, np.abs(moved[:, :, 1:]).sum(axis=2), np.inf)
+        x, y = np.unravel_index(int(shift.argmin()), shift.shape)
+        if not 0 < taken[x, y] < gap:
+            x, y = np.unravel_index(int(off.argmin()), off.shape)
+            if not 0 < taken[x, y] < gap:
+                break
+        exchange(hi, lo, mine[x], theirs[y], moved[x, y])
     return shard
 
 
