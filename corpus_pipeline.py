@@ -26,7 +26,7 @@ from relomap.llm.packing import PackOptions, pack_documents
 from relomap.llm.quality import fit_quality, score_quality
 
 #: Least mean posterior of a text's language; below it no language holds the text.
-LEAST_LANGUAGE = 0.4
+LEAST_LANGUAGE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
