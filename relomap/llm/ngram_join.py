@@ -206,6 +206,13 @@ def linked(sketch: np.ndarray, path: np.int64, o: JoinOptions) -> list[tuple[int
     known = np.arange(len(sketch))
 
     def brute(rows: np.ndarray) -> None:
+        if len(rows) <= 24:  # most nodes: all pairs in one step
+            own = sketch[rows]
+            near = (own[:, None, :] == own[None, :, :]).sum(axis=2) >= least
+            for x, y in np.argwhere(np.triu(near, 1)).tolist():
+                if forest.join(int(rows[x]), int(rows[y])):
+                    out.append((int(rows[x]), int(rows[y])))
+            return
         for i in range(0, len(rows), 64):
             left = rows[i : i + 64]
             for j in range(i, len(rows), 256):
