@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from relomap.llm.common import lean, text_of, tune
 MARK = chr(0x2581)
 _CHUNK = re.compile(rf"[ {MARK}]+[^ {MARK}\n]*|[^ {MARK}\n]+|\n+")
 #: Characters of keys that a worker's table may hold; a full table starts anew.
-TABLE_CHARS = 6_000_000
+TABLE_CHARS = 8_000_000
 
 
 class ChunkCodec:
@@ -48,29 +50,35 @@ class ChunkCodec:
         """The chunks of a text, after the marker that the library puts before it."""
         return _CHUNK.findall(" " + text) if text else []
 
-    def _segment(self, chunk: str) -> list[int]:
-        if chunk[0] in (" ", MARK):  # the library's own leading marker stands for the first one
-            return self.sp.encode(chunk[1:]) if len(chunk) > 1 else [self.mark]
-        return self.sp.encode("\n" + chunk)[len(self.lead) :]
+    def _segment(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks. The library's own leading marker stands for the first one of a marked chunk."""
+        marked = [c[0] in (" ", MARK) for c in chunks]
+        ids = self.sp.encode([c[1:] if m else "\n" + c for c, m in zip(chunks, marked, strict=True)], num_threads=1)
+        return [(i if len(c) > 1 else [self.mark]) if m else i[len(self.lead) :] for i, c, m in zip(ids, chunks, marked, strict=True)]
 
-    def _decode(self, chunk: str, ids: list[int]) -> str:
-        text = self.sp.decode(ids)
-        return " " + text if chunk[0] in (" ", MARK) else text
-
-    def entries(self, text: str) -> list[tuple[bytes, bytes, str]]:
+    def prepare(self, texts: list[str]) -> list[list[str]]:
+        """Bring all chunks of texts into the table, the new ones in one call; returns each text's chunks."""
+        if not self.safe:
+            return [[] for _ in texts]
+        if self.held > TABLE_CHARS:
+            self.table.clear()
+            self.held = 0
+        cuts = [self.chunks(t) for t in texts]
+        new = [c for c in dict.fromkeys(chain.from_iterable(cuts)) if c not in self.table]
+        ids = self._segment(new) if new else []
+        for c, i, text in zip(new, ids, self.sp.decode(ids, num_threads=1) if new else [], strict=True):
+            decoded = " " + text if c[0] in (" ", MARK) else text
+            self.table[c] = (array("i", i).tobytes(), ",".join(map(str, i)).encode(), decoded)
+        self.held += sum(map(len, new)) + 16 * len(new)
+        return cuts
+
+    def entries(self, text: str, cut: list[str] | None = None) -> list[tuple[bytes, bytes, str]]:
         """For each chunk: ids as 32-bit integers, ids as decimals, decoded text."""
-        cut = self.chunks(text)
+        cut = self.chunks(text) if cut is None else cut
         try:
             return list(map(self.table.__getitem__, cut))
         except KeyError:
-            if self.held > TABLE_CHARS:
-                self.table.clear()
-                self.held = 0
-            for c in dict.fromkeys(cut):
-                if c not in self.table:
-                    ids = self._segment(c)
-                    self.table[c] = (np.array(ids, dtype="<i4").tobytes(), ",".join(map(str, ids)).encode(), self._decode(c, ids))
-                    self.held += len(c) + 16
+            self.prepare([text])
             return list(map(self.table.__getitem__, cut))
 
     def encode(self, text: str) -> np.ndarray:
@@ -84,10 +92,10 @@ class ChunkCodec:
             return self.sp.decode(self.sp.encode(text))
         return "".join(e[2] for e in self.entries(text))[1:]
 
-    def digest(self, text: str) -> tuple[int, str, str]:
+    def digest(self, text: str, cut: list[str] | None = None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as decimals joined by commas, SHA-256 of the decoded text."""
         if self.safe:
-            found = self.entries(text)
+            found = self.entries(text, cut)
             joined, decoded = b",".join([e[1] for e in found]), "".join([e[2] for e in found])[1:]
         else:
             ids = self.sp.encode(text)
@@ -112,8 +120,9 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         codec = ChunkCodec(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
+            cuts = codec.prepare(texts)
             if digests:
-                cols = list(zip(*map(codec.digest, texts), strict=True)) or [(), (), ()]
+                cols = list(zip(*map(codec.digest, texts, cuts), strict=True)) or [(), (), ()]
                 arrays, names = [pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True)], ["n_tokens", "ids_sha256", "decoded_sha256"]
             else:
                 arrays, names = [pa.array([codec.encode(t) for t in texts], type=pa.list_(pa.int32())), pa.array([codec.decode(t) for t in texts], type=pa.string())], ["ids", "decoded"]
