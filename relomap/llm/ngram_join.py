@@ -362,18 +362,8 @@ def candidate_links(sets: DataFrame, o: JoinOptions) -> DataFrame:
     return edges
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: JoinOptions | None = None) -> DataFrame:
-    """Join texts whose sets of word n-grams have a Jaccard similarity of at least the threshold.
-
-    One row per input row: ``doc_id``, ``class_id`` (least id of all rows linked with it, directly or through others),
-    ``class_size`` (rows of the class), ``n_links`` (other rows it is linked with, copies among them), ``n_set_links``
-    (other distinct sets it is linked with). Words are runs of characters other than ASCII white space, as written.
-
-    Defined cases: a text of fewer words than an n-gram has one n-gram, all its words; null, empty and blank texts have
-    none, are linked with nothing and are classes of their own (``class_id`` is their id); a null id is passed over
-    where another id of the class exists; repeated rows are copies of each other; an empty table gives an empty result;
-    other columns are ignored.
-    """
+def _classed(docs: DataFrame, id_col: str, text_col: str, options: JoinOptions | None) -> DataFrame:
+    """The columns of ``ngram_join``, and ``t1``, ``t2`` (hashes of the row's text) and ``class`` (null without n-grams)."""
     spark, o = docs.sparkSession, options or JoinOptions()
     tune(spark)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -400,9 +390,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = exact.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"), F.sum("sets").alias("set_links"))
     final = written(spark, components(exact.where("b IS NOT NULL").select("a", "b")), "final")
     classes = final.join(sets.select("node", "least", "copies"), "node").groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    known = final.join(classes, "root").join(counts, "node").drop("root")
+    known = final.join(classes, "root").join(counts, "node")
     found = sets.drop("sketch", "t").join(known, "node", "left")
-    joined = rows.drop("sketch", "t1", "t2").join(found.drop("node"), key, "left")
+    joined = rows.drop("sketch").join(found, key, "left")
     alone = F.col("copies").isNull()  # no n-grams
     return joined.select(
         "doc_id",
@@ -410,14 +400,38 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("class_size", "copies", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("set_links", F.lit(0)).cast("long").alias("n_set_links"),
+        "t1",
+        "t2",
+        F.coalesce("root", "node").alias("class"),
     )
 
 
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: JoinOptions | None = None) -> DataFrame:
+    """Join texts whose sets of word n-grams have a Jaccard similarity of at least the threshold.
+
+    One row per input row: ``doc_id``, ``class_id`` (least id of all rows linked with it, directly or through others),
+    ``class_size`` (rows of the class), ``n_links`` (other rows it is linked with, copies among them), ``n_set_links``
+    (other distinct sets it is linked with). Words are runs of characters other than ASCII white space, as written.
+
+    Defined cases: a text of fewer words than an n-gram has one n-gram, all its words; null, empty and blank texts have
+    none, are linked with nothing and are classes of their own (``class_id`` is their id); a null id is passed over
+    where another id of the class exists; repeated rows are copies of each other; an empty table gives an empty result;
+    other columns are ignored.
+    """
+    return _classed(docs, id_col, text_col, options).drop("t1", "t2", "class")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: JoinOptions | None = None) -> DataFrame:
-    """The rows of ``docs`` without those whose class has a row of a smaller id; all columns as they were.
+    """One row of each class of ``docs``, the one of the least id; all columns as they were.
 
-    Of rows repeated with the same id one stays. Rows with a null id stay only where their class has no other id.
+    A row is known by its id and its text: rows equal in both are one document, of which one stays; rows of one id, or of
+    none, with texts of different classes are different documents. Ids come before a null id, and of a class's texts
+    under its least id the one with the least hashes stays. Of the rows without n-grams each document stays.
     """
-    joined = ngram_join(docs, id_col, text_col, options)
-    stay = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id_col])
+    found = _classed(docs, id_col, text_col, options)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
+    first = found.where("class IS NOT NULL").groupBy("class").agg(F.min(row).alias("row")).select("row.doc_id", "row.t1", "row.t2")
+    stay = first.unionByName(found.where("class IS NULL").select("doc_id", "t1", "t2").distinct()).toDF("_stay", "_t1", "_t2")
+    keys = docs.withColumns({"_k1": F.xxhash64(text_of(text_col)), "_k2": F.xxhash64(F.lit(1), text_of(text_col))})
+    same = F.col(id_col).eqNullSafe(F.col("_stay")) & (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2"))
+    return keys.join(stay, same, "left_semi").dropDuplicates([id_col, "_k1", "_k2"]).drop("_k1", "_k2")

@@ -225,3 +225,10 @@ def test_shingles_and_sketches():
 def test_runs_reach_the_target():
     assert 10 <= JoinOptions().runs <= 20
     assert JoinOptions(recall=0.9999).runs > JoinOptions().runs
+
+
+def test_keep_first_keeps_different_documents_of_one_id(spark):
+    one, two, three = ("alpha beta gamma delta epsilon zeta", "un deux trois quatre cinq six sept", "eins zwei drei vier acht neun zehn")
+    docs = [(None, one), (None, two), (None, two), (4, two), (None, three), (5, one + " eta theta"), (5, three + " elf"), (5, three + " elf"), (None, None), (6, "")]
+    got = keep_first(table(spark, [(d, t, "en", "s", 1) for d, t in docs])).select("doc_id", "text")
+    assert rows(got) == sorted([(None, one), (4, two), (None, three), (5, one + " eta theta"), (5, three + " elf"), (None, None), (6, "")], key=str)
