@@ -11,7 +11,7 @@ from relomap.llm.common import held_side, train_side
 from relomap.llm.exact_dedup import exact_dedup
 from relomap.llm.langid import fit_language, identify_language
 from relomap.llm.lattice import LatticeOptions, score_documents
-from relomap.llm.line_dedup import dedup_lines
+from relomap.llm.line_dedup import LineOptions, dedup_lines
 from relomap.llm.ngram_join import ngram_join
 from relomap.llm.packing import PackOptions, pack_documents
 from relomap.llm.pieces import encode_documents
@@ -52,7 +52,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_documents(spark, sf_dir))
+    return dedup_lines(_documents(spark, sf_dir), options=LineOptions(short_exact=True))
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,11 +27,18 @@ _BLANK = " \t\x0b\x0c\r"
 @dataclass(frozen=True)
 class LineOptions:
     edits: int = 2
-    #: Lines of fewer code points, trimmed, are too short to judge and stay as they are.
+    #: Lines of fewer code points, trimmed, are too short for edits: they stay as they are, or see ``short_exact``.
     min_chars: int = 20
+    #: Whether those short lines, if not empty, form classes of equal lines.
+    short_exact: bool = False
     #: Rows of a signature that one task compares; more are cut into blocks, and all pairs of blocks compared.
     block: int = 1024
 
+    @property
+    def least(self) -> int:
+        """Code points from which on lines are in classes."""
+        return min(1, self.min_chars) if self.short_exact else self.min_chars
+
 
 def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
@@ -166,11 +173,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     occurrence, as ``first.doc_id`` and ``first.line_no``), ``class_size`` (occurrences of the class's lines)."""
     spark, o = docs.sparkSession, options or LineOptions()
     tune(spark)
-    judged = _lines(docs, id_col, text_col).where(F.col("n_chars") >= o.min_chars)
+    judged = _lines(docs, id_col, text_col).where(F.col("n_chars") >= o.least)
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
     firsts = written(spark, judged.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "lines")
 
-    signed = judged.select("line", "h1", "h2").mapInArrow(lean(_sign(o.edits)), "key long, probe boolean, h1 long, h2 long")
+    signed = judged.where(F.col("n_chars") >= o.min_chars).select("line", "h1", "h2").mapInArrow(lean(_sign(o.edits)), "key long, probe boolean, h1 long, h2 long")
     met = signed.repartition("key").sortWithinPartitions("key", "probe", "h1", "h2").mapInArrow(lean(_meet), "key long, probe boolean, h1 long, h2 long")
     met = written(spark, met, "met")
     wanted = met.select("h1", "h2").distinct()
@@ -199,13 +206,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``class_line_no`` (where the line's class occurs first), ``class_size`` (its occurrences), ``kept``.
 
     Defined cases: a null text counts as empty and is one empty line; lines shorter than ``min_chars`` are classes of
-    their own, with size 1, and stay; a null id sorts after all others; rows repeated with the same id have the same
+    their own, with size 1, and stay, but with ``short_exact`` equal ones, if not empty, are one class; a null id sorts after all others; rows repeated with the same id have the same
     first occurrence, so all of them keep it; an empty table gives an empty result; other columns are ignored.
     """
     o = options or LineOptions()
     lines = _lines(docs, id_col, text_col).drop("line")
     found = lines.join(line_classes(docs, id_col, text_col, o), ["h1", "h2"], "left")
-    judged = F.col("n_chars") >= o.min_chars
+    judged = F.col("n_chars") >= o.least
     first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))
     return found.select(
         "doc_id",
@@ -226,7 +233,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     o = options or LineOptions()
     identity = [F.xxhash64(text_col).alias("_t1"), F.xxhash64(F.lit(1), text_col).alias("_t2")]
-    lines = _lines(docs.where(F.col(text_col).isNotNull()), id_col, text_col, identity).drop("line").where(F.col("n_chars") >= o.min_chars)
+    lines = _lines(docs.where(F.col(text_col).isNotNull()), id_col, text_col, identity).drop("line").where(F.col("n_chars") >= o.least)
     found = lines.join(line_classes(docs, id_col, text_col, o), ["h1", "h2"])
     first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))
     drops = found.where(~first).groupBy("doc_id", "_t1", "_t2").agg(F.collect_set("line_no").alias("_drops"))

@@ -232,3 +232,15 @@ def test_keep_first_keeps_different_documents_of_one_id(spark):
     docs = [(None, one), (None, two), (None, two), (4, two), (None, three), (5, one + " eta theta"), (5, three + " elf"), (5, three + " elf"), (None, None), (6, "")]
     got = keep_first(table(spark, [(d, t, "en", "s", 1) for d, t in docs])).select("doc_id", "text")
     assert rows(got) == sorted([(None, one), (4, two), (None, three), (5, one + " eta theta"), (5, three + " elf"), (None, None), (6, "")], key=str)
+
+
+def test_short_lines_by_equality(spark, tmp_path):
+    from relomap.llm.catalogue import op5_line_dedup
+
+    docs = [(1, "我们今天去公园\nshort\n\nonce", "en", "s", 1), (2, "shorts\n\n short\t\n我们今天去公园", "en", "s", 1), (None, "short", "en", "s", 1)]
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(1, 0, 1, 0, 2, True), (1, 1, 1, 1, 3, True), (1, 2, 1, 2, 1, True), (1, 3, 1, 3, 1, True)]
+    want += [(2, 0, 2, 0, 1, True), (2, 1, 2, 1, 1, True), (2, 2, 1, 1, 3, False), (2, 3, 1, 0, 2, False), (None, 0, 1, 1, 3, False)]
+    assert got_lines(op5_line_dedup(spark, str(tmp_path))) == Counter(want)
+    left = remove_repeated_lines(table(spark, docs), options=LineOptions(short_exact=True)).select("doc_id", "text")
+    assert rows(left) == sorted([(1, docs[0][1]), (2, "shorts\n"), (None, "")], key=str)
