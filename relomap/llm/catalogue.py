@@ -52,7 +52,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_documents(spark, sf_dir), options=LineOptions(short_exact=True))
+    return dedup_lines(_documents(spark, sf_dir), options=LineOptions(short_exact=True, words_per_edit=30))
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

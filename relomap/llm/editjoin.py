@@ -12,6 +12,9 @@ import numpy as np
 from relomap.llm.common import mix64
 
 _BASE = 0x9E3779B97F4A7C15
+#: Space, tab, vertical tab, form feed and carriage return part words; from this code point on (CJK and dense scripts
+#: after it) each code point is a word.
+_GAPS, _DENSE = np.array([32, 9, 11, 12, 13], dtype=np.uint32), 0x2E80
 #: Code points of lines that are signed together, unless one line is longer.
 SLICE = 1 << 20
 
@@ -82,6 +85,77 @@ class Signer:
         return np.concatenate(lines), np.concatenate(roles), np.concatenate(keys)
 
 
+def word_hashes(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of lines given as code points end to end: a hash for each word, and the lines' offsets into them."""
+    hashes, ends, first, total = [], [np.zeros(1, dtype=np.int64)], 0, 0
+    power = inverse = np.ones(1, dtype=np.uint64)
+    while first < len(offsets) - 1:
+        last = int(np.searchsorted(offsets, offsets[first] + SLICE, side="right")) - 1
+        last = min(max(last, first + 1), len(offsets) - 1)
+        flat, own = points[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        if len(power) < len(flat) + 1:
+            power = np.cumprod(np.full(len(flat) + 1, _BASE, dtype=np.uint64))
+            inverse = np.cumprod(np.full(len(flat) + 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64))
+        inside, cut = ~np.isin(flat, _GAPS), np.zeros(len(flat) + 1, dtype=bool)
+        cut[own] = True
+        dense = np.flatnonzero(flat >= _DENSE)
+        cut[dense] = cut[dense + 1] = True
+        gap = np.concatenate([[True], ~inside, [True]])
+        starts = np.flatnonzero(inside & (gap[:-2] | cut[:-1]))
+        stops = np.flatnonzero(inside & (gap[2:] | cut[1:])) + 1
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[: len(flat)])])
+        hashes.append(mix64((sums[stops] - sums[starts]) * inverse[starts]))
+        ends.append(np.searchsorted(starts, own[1:]) + total)
+        total += len(starts)
+        first = last
+    return np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64), np.concatenate(ends)
+
+
+class WordSigner:
+    """Signatures of lines by word edits, of which a line of ``n`` words may have ``min(n // per, most)``.
+
+    Each number of edits has a partition of its own. A pair's number is that of its shorter line, so a line that is only
+    just long enough for its number probes among the lines of one edit less as well.
+    """
+
+    def __init__(self, per: int, most: int) -> None:
+        self.per, self.most = per, most
+        self.signers = {e: Signer(e) for e in range(1, most + 1)}
+
+    def sign(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Arrays of (line number, is index, key), as ``Signer.sign``."""
+        words, at = word_hashes(points, offsets)
+        size = np.diff(at)
+        own = np.minimum(size // self.per, self.most)
+        found = []
+        for e, signer in self.signers.items():
+            for probing in (False, True):
+                pick = np.flatnonzero((own == e + 1) & (size - e < self.per * (e + 1)) if probing else own == e)
+                if not len(pick):
+                    continue
+                ends = np.cumsum(size[pick])
+                spots = np.repeat(at[pick] - (ends - size[pick]), size[pick]) + np.arange(ends[-1])
+                number, index, key = signer.sign(words[spots], np.concatenate([[0], ends]))
+                keep = ~index if probing else np.ones(len(key), dtype=bool)
+                key = mix64(key[keep].view(np.uint64) + np.uint64(e)).view(np.int64)
+                found.append((pick[number[keep]], index[keep], key))
+        if not found:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def within_words(points: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, per: int, most: int) -> np.ndarray:
+    """Whether lines ``left[k]`` and ``right[k]`` are within the word edits of the one with fewer words."""
+    words, at = word_hashes(points, offsets)
+    size = np.diff(at)
+    edits = np.minimum(np.minimum(size[left], size[right]) // per, most)
+    out = np.zeros(len(left), dtype=bool)
+    for e in np.unique(edits[edits > 0]).tolist():
+        some = np.flatnonzero(edits == e)
+        out[some] = within(words, at, left[some], right[some], e)
+    return out
+
+
 def within(points: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, edits: int) -> np.ndarray:
     """Whether lines ``left[k]`` and ``right[k]`` are within ``edits`` of each other, for all pairs k at once.
 

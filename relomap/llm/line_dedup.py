@@ -4,6 +4,9 @@ Lines are trimmed of ASCII white space, and equal ones become one. Distinct line
 are linked: each line is split into ``edits + 1`` segments, lines that share a segment signature with a length-aware
 probe are compared by banded bit-parallel edit distance, and linked lines, with those linked to them, form a class. Of a
 class only the first occurrence stays, by document id and line number.
+
+With ``words_per_edit`` lines are linked by word edits as well, whose bound grows with the line: the same join runs over
+words in place of code points, with a partition for each number of edits.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from relomap.llm.common import lean, runs_of, text_of, tune, written
 from relomap.llm.components import Forest, components
-from relomap.llm.editjoin import Signer, within
+from relomap.llm.editjoin import Signer, WordSigner, within, within_words
 
 #: ASCII white space but the line feed, which ends lines.
 _BLANK = " \t\x0b\x0c\r"
@@ -31,6 +34,10 @@ class LineOptions:
     min_chars: int = 20
     #: Whether those short lines, if not empty, form classes of equal lines.
     short_exact: bool = False
+    #: Lines of n words or more are also linked within one word edit, those of 2n within two and so on; 0 for none.
+    words_per_edit: int = 0
+    #: Where the growth of the word edits ends: signatures of a line grow with the cube of its edits.
+    most_word_edits: int = 12
     #: Rows of a signature that one task compares; more are cut into blocks, and all pairs of blocks compared.
     block: int = 1024
 
@@ -45,9 +52,12 @@ def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), dtype="<u4"), np.cumsum([0, *(len(r) >> 2 for r in raw)])
 
 
-def _sign(edits: int):
+def _sign(o: LineOptions):
+    """Signatures of lines; the lowest bit of a key tells those of words (1) from those of code points."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, seen = Signer(edits), set()
+        signer, seen = Signer(o.edits), set()
+        by_words = WordSigner(o.words_per_edit, o.most_word_edits) if o.words_per_edit else None
         for batch in batches:
             h1, h2 = (batch.column(i).to_numpy() for i in (1, 2))
             if len(seen) > 200_000:
@@ -57,7 +67,12 @@ def _sign(edits: int):
                 if key not in seen:
                     seen.add(key)
                     fresh.append(i)
-            number, index, key = signer.sign(*_code_points(batch.column(0).take(pa.array(fresh, type=pa.int64())).to_pylist()))
+            lines = _code_points(batch.column(0).take(pa.array(fresh, type=pa.int64())).to_pylist())
+            number, index, key = signer.sign(*lines)
+            key &= ~1
+            if by_words:
+                more = by_words.sign(*lines)
+                number, index, key = (np.concatenate(c) for c in zip((number, index, key), (*more[:2], more[2] | 1), strict=True))
             row = np.array(fresh, dtype=np.int64)[number]
             for at in range(0, len(key), 100_000):
                 part = slice(at, at + 100_000)
@@ -96,24 +111,31 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def _verify(edits: int):
+def _verify(o: LineOptions):
+    def alike(lines: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, words: bool) -> np.ndarray:
+        return within_words(*lines, a, b, o.words_per_edit, o.most_word_edits) if words else within(*lines, a, b, o.edits)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []
         left: list[int] = []
         right: list[int] = []
+        by_words: list[bool] = []
         spot: dict[int, int] = {}
 
         def flush() -> pa.RecordBatch:
-            points, offsets = _code_points(texts)
+            lines = _code_points(texts)
             a, b = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
-            near = within(points, offsets, a, b, edits) if len(a) else np.zeros(0, dtype=bool)
+            near, kind = np.zeros(len(a), dtype=bool), np.array(by_words, dtype=bool)
+            for words in (False, True):
+                if (kind == words).any():
+                    near[kind == words] = alike(lines, a[kind == words], b[kind == words], words)
             nodes = np.array(list(spot), dtype=np.int64)
             forest, found = Forest(len(nodes)), []
             for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
                 if forest.join(x, y):
                     found.append((x, y))
             pairs = nodes[np.array(found, dtype=np.int64).reshape(-1, 2)]
-            texts.clear(), left.clear(), right.clear(), spot.clear()
+            texts.clear(), left.clear(), right.clear(), by_words.clear(), spot.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         def place(node: int, text: str) -> int:
@@ -124,7 +146,7 @@ def _verify(edits: int):
 
         for run in runs_of(batches, "bucket"):
             node, probe, side = (run.column(n).to_numpy(zero_copy_only=False) for n in ("node", "probe", "side"))
-            text = run.column("text").to_pylist()
+            text, words = run.column("text").to_pylist(), run.column("words")[0].as_py()
             index, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
             order = np.concatenate([index, probes]).tolist()  # an index row meets later index rows and all probes
             if len(index) * len(order) <= 2000:
@@ -133,6 +155,7 @@ def _verify(edits: int):
                         if node[i] != node[j] and (side[i] == 2 or side[i] != side[j]):
                             left.append(place(node[i], text[i]))
                             right.append(place(node[j], text[j]))
+                            by_words.append(words)
                 if len(left) > 20_000 or sum(map(len, texts[-50:])) > 1 << 22:
                     yield flush()
                 continue
@@ -142,15 +165,15 @@ def _verify(edits: int):
                 mine = place(node[i], text[i])
                 others = [place(node[j], text[j]) for j in order[at:] if side[i] == 2 or side[i] != side[j]]
                 root = forest.root(mine)
-                others = [o for o in dict.fromkeys(others) if forest.root(o) != root]
+                others = [x for x in dict.fromkeys(others) if forest.root(x) != root]
                 if not others:
                     continue
-                points, offsets = _code_points([texts[mine], *(texts[o] for o in others)])
-                near = within(points, offsets, np.zeros(len(others), dtype=np.int64), np.arange(1, len(others) + 1), edits)
-                for o, ok in zip(others, near.tolist(), strict=True):
-                    if ok and forest.join(mine, o):
+                lines = _code_points([texts[mine], *(texts[x] for x in others)])
+                near = alike(lines, np.zeros(len(others), dtype=np.int64), np.arange(1, len(others) + 1), words)
+                for x, ok in zip(others, near.tolist(), strict=True):
+                    if ok and forest.join(mine, x):
                         left.append(mine)
-                        right.append(o)
+                        right.append(x)
             nodes = np.array(list(spot), dtype=np.int64)
             a, b = nodes[np.array(left, dtype=np.int64)], nodes[np.array(right, dtype=np.int64)]
             texts.clear(), left.clear(), right.clear(), spot.clear()
@@ -177,7 +200,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
     firsts = written(spark, judged.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "lines")
 
-    signed = judged.where(F.col("n_chars") >= o.min_chars).select("line", "h1", "h2").mapInArrow(lean(_sign(o.edits)), "key long, probe boolean, h1 long, h2 long")
+    signed = judged.where(F.col("n_chars") >= o.min_chars).select("line", "h1", "h2").mapInArrow(lean(_sign(o)), "key long, probe boolean, h1 long, h2 long")
     met = signed.repartition("key").sortWithinPartitions("key", "probe", "h1", "h2").mapInArrow(lean(_meet), "key long, probe boolean, h1 long, h2 long")
     met = written(spark, met, "met")
     wanted = met.select("h1", "h2").distinct()
@@ -192,8 +215,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     low, high = F.least("own", "other"), F.greatest("own", "other")
     # Side 0 or 1 tells the blocks of a pair apart, so that only rows of different ones are compared; 2 is a block with itself.
     side = F.when(low == high, 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    dealt = dealt.select(F.xxhash64("key", low, high).alias("bucket"), "node", "probe", side.alias("side"), "text")
-    edges = dealt.repartition("bucket").sortWithinPartitions("bucket", "node", "probe").mapInArrow(lean(_verify(o.edits)), "a long, b long")
+    dealt = dealt.select(F.xxhash64("key", low, high).alias("bucket"), "node", "probe", side.alias("side"), (F.col("key").bitwiseAND(1) == 1).alias("words"), "text")
+    edges = dealt.repartition("bucket").sortWithinPartitions("bucket", "node", "probe").mapInArrow(lean(_verify(o)), "a long, b long")
     linked = components(edges).join(texts.select("node", "h1", "h2"), "node").select("h1", "h2", "root")
     linked = written(spark, linked, "linked")
     whole = linked.join(firsts, ["h1", "h2"]).groupBy("root").agg(F.min("first").alias("class_first"), F.sum("n").alias("class_n"))

@@ -244,3 +244,52 @@ def test_short_lines_by_equality(spark, tmp_path):
     assert got_lines(op5_line_dedup(spark, str(tmp_path))) == Counter(want)
     left = remove_repeated_lines(table(spark, docs), options=LineOptions(short_exact=True)).select("doc_id", "text")
     assert rows(left) == sorted([(1, docs[0][1]), (2, "shorts\n"), (None, "")], key=str)
+
+
+def word_changes(words: list[str], edits: int) -> list[str]:
+    words = words[:]
+    for _ in range(edits):
+        at = random.randrange(len(words))
+        words[at : at + 1] = random.choice([[], ["replacement"], [words[at], "insertion"]])
+    return words
+
+
+def test_word_edits_grow_with_the_line(spark):
+    from relomap.llm.editjoin import WordSigner, within_words, word_hashes
+
+    random.seed(4)
+    base = [["".join(random.choices("abcdefgh", k=6)) for _ in range(n)] for n in (9, 19, 20, 21, 30, 31, 41, 59, 60, 61, 80)]
+    made = [word_changes(b, k) for b in base for k in (0, 1, 2, 3, 5, 7)]
+    lines = sorted({" ".join(w) for w in made} | {"".join(chr(0x4E00 + hash_ % 900) for hash_ in range(40)), "".join(chr(0x4E00 + hash_ % 900) for hash_ in range(38)) + "x"})
+    points, offsets = _code_points(lines)
+    words, at = word_hashes(points, offsets)
+    split = [words[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert [len(s) for s in split] == [len(x.split()) if x[0] < "一" else len(x) for x in lines]
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i)]
+    want = [0 < min(len(split[i]) // 10, len(split[j]) // 10) and distance(split[i], split[j]) <= min(len(split[i]) // 10, len(split[j]) // 10, 5) for i, j in pairs]
+    assert within_words(points, offsets, *(np.array(c) for c in zip(*pairs, strict=True)), 10, 5).tolist() == want
+    index, probe = defaultdict(set), defaultdict(set)
+    for line, is_index, key in zip(*WordSigner(10, 5).sign(points, offsets), strict=True):
+        (index if is_index else probe)[key].add(line)
+    met = {frozenset((x, y)) for k, some in index.items() for x in some for y in some | probe[k]}
+    assert all(frozenset(p) in met for p, near in zip(pairs, want, strict=True) if near)
+
+    forest = Forest(len(lines))
+    for (i, j), near in zip(pairs, want, strict=True):
+        if near or distance(lines[i], lines[j]) <= 2:
+            forest.join(i, j)
+    docs = [(i, x, "en", "s", 1) for i, x in enumerate(lines)]
+    for block in (1024, 3):
+        got = dedup_lines(table(spark, docs), options=LineOptions(words_per_edit=10, most_word_edits=5, block=block)).collect()
+        assert {r.doc_id: r.class_doc_id for r in got} == {i: forest.root(i) for i in range(len(lines))}
+
+
+def test_op5_links_long_near_copies(spark, tmp_path):
+    from relomap.llm.catalogue import op5_line_dedup
+
+    random.seed(5)
+    words = ["".join(random.choices("abcdefgh", k=6)) for _ in range(105)]
+    near = ["changed" if i in (20, 70) else w for i, w in enumerate(words)]
+    far = ["changed" if i % 10 == 0 else w for i, w in enumerate(words)]
+    table(spark, [(i, " ".join(w), "en", "s", 1) for i, w in enumerate((words, near, far))]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.kept for r in op5_line_dedup(spark, str(tmp_path)).collect()} == {0: True, 1: False, 2: True}
