@@ -7,8 +7,9 @@ the rank); expectation-maximisation over the training texts' word counts then se
 words, so each distinct word's marginal is computed once and a text's is the sum over its words and the end.
 
 A corpus mixes languages and kinds of text, so the model is a mixture of such piece models, one for each of a few latent
-classes, and a text's probability is marginal over classes too. Seeds of the classes come from a bounded sample; each
-training text is then put into its likeliest class, and the classes' piece models are learned from all of their texts.
+classes, and a text's probability is marginal over classes too. Seeds of the classes come from a bounded sample; the
+classes are then estimated again over all training texts, each of them is put into its likeliest class, and the classes'
+piece models are learned from all of their texts.
 
 A word-count baseline with add-one smoothing is returned beside it. Its counts are joined: the commonest words (a
 bounded number) from a broadcast table, all others by a shuffle.
@@ -46,6 +47,8 @@ class LatticeOptions:
     classes: int = 6
     #: Training texts, about so many and by hashed content, that the classes' seeds are found on.
     seed_texts: int = 1200
+    #: Passes over all training texts that estimate the classes again, from those seeds.
+    class_rounds: int = 2
     #: Added to each piece's expected count.
     smoothing: float = 0.1
     #: Commonest words whose counts are broadcast; a bound on that table, not on the words counted.
@@ -223,10 +226,45 @@ def seed_classes(rows: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray
     return logw
 
 
+def reseeded(texts: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """The classes' log weights after one more step of expectation-maximisation, over all of the column ``text``.
+
+    ``weights`` has, beside a class's column for each bucket, a last one with the log of its share of the texts. A task
+    holds one sum for each class and bucket, whatever the texts.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logw = shared.value
+        sums = np.zeros(logw.shape)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                at = _buckets(words_of(text))
+                if not len(at):
+                    continue
+                score = logw[:, at].sum(axis=1) + logw[:, -1]
+                share = np.exp(score - score.max())
+                share /= share.sum()
+                row = np.bincount(at, minlength=BUCKETS)
+                for kind in np.flatnonzero(share > 1e-9).tolist():
+                    sums[kind, :-1] += share[kind] * row
+                sums[:, -1] += share
+        flat = sums.ravel()
+        some = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.int64()), pa.array(flat[some])], ["entry", "n"])
+
+    found = texts.select("text").mapInArrow(lean(expect), "entry long, n double").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(weights.size)
+    sums[found.column("entry").to_numpy()] = found.column("n").to_numpy()
+    sums = sums.reshape(weights.shape)
+    words, share = sums[:, :-1] + 0.05, sums[:, -1:] + 1.0
+    return np.hstack([np.log(words / words.sum(axis=1, keepdims=True)), np.log(share / share.sum())])
+
+
 def word_counts(texts: DataFrame, seeds: np.ndarray) -> DataFrame:
     """``word``, ``kind``, ``c`` over the column ``text``; counted in part by each task, then summed.
 
-    A text's class is the one whose seed gives its words the most weight. The row with a null word counts texts.
+    A text's class is the one whose ``seeds`` give it the most weight (last column: whatever its words). The row with a null word counts texts.
     """
     shared = texts.sparkSession.sparkContext.broadcast(seeds)
 
@@ -245,7 +283,7 @@ def word_counts(texts: DataFrame, seeds: np.ndarray) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
-                kind = int(shared.value[:, _buckets(words)].sum(axis=1).argmax())
+                kind = int((shared.value[:, _buckets(words)].sum(axis=1) + shared.value[:, -1]).argmax())
                 held[kind].update(words)
                 ended[kind] += 1
                 if len(held[kind]) > TABLE // 2:
@@ -392,6 +430,9 @@ def score_documents(docs: DataFrame, learn: Column, options: LatticeOptions, id_
     chosen = base.where(F.col("learn") & hashed_share(F.col("text"), o.seed_texts, learned)).select("text").distinct()
     sample = chosen.mapInArrow(lean(_bucket_rows), "row array<float>").toArrow().column("row").combine_chunks()
     seeds = seed_classes(np.asarray(sample.flatten(), dtype=np.float64).reshape(-1, BUCKETS), o.classes)
+    seeds = np.hstack([seeds, np.zeros((len(seeds), 1))])
+    for _ in range(o.class_rounds):
+        seeds = reseeded(base.where("learn"), seeds)
     by_kind = written(spark, word_counts(base.where("learn"), seeds), "word-counts")
     counts = by_kind.where("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c"))
     classes = len(seeds)

@@ -195,3 +195,26 @@ def test_scores_awkward(spark):
     same = [r.score for r in score_documents(docs, F.lit(True), o).where("doc_id IN (1, 6)").collect()]
     assert max(same) - min(same) < 1e-9
     assert rows(score_documents(docs, F.lit(True), o).where("doc_id = 4").select("n_tokens")) == [(1,)]
+
+
+def test_classes_are_estimated_over_all_texts(spark):
+    """A language that no seed text has gets a class of its own weights, and its texts go there together."""
+    from relomap.llm.lattice import BUCKETS, _bucket_rows, _buckets, reseeded, seed_classes, word_counts
+
+    rng = np.random.default_rng(2)
+    texts = {k: [" ".join(f"{k}{i}" for i in rng.integers(0, 40, 80)) for _ in range(60)] for k in "abc"}
+    batch = pa.RecordBatch.from_pydict({"text": texts["a"][:20] + texts["b"][:20]})
+    sample = np.stack([np.array(r, dtype=float) for out in _bucket_rows(iter([batch])) for r in out.column(0).to_pylist()])
+    seeds = seed_classes(sample, 3)
+    frame = spark.createDataFrame([(t,) for some in texts.values() for t in some], "text string").repartition(3)
+    own = _buckets([f"c{i}".encode() for i in range(40)])
+    seeds = np.hstack([seeds, np.zeros((len(seeds), 1))])
+    again = seeds
+    for _ in range(2):
+        again = reseeded(frame, again)
+    assert np.allclose(np.exp(again[:, :-1]).sum(axis=1), 1) and np.exp(again[:, -1]).sum() == pytest.approx(1)
+    assert again.shape == (len(seeds), BUCKETS + 1)
+    share = lambda w: np.exp(w[:, own]).sum(axis=1).max()
+    assert share(again) > 0.3 > 0.1 > share(seeds)
+    kinds = {r.kind for r in word_counts(frame, again).collect() if r.word is not None and bytes(r.word).startswith(b"c")}
+    assert len(kinds) == 1
