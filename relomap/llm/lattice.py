@@ -17,9 +17,10 @@ bounded number) from a broadcast table, all others by a shuffle.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,28 +32,28 @@ from pyspark.sql import functions as F
 from relomap.llm.common import hashed_share, lean, row_ids, text_of, tune, written
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Words whose lattices are worked on together.
-GROUP = 20_000
+#: Texts have A to Z in lower case only, so a piece with one of them occurs in no word.
+_CAPITAL = re.compile(rb"[A-Z]")
+#: Bytes of marked words whose lattices are worked on together.
+STRETCH = 1 << 16
 #: Distinct words that a worker's table holds besides the broadcast ones, and that a partial count holds.
-TABLE = 200_000
+TABLE = 100_000
 
 
 @dataclass(frozen=True)
 class LatticeOptions:
     vocabulary: str = ""
-    #: Rounds over all training words, after rounds over those that a class has at least ``warm_count`` times.
-    rounds: int = 2
-    warm_rounds: int = 3
-    warm_count: int = 4
-    classes: int = 6
+    #: Rounds of expectation-maximisation, each over all training words.
+    rounds: int = 5
+    classes: int = 10
     #: Training texts, about so many and by hashed content, that the classes' seeds are found on.
     seed_texts: int = 1200
     #: Passes over all training texts that estimate the classes again, from those seeds.
     class_rounds: int = 2
-    #: Added to each piece's expected count.
-    smoothing: float = 0.1
+    #: Occurrences that the vocabulary's own scores are worth, over all pieces, beside the counts of the training words.
+    prior: float = 400.0
     #: Commonest words whose counts are broadcast; a bound on that table, not on the words counted.
-    common: int = 200_000
+    common: int = 100_000
 
 
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
@@ -67,7 +68,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
         if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i):
             continue
         piece = sp.id_to_piece(i).replace(chr(0x2581), " ").encode()
-        if piece == piece.lower() and b" " not in piece[1:]:
+        if not _CAPITAL.search(piece) and b" " not in piece[1:]:
             weight[piece] = weight.get(piece, 0.0) + 1.0 / (10.0 - sp.get_score(i))
     pieces = sorted(weight)
     return pieces, normalised(pieces, np.tile([weight[p] for p in pieces], 2))
@@ -80,13 +81,20 @@ def normalised(pieces: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """Marginals of words (bytes, without mark) under the piece log-probabilities of each class (rows of ``logp``)."""
+    """Marginals of words (bytes, without mark) under the piece log-probabilities of each class (rows of ``logp``).
+
+    Words of like length are worked on together, up to ``STRETCH`` bytes of them, and a longer word in stretches of as
+    many bytes, so that memory follows neither the number of words nor their length.
+    """
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray) -> None:
         codes = np.array([self._code(p) for p in pieces], dtype=np.uint64)
         order = np.argsort(codes)
-        self.codes, self.entry, self.logp = codes[order], order, np.atleast_2d(logp)
+        self.codes, self.entry = codes[order], order.astype(np.int32)
+        #: Entry by class, so that an arc's weights in all classes lie together.
+        self.weights = np.ascontiguousarray(np.atleast_2d(logp).T)
         self.lengths = sorted({len(p) for p in pieces})
+        self.reach = self.lengths[-1]
         #: By the upper bits of a code the place of one such code, or -1; codes that share those bits are searched for.
         self.place = np.full(1 << 20, -1, dtype=np.int32)
         self.place[(self.codes >> np.uint64(44)).astype(np.int64)] = np.arange(len(codes))
@@ -98,23 +106,16 @@ class Lattice:
             h = (h * int(_STEP) + b + 1) & 0xFFFFFFFFFFFFFFFF
         return (h * 0xFF51AFD7ED558CCD) & 0xFFFFFFFFFFFFFFFF
 
-    def _arcs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Arcs of the words' lattices (start node, end node, entry, place of start, place of end), and first nodes."""
-        raw = [b" " + w for w in words]
-        flat = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint64)
-        lengths = np.array([len(r) for r in raw], dtype=np.int64)
-        begin = np.cumsum(lengths) - lengths
-        word = np.repeat(np.arange(len(raw)), lengths)
-        place = np.arange(len(flat)) - begin[word]
-        room = lengths[word] - place
-        code, at = np.zeros(len(flat), dtype=np.uint64), np.arange(len(flat))
-        found = []
-        for n in range(1, self.lengths[-1] + 1):
+    def _arcs(self, flat: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that start at the bytes of ``room``, which says how many bytes their words go on: start, length, entry."""
+        at = np.arange(len(room), dtype=np.int32)
+        code, found = np.zeros(len(room), dtype=np.uint64), []
+        for n in range(1, self.reach + 1):
             keep = room[at] >= n
             at, code = at[keep], code[keep]
             if not len(at):
                 break
-            code = code * _STEP + flat[at + n - 1] + np.uint64(1)
+            code = code * _STEP + flat[at + (n - 1)].astype(np.uint64) + np.uint64(1)
             if n not in self.lengths:
                 continue
             mixed = code * np.uint64(0xFF51AFD7ED558CCD)
@@ -125,54 +126,122 @@ class Lattice:
             spot[other] = np.minimum(np.searchsorted(self.codes, mixed[other]), len(self.codes) - 1)
             same = self.codes[spot] == mixed
             start = at[hit[same]]
-            last = (room[start] == n) * (self.logp.shape[1] // 2)
-            found.append((start, np.full(len(start), n), self.entry[spot[same]] + last))
-        start, n, entry = (np.concatenate(c) for c in zip(*found, strict=True))
-        node = start + word[start]
-        return node, node + n, entry, place[start], place[start] + n, begin + np.arange(len(raw))
-
-    def _sweep(self, values: np.ndarray, source: np.ndarray, target: np.ndarray, weight: np.ndarray, level: np.ndarray, back: bool) -> None:
-        order = np.argsort((level.max() - level if back else level) * len(values) + target)
-        source, target, weight, level = source[order], target[order], weight[order], level[order]
+            last = (room[start] == n) * np.int32(len(self.weights) // 2)
+            found.append((start, np.full(len(start), n, dtype=np.int32), self.entry[spot[same]] + last))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))  # type: ignore[return-value]
+
+    @staticmethod
+    def _sweep(values: np.ndarray, source: np.ndarray, target: np.ndarray, level: np.ndarray, weight: Callable[[np.ndarray], np.ndarray], carried: bool = False) -> None:
+        """Sum over the arcs into each node, level by level; with ``carried``, added to what the nodes hold already."""
+        order = np.argsort(level.astype(np.int64) * len(values) + target)
+        level = level[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(level)]])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            into = target[a:b]
+            arcs = order[a:b]
+            into = target[arcs]
             heads = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]]))
-            x = values[source[a:b]] + weight[a:b]
+            x = values[source[arcs]] + weight(arcs)
             if len(heads) < b - a:  # log of the sum over the arcs into a node, about their largest
                 top = np.maximum.reduceat(x, heads, axis=0)
                 x = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(heads, b - a)), axis=0)), heads, axis=0))
-            values[into[heads]] = x
+            into = into[heads]
+            values[into] = np.logaddexp(values[into], x) if carried else x
 
+    @staticmethod
+    def _groups(words: list[bytes]) -> Iterator[np.ndarray]:
+        sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        order = np.argsort(sizes, kind="stable")
+        ends, first = np.cumsum(sizes[order]), 0
+        while first < len(order):
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + STRETCH, side="right")))
+            yield order[first:last]
+            first = last
+
+    def _joined(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Arcs of several words: start node, end node, entry, place of start, place of end, and the words' first nodes."""
+        flat = np.frombuffer(b"".join(b" " + w for w in words), dtype=np.uint8)
+        lengths = np.array([len(w) + 1 for w in words], dtype=np.int32)
+        begin = (np.cumsum(lengths) - lengths).astype(np.int32)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        place = np.arange(len(flat), dtype=np.int32) - begin[word]
+        start, n, entry = self._arcs(flat, lengths[word] - place)
+        node = start + word[start]  # a word has a node more than bytes
+        return node, node + n, entry, place[start], place[start] + n, begin + np.arange(len(words), dtype=np.int32)
+
+    def _stretches(self, word: bytes, back: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Arcs of one long word by stretches of starts: first and last start, start node in the stretch, length, entry."""
+        flat = np.frombuffer(b" " + word, dtype=np.uint8)
+        for a in sorted(range(0, len(flat), STRETCH), reverse=back):
+            stop = min(a + STRETCH, len(flat))
+            yield a, stop, *self._arcs(flat[a : stop + self.reach], len(flat) - np.arange(a, stop))
+
+    def _forward(self, word: bytes, weights: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+        """The last node's value of one long word; ``keep`` takes those of all nodes."""
+        ahead = np.full((self.reach + 1, weights.shape[1]), -np.inf)
+        ahead[0] = 0.0
+        for a, stop, start, n, entry in self._stretches(word):
+            values = np.full((stop - a + self.reach + 1, weights.shape[1]), -np.inf)
+            values[: self.reach + 1] = ahead
+            self._sweep(values, start, start + n, start + n, lambda i, entry=entry: weights[entry[i]], True)
+            ahead = values[stop - a :]
+            if keep is not None:
+                keep[a : stop + 1] = values[: stop - a + 1, 0]
+        return ahead[0]
 
     def marginals(self, words: list[bytes]) -> np.ndarray:
         """Natural-log probability of each marked word in each class, over all its segmentations."""
-        out = np.zeros((len(words), len(self.logp)))
-        for i in range(0, len(words), GROUP):
-            s, e, entry, _, level, first = self._arcs(words[i : i + GROUP])
-            alpha = np.full((int(e.max()) + 1, len(self.logp)), -np.inf)
+        out = np.zeros((len(words), self.weights.shape[1]))
+        for group in self._groups(words):
+            some = [words[i] for i in group.tolist()]
+            if len(some[0]) >= STRETCH:
+                out[group[0]] = self._forward(some[0], self.weights)
+                continue
+            s, e, entry, _, level, first = self._joined(some)
+            alpha = np.full((int(e.max()) + 1, out.shape[1]), -np.inf)
             alpha[first] = 0.0
-            self._sweep(alpha, s, e, self.logp[:, entry].T, level, False)
-            out[i : i + GROUP] = alpha[np.append(first[1:] - 1, len(alpha) - 1)]
+            self._sweep(alpha, s, e, level, lambda i, entry=entry: self.weights[entry[i]])
+            out[group] = alpha[np.append(first[1:] - 1, len(alpha) - 1)]
         return out
 
     def expected(self, words: list[bytes], kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected piece counts by class, of words that occur ``counts`` times in classes ``kinds``."""
-        size = self.logp.shape[1]
-        out = np.zeros(self.logp.size)
-        for i in range(0, len(words), GROUP):
-            s, e, entry, low, high, first = self._arcs(words[i : i + GROUP])
+        size = len(self.weights)
+        out = np.zeros(self.weights.size)
+        for group in self._groups(words):
+            some = [words[i] for i in group.tolist()]
+            if len(some[0]) >= STRETCH:
+                kind = int(kinds[group[0]])
+                out[kind * size : (kind + 1) * size] += self._expected_long(some[0], kind) * counts[group[0]]
+                continue
+            s, e, entry, low, high, first = self._joined(some)
             owner = np.searchsorted(first, s, side="right") - 1
-            kind = kinds[i : i + GROUP][owner]
-            w = self.logp[kind, entry]
+            kind = kinds[group][owner]
+            w = self.weights[entry, kind]
             alpha, beta = (np.full(int(e.max()) + 1, -np.inf) for _ in range(2))
             last = np.append(first[1:] - 1, len(alpha) - 1)
             alpha[first], beta[last] = 0.0, 0.0
-            self._sweep(alpha, s, e, w, high, False)
-            self._sweep(beta, e, s, w, low, True)
-            share = np.exp(alpha[s] + w + beta[e] - alpha[last[owner]]) * counts[i : i + GROUP][owner]
+            self._sweep(alpha, s, e, high, w.__getitem__)
+            self._sweep(beta, e, s, low.max() - low, w.__getitem__)
+            share = np.exp(alpha[s] + w + beta[e] - alpha[last[owner]]) * counts[group][owner]
             out += np.bincount(kind * size + entry, share, len(out))
-        return out.reshape(self.logp.shape)
+        return out.reshape(-1, size)
+
+    def _expected_long(self, word: bytes, kind: int) -> np.ndarray:
+        own = self.weights[:, kind : kind + 1]
+        alpha = np.empty(len(word) + 2)
+        total = float(self._forward(word, own, alpha)[0])
+        behind = np.full(self.reach + 1, -np.inf)  # of the nodes from the stretch's end on
+        behind[0] = 0.0
+        out = np.zeros(len(self.weights))
+        for a, stop, start, n, entry in self._stretches(word, back=True):
+            beta = np.full(stop - a + self.reach + 1, -np.inf)
+            beta[stop - a :] = behind
+            w = own[entry, 0]
+            self._sweep(beta, start + n, start, (stop - a) - start, w.__getitem__)
+            out += np.bincount(entry, np.exp(alpha[a + start] + w + beta[start + n] - total), len(out))
+            behind = beta[: self.reach + 1].copy()
+        return out
 
 
 def words_of(text: str) -> list[bytes]:
@@ -197,15 +266,14 @@ def seed_classes(rows: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray
     """Log weights (class, bucket of words) of a mixture of multinomials over rows of bucket counts.
 
     The rows are seen in the space of their leading directions, where rows that are as independent as can be, taken
-    greedily, are the first centres; expectation-maximisation follows. Short texts say little and take part only where
-    there are no others.
+    greedily, are the first centres; expectation-maximisation follows. A short text says little, so its row is as short
+    as its words are few.
     """
-    sizes = rows.sum(axis=1)
-    rows = rows[sizes >= min(50, sizes.max(initial=0))]
     rows = rows[rows.sum(axis=1) > 0]
     if not len(rows):
         return np.zeros((1, BUCKETS))
-    unit = np.sqrt(rows / rows.sum(axis=1, keepdims=True))
+    sizes = rows.sum(axis=1, keepdims=True)
+    unit = np.sqrt(rows / sizes) * np.sqrt(sizes / (sizes + 50.0))
     spread, vectors = np.linalg.eigh(unit @ unit.T)
     k = min(classes, len(rows))
     space = vectors[:, -k:] * np.sqrt(np.maximum(spread[-k:], 0))
@@ -286,23 +354,25 @@ def word_counts(texts: DataFrame, seeds: np.ndarray) -> DataFrame:
                 kind = int((shared.value[:, _buckets(words)].sum(axis=1) + shared.value[:, -1]).argmax())
                 held[kind].update(words)
                 ended[kind] += 1
-                if len(held[kind]) > TABLE // 2:
-                    yield out(kind)
+                if sum(map(len, held)) > TABLE:
+                    yield from map(out, range(len(held)))
         yield from map(out, range(len(held)))
 
     return texts.select("text").mapInArrow(lean(count), "word binary, kind int, c long").groupBy("word", "kind").agg(F.sum("c").alias("c"))
 
 
 def estimate(counts: DataFrame, classes: int, o: LatticeOptions) -> tuple[list[bytes], np.ndarray]:
-    """Pieces and their log-probabilities in each class, by expectation-maximisation over word counts.
+    """Pieces and their log-probabilities in each class, by expectation-maximisation over the counts of all words.
 
-    The first rounds bring the weights near and run over the commoner words; the last are over all words.
+    The vocabulary's own scores weigh the segmentations of the first round, and in every round they are worth ``prior``
+    occurrences, dealt over the pieces by weight: they decide where the training words say little.
     """
     spark = counts.sparkSession
     pieces, start = vocabulary(o.vocabulary)
     logp = np.tile(start, (classes, 1))
+    before = np.exp(start) * o.prior / np.exp(start).sum()
     words = counts.where("word IS NOT NULL").select("word", "kind", "c")
-    for least in [o.warm_count] * o.warm_rounds + [1] * o.rounds:
+    for _ in range(o.rounds):
         shared = spark.sparkContext.broadcast(logp)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -314,11 +384,11 @@ def estimate(counts: DataFrame, classes: int, o: LatticeOptions) -> tuple[list[b
             some = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.int64()), pa.array(flat[some])], ["entry", "n"])
 
-        found = words.where(F.col("c") >= least).mapInArrow(lean(expect), "entry long, n double")
+        found = words.mapInArrow(lean(expect), "entry long, n double")
         found = found.groupBy("entry").agg(F.sum("n").alias("n")).toArrow()  # two rows per piece and class at most
         sums = np.zeros(logp.size)
         sums[found.column("entry").to_numpy()] = found.column("n").to_numpy()
-        logp = np.stack([normalised(pieces, row + o.smoothing) for row in sums.reshape(logp.shape)])
+        logp = np.stack([normalised(pieces, row + before) for row in sums.reshape(logp.shape)])
     return pieces, logp
 
 
@@ -412,6 +482,45 @@ def _scorer(pieces, common, end_log, log_prior, log_word, log_end):
     return score
 
 
+@dataclass
+class LatticeModel:
+    """A mixture of piece models with what a text's probability needs beside them, and the training words' counts."""
+
+    pieces: list[bytes]
+    #: Log-probabilities by class (rows): all pieces inside words, then all as last ones.
+    logp: np.ndarray
+    #: Log share of each class, and the logs of the chances that a text of it goes on with a word, and that it ends.
+    prior: np.ndarray
+    more: np.ndarray
+    end: np.ndarray
+    #: ``word``, ``c``: counts over the training texts.
+    counts: DataFrame
+    texts: int
+    words: int
+    distinct: int
+
+
+def fit_lattice(texts: DataFrame, options: LatticeOptions) -> LatticeModel:
+    """Learn from all rows of the column ``text``, which has no nulls."""
+    spark, o = texts.sparkSession, options
+    tune(spark)
+    chosen = texts.where(hashed_share(F.col("text"), o.seed_texts, texts.count())).select("text").distinct()
+    sample = chosen.mapInArrow(lean(_bucket_rows), "row array<float>").toArrow().column("row").combine_chunks()
+    seeds = seed_classes(np.asarray(sample.flatten(), dtype=np.float64).reshape(-1, BUCKETS), o.classes)
+    seeds = np.hstack([seeds, np.zeros((len(seeds), 1))])
+    for _ in range(o.class_rounds):
+        seeds = reseeded(texts, seeds)
+    by_kind = written(spark, word_counts(texts, seeds), "word-counts")
+    counts = by_kind.where("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c"))
+    words, ends = np.zeros(len(seeds)), np.zeros(len(seeds))
+    for k, w, t in by_kind.groupBy("kind").agg(F.sum(F.when(F.col("word").isNotNull(), F.col("c"))), F.sum(F.when(F.col("word").isNull(), F.col("c")))).collect():  # a row per class
+        words[k], ends[k] = w or 0, t or 0
+    end = (ends + 1) / (words + ends + 2)
+    return LatticeModel(
+        *estimate(by_kind, len(seeds), o), np.log((ends + 1) / (ends + 1).sum()), np.log1p(-end), np.log(end), counts, int(ends.sum()), int(words.sum()), counts.count()
+    )
+
+
 def score_documents(docs: DataFrame, learn: Column, options: LatticeOptions, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Log10 probability of every whole text, by a model learned from the rows where ``learn`` holds.
 
@@ -419,36 +528,22 @@ def score_documents(docs: DataFrame, learn: Column, options: LatticeOptions, id_
     ``train_tokens``, ``base_score`` (add-one word counts), ``score`` (subword lattice). A-Z count as a-z.
 
     Defined cases: a null text counts as empty and has the end as its only token; with no training rows every count is
-    0 and pieces are equally likely; texts of any length are scored whole; rows with null or repeated ids are rows as
-    any other; an empty table gives an empty result; other columns are ignored.
+    0 and the vocabulary's own scores alone weigh the pieces; texts of any length are scored whole, and words too; rows
+    with null or repeated ids are rows as any other; an empty table gives an empty result; other columns are ignored.
     """
-    spark, o = docs.sparkSession, options
-    tune(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
+    tune(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    learned = base.where("learn").count()
-    chosen = base.where(F.col("learn") & hashed_share(F.col("text"), o.seed_texts, learned)).select("text").distinct()
-    sample = chosen.mapInArrow(lean(_bucket_rows), "row array<float>").toArrow().column("row").combine_chunks()
-    seeds = seed_classes(np.asarray(sample.flatten(), dtype=np.float64).reshape(-1, BUCKETS), o.classes)
-    seeds = np.hstack([seeds, np.zeros((len(seeds), 1))])
-    for _ in range(o.class_rounds):
-        seeds = reseeded(base.where("learn"), seeds)
-    by_kind = written(spark, word_counts(base.where("learn"), seeds), "word-counts")
-    counts = by_kind.where("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c"))
-    classes = len(seeds)
-    words, texts = np.zeros(classes), np.zeros(classes)
-    for k, w, t in by_kind.groupBy("kind").agg(F.sum(F.when(F.col("word").isNotNull(), F.col("c"))), F.sum(F.when(F.col("word").isNull(), F.col("c")))).collect():
-        words[k], texts[k] = w or 0, t or 0
-    ended, distinct = int(texts.sum()), counts.count() + (texts.sum() > 0)
-    tokens = int(words.sum()) + ended
-    pieces, logp = estimate(by_kind, classes, o)
-    prior = np.log((texts + 1) / (texts + 1).sum())
-    end = (texts + 1) / (words + texts + 2)  # chance that a text ends rather than goes on with a word
-
-    shared = spark.sparkContext.broadcast((pieces, logp))
-    common = spark.sparkContext.broadcast(_common(counts, shared, o.common))
+    return score_texts(base, fit_lattice(base.where("learn").select("text"), options), options)
+
+
+def score_texts(base: DataFrame, model: LatticeModel, options: LatticeOptions) -> DataFrame:
+    """``score_documents`` for ``doc_id``, ``text``, ``learn`` without nulls in the last two, by a model that is there."""
+    spark, kind = base.sparkSession, base.schema["doc_id"].dataType.simpleString()
+    tokens, distinct = model.words + model.texts, model.distinct + (model.texts > 0)
+    shared = spark.sparkContext.broadcast((model.pieces, model.logp))
+    common = spark.sparkContext.broadcast(_common(model.counts, shared, options.common))
     schema = f"row_id long, doc_id {kind}, n_tokens long, known long, logs double, score double, rare array<binary>, many array<long>, learn boolean"
-    scorer = _scorer(shared, common, float(np.log10(ended + 1)), prior, np.log1p(-end), np.log(end))
+    scorer = _scorer(shared, common, float(np.log10(model.texts + 1)), model.prior, model.more, model.end)
 
     def with_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides: list[pa.Array] = []
@@ -464,14 +559,14 @@ def score_documents(docs: DataFrame, learn: Column, options: LatticeOptions, id_
     rows = written(spark, base.mapInArrow(lean(with_side), schema), "scored")
     looked = rows.select("row_id", F.explode(F.arrays_zip("rare", "many")).alias("w")).select("row_id", F.col("w.rare").alias("word"), F.col("w.many").alias("many"))
     # Words outside the broadcast table: counts of the common ones are known, so they need not take part.
-    joined = looked.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    joined = looked.join(model.counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rest = joined.groupBy("row_id").agg(F.sum(F.col("many") * F.log10(F.col("c") + 1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("many")).otherwise(0)).alias("seen"))
     space = float(np.log10(tokens + distinct + 1))
     return rows.drop("rare", "many").join(rest, "row_id", "left").select(
         "doc_id",
         F.col("learn").alias("learned_from"),
         "n_tokens",
-        (F.col("known") + F.coalesce("seen", F.lit(0)) + F.lit(int(ended > 0))).cast("long").alias("n_known"),
+        (F.col("known") + F.coalesce("seen", F.lit(0)) + F.lit(int(model.texts > 0))).cast("long").alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(space)).alias("base_score"),
         "score",
