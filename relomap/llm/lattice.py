@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from relomap.llm.common import hashed_share, lean, row_ids, text_of, tune, written
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 #: Texts have A to Z in lower case only, so a piece with one of them occurs in no word.
 _CAPITAL = re.compile(rb"[A-Z]")
 #: Bytes of marked words whose lattices are worked on together.
@@ -88,24 +89,28 @@ class Lattice:
     """
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray) -> None:
-        codes = np.array([self._code(p) for p in pieces], dtype=np.uint64)
+        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        begin, code = np.cumsum(sizes) - sizes, np.zeros(len(pieces), dtype=np.uint64)
+        codes, self.reach = np.zeros(len(pieces), dtype=np.uint64), int(sizes.max())
+        #: By the upper bits of a code whether some piece may begin so: where none does, no longer one is looked for.
+        self.begins = np.zeros(1 << 20, dtype=bool)
+        for n in range(1, self.reach + 1):
+            some = np.flatnonzero(sizes >= n)
+            code[some] = code[some] * _STEP + flat[begin[some] + n - 1].astype(np.uint64) + np.uint64(1)
+            mixed = code[some] * _MIX
+            self.begins[(mixed >> np.uint64(44)).astype(np.int64)] = True
+            ended = sizes[some] == n
+            codes[some[ended]] = mixed[ended]
         order = np.argsort(codes)
         self.codes, self.entry = codes[order], order.astype(np.int32)
         #: Entry by class, so that an arc's weights in all classes lie together.
         self.weights = np.ascontiguousarray(np.atleast_2d(logp).T)
-        self.lengths = sorted({len(p) for p in pieces})
-        self.reach = self.lengths[-1]
+        self.lengths = set(sizes.tolist())
         #: By the upper bits of a code the place of one such code, or -1; codes that share those bits are searched for.
         self.place = np.full(1 << 20, -1, dtype=np.int32)
         self.place[(self.codes >> np.uint64(44)).astype(np.int64)] = np.arange(len(codes))
 
-    @staticmethod
-    def _code(piece: bytes) -> int:
-        h = 0
-        for b in piece:
-            h = (h * int(_STEP) + b + 1) & 0xFFFFFFFFFFFFFFFF
-        return (h * 0xFF51AFD7ED558CCD) & 0xFFFFFFFFFFFFFFFF
-
     def _arcs(self, flat: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces that start at the bytes of ``room``, which says how many bytes their words go on: start, length, entry."""
         at = np.arange(len(room), dtype=np.int32)
@@ -116,10 +121,13 @@ class Lattice:
             if not len(at):
                 break
             code = code * _STEP + flat[at + (n - 1)].astype(np.uint64) + np.uint64(1)
+            mixed = code * _MIX
+            upper = (mixed >> np.uint64(44)).astype(np.int64)
+            keep = self.begins[upper]
+            at, code, mixed, upper = at[keep], code[keep], mixed[keep], upper[keep]
             if n not in self.lengths:
                 continue
-            mixed = code * np.uint64(0xFF51AFD7ED558CCD)
-            spot = self.place[(mixed >> np.uint64(44)).astype(np.int64)]
+            spot = self.place[upper]
             hit = np.flatnonzero(spot >= 0)
             spot, mixed = spot[hit], mixed[hit]
             other = np.flatnonzero(self.codes[spot] != mixed)
@@ -131,20 +139,44 @@ class Lattice:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))  # type: ignore[return-value]
 
     @staticmethod
-    def _sweep(values: np.ndarray, source: np.ndarray, target: np.ndarray, level: np.ndarray, weight: Callable[[np.ndarray], np.ndarray], carried: bool = False) -> None:
-        """Sum over the arcs into each node, level by level; with ``carried``, added to what the nodes hold already."""
-        order = np.argsort(level.astype(np.int64) * len(values) + target)
-        level = level[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(level)]])
+    def _sweep(values: np.ndarray, source: np.ndarray, target: np.ndarray, n: np.ndarray, level: np.ndarray, weight: Callable[[np.ndarray], np.ndarray], carried: bool = False) -> None:
+        """Sum over the arcs into each node, level by level; with ``carried``, added to what the nodes hold already.
+
+        Arcs come by length ``n``, and a node has one arc of a length at most. A level's arcs are dealt into rounds, the
+        r-th arc of each node in round r, with the nodes of most arcs first: a round then is a run of rows that stands
+        beside the first nodes of the level.
+        """
+        rank, degree = np.empty(len(n), dtype=np.int64), np.zeros(len(values), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(n[1:] != n[:-1]) + 1).tolist(), len(n)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            arcs = order[a:b]
-            into = target[arcs]
-            heads = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]]))
+            rank[a:b] = degree[target[a:b]]
+            degree[target[a:b]] += 1
+        most = int(degree.max()) + 1
+        round_ = level * most + rank
+        order = np.argsort((round_ * most + (most - degree[target])) * len(values) + target)
+        round_ = round_[order]
+        begin = np.concatenate([[0], np.flatnonzero(round_[1:] != round_[:-1]) + 1])
+        sizes, opens = np.diff(np.append(begin, len(n))).tolist(), round_[begin] % most == 0
+        ends = np.append(np.flatnonzero(opens)[1:], len(begin)).tolist()
+        for first, last in zip(np.flatnonzero(opens).tolist(), ends, strict=True):
+            a, m = int(begin[first]), sizes[first]
+            arcs = order[a : int(begin[last]) if last < len(begin) else len(n)]
+            into = target[arcs[:m]]
             x = values[source[arcs]] + weight(arcs)
-            if len(heads) < b - a:  # log of the sum over the arcs into a node, about their largest
-                top = np.maximum.reduceat(x, heads, axis=0)
-                x = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(heads, b - a)), axis=0)), heads, axis=0))
-            into = into[heads]
+            if m == 1 and len(arcs) > 1:
+                top = x.max(axis=0)
+                x = (top + np.log(np.exp(x - top).sum(axis=0)))[None]
+            elif len(arcs) > m:  # log of the sum over the arcs into a node, about their largest
+                top, rows, at = x[:m].copy(), [], m
+                for k in sizes[first + 1 : last]:
+                    rows.append(x[at : at + k])
+                    np.maximum(top[:k], rows[-1], out=top[:k])
+                    at += k
+                total = np.exp(x[:m] - top)
+                for row in rows:
+                    row -= top[: len(row)]
+                    total[: len(row)] += np.exp(row, out=row)
+                x = np.log(total, out=total) + top
             values[into] = np.logaddexp(values[into], x) if carried else x
 
     @staticmethod
@@ -159,7 +191,7 @@ class Lattice:
             first = last
 
     def _joined(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Arcs of several words: start node, end node, entry, place of start, place of end, and the words' first nodes."""
+        """Arcs of several words: start node, length, entry, place of start, and the words' first nodes."""
         flat = np.frombuffer(b"".join(b" " + w for w in words), dtype=np.uint8)
         lengths = np.array([len(w) + 1 for w in words], dtype=np.int32)
         begin = (np.cumsum(lengths) - lengths).astype(np.int32)
@@ -167,7 +199,7 @@ class Lattice:
         place = np.arange(len(flat), dtype=np.int32) - begin[word]
         start, n, entry = self._arcs(flat, lengths[word] - place)
         node = start + word[start]  # a word has a node more than bytes
-        return node, node + n, entry, place[start], place[start] + n, begin + np.arange(len(words), dtype=np.int32)
+        return node, n, entry, place[start].astype(np.int64), begin + np.arange(len(words), dtype=np.int32)
 
     def _stretches(self, word: bytes, back: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """Arcs of one long word by stretches of starts: first and last start, start node in the stretch, length, entry."""
@@ -183,7 +215,7 @@ class Lattice:
         for a, stop, start, n, entry in self._stretches(word):
             values = np.full((stop - a + self.reach + 1, weights.shape[1]), -np.inf)
             values[: self.reach + 1] = ahead
-            self._sweep(values, start, start + n, start + n, lambda i, entry=entry: weights[entry[i]], True)
+            self._sweep(values, start, start + n, n, (start + n).astype(np.int64), lambda i, entry=entry: weights[entry[i]], True)
             ahead = values[stop - a :]
             if keep is not None:
                 keep[a : stop + 1] = values[: stop - a + 1, 0]
@@ -197,10 +229,10 @@ class Lattice:
             if len(some[0]) >= STRETCH:
                 out[group[0]] = self._forward(some[0], self.weights)
                 continue
-            s, e, entry, _, level, first = self._joined(some)
-            alpha = np.full((int(e.max()) + 1, out.shape[1]), -np.inf)
+            s, n, entry, low, first = self._joined(some)
+            alpha = np.full((int((s + n).max()) + 1, out.shape[1]), -np.inf)
             alpha[first] = 0.0
-            self._sweep(alpha, s, e, level, lambda i, entry=entry: self.weights[entry[i]])
+            self._sweep(alpha, s, s + n, n, low + n, lambda i, entry=entry: self.weights[entry[i]])
             out[group] = alpha[np.append(first[1:] - 1, len(alpha) - 1)]
         return out
 
@@ -214,15 +246,16 @@ class Lattice:
                 kind = int(kinds[group[0]])
                 out[kind * size : (kind + 1) * size] += self._expected_long(some[0], kind) * counts[group[0]]
                 continue
-            s, e, entry, low, high, first = self._joined(some)
+            s, n, entry, low, first = self._joined(some)
+            e = s + n
             owner = np.searchsorted(first, s, side="right") - 1
             kind = kinds[group][owner]
             w = self.weights[entry, kind]
             alpha, beta = (np.full(int(e.max()) + 1, -np.inf) for _ in range(2))
             last = np.append(first[1:] - 1, len(alpha) - 1)
             alpha[first], beta[last] = 0.0, 0.0
-            self._sweep(alpha, s, e, high, w.__getitem__)
-            self._sweep(beta, e, s, low.max() - low, w.__getitem__)
+            self._sweep(alpha, s, e, n, low + n, w.__getitem__)
+            self._sweep(beta, e, s, n, low.max() - low, w.__getitem__)
             share = np.exp(alpha[s] + w + beta[e] - alpha[last[owner]]) * counts[group][owner]
             out += np.bincount(kind * size + entry, share, len(out))
         return out.reshape(-1, size)
@@ -238,7 +271,7 @@ class Lattice:
             beta = np.full(stop - a + self.reach + 1, -np.inf)
             beta[stop - a :] = behind
             w = own[entry, 0]
-            self._sweep(beta, start + n, start, (stop - a) - start, w.__getitem__)
+            self._sweep(beta, start + n, start, n, ((stop - a) - start).astype(np.int64), w.__getitem__)
             out += np.bincount(entry, np.exp(alpha[a + start] + w + beta[start + n] - total), len(out))
             behind = beta[: self.reach + 1].copy()
         return out
@@ -249,17 +282,27 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-BUCKETS = 4096
+#: Hash buckets of words by which classes are told apart, and texts whose bucket counts are held at once.
+BUCKETS, GRID = 4096, 256
 
 
 def _buckets(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % BUCKETS
 
 
+def _bucket_grid(texts: list[str]) -> Iterator[tuple[list[list[bytes]], np.ndarray]]:
+    """Words of texts, and how many of each text's words are in each bucket, by ``GRID`` texts at a time."""
+    for i in range(0, len(texts), GRID):
+        cut = [words_of(t) for t in texts[i : i + GRID]]
+        at = _buckets([w for c in cut for w in c])
+        owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+        yield cut, np.bincount(owner * BUCKETS + at, minlength=len(cut) * BUCKETS).reshape(-1, BUCKETS).astype(np.float32)
+
+
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [np.bincount(_buckets(words_of(t)), minlength=BUCKETS).astype(np.float32) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, type=pa.list_(pa.float32()))], ["row"])
+        for _, grid in _bucket_grid(batch.column(0).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(list(grid), type=pa.list_(pa.float32()))], ["row"])
 
 
 def seed_classes(rows: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
@@ -306,17 +349,13 @@ def reseeded(texts: DataFrame, weights: np.ndarray) -> np.ndarray:
         logw = shared.value
         sums = np.zeros(logw.shape)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                at = _buckets(words_of(text))
-                if not len(at):
-                    continue
-                score = logw[:, at].sum(axis=1) + logw[:, -1]
-                share = np.exp(score - score.max())
-                share /= share.sum()
-                row = np.bincount(at, minlength=BUCKETS)
-                for kind in np.flatnonzero(share > 1e-9).tolist():
-                    sums[kind, :-1] += share[kind] * row
-                sums[:, -1] += share
+            for _, grid in _bucket_grid(batch.column(0).to_pylist()):
+                grid = grid[grid.any(axis=1)]
+                score = grid @ logw[:, :-1].T + logw[:, -1]
+                share = np.exp(score - score.max(axis=1, keepdims=True))
+                share /= share.sum(axis=1, keepdims=True)
+                sums[:, :-1] += share.T @ grid
+                sums[:, -1] += share.sum(axis=0)
         flat = sums.ravel()
         some = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.int64()), pa.array(flat[some])], ["entry", "n"])
@@ -349,13 +388,13 @@ def word_counts(texts: DataFrame, seeds: np.ndarray) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words, type=pa.binary()), pa.array([kind] * len(n), type=pa.int32()), pa.array(n, type=pa.int64())], ["word", "kind", "c"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                kind = int((shared.value[:, _buckets(words)].sum(axis=1) + shared.value[:, -1]).argmax())
-                held[kind].update(words)
-                ended[kind] += 1
-                if sum(map(len, held)) > TABLE:
-                    yield from map(out, range(len(held)))
+            for cut, grid in _bucket_grid(batch.column(0).to_pylist()):
+                kinds = (grid @ shared.value[:, :-1].T + shared.value[:, -1]).argmax(axis=1).tolist()
+                for words, kind in zip(cut, kinds, strict=True):
+                    held[kind].update(words)
+                    ended[kind] += 1
+                    if sum(map(len, held)) > TABLE:
+                        yield from map(out, range(len(held)))
         yield from map(out, range(len(held)))
 
     return texts.select("text").mapInArrow(lean(count), "word binary, kind int, c long").groupBy("word", "kind").agg(F.sum("c").alias("c"))
@@ -435,12 +474,12 @@ def _scorer(pieces, common, end_log, log_prior, log_word, log_end):
         names, logp = pieces.value
         lattice, ids = Lattice(names, logp), row_ids()
         known_words, known_counts, known_marginals = common.value
-        index = _Index()
+        index, others = _Index(), []
         marginal, counts, logs_of = known_marginals, known_counts, np.log10(known_counts + 1.0)
 
         def reset() -> None:
             nonlocal marginal, counts, logs_of
-            index.clear()
+            index.clear(), others.clear()
             index.update(zip(known_words, range(len(known_words)), strict=True))
             marginal, counts, logs_of = known_marginals, known_counts, np.log10(known_counts + 1.0)
 
@@ -449,18 +488,16 @@ def _scorer(pieces, common, end_log, log_prior, log_word, log_end):
             if len(index) > len(known_words) + TABLE:
                 reset()
             cut = [words_of(t) for t in batch.column(1).to_pylist()]
-            words = [w for c in cut for w in c]
-            at = np.array(list(map(index.__getitem__, words)), dtype=np.int64)
+            lengths = np.array([len(c) for c in cut], dtype=np.int64)
+            at = np.fromiter(map(index.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(lengths.sum()))
             if index.fresh:
+                others += index.fresh
                 marginal = np.concatenate([marginal, lattice.marginals(index.fresh)])
                 counts = np.concatenate([counts, np.full(len(index.fresh), -1)])
                 logs_of = np.concatenate([logs_of, np.zeros(len(index.fresh))])
                 index.fresh.clear()
-            lengths = np.array([len(c) for c in cut], dtype=np.int64)
             owner = np.repeat(np.arange(len(cut)), lengths)
-            c = counts[at]
-            here = c >= 0
-            n = len(cut)
+            c, n = counts[at], len(cut)
             model = np.zeros((n, len(logp)))
             some = np.flatnonzero(lengths)
             if len(some):
@@ -469,13 +506,11 @@ def _scorer(pieces, common, end_log, log_prior, log_word, log_end):
             model = np.logaddexp.reduce(model, axis=1)
             logs = np.bincount(owner, logs_of[at], n) + end_log
             known = np.bincount(owner, c > 0, n).astype(np.int64)
-            rare, many, ends = [], [], [0]
-            for a, b in zip(np.cumsum(lengths) - lengths, np.cumsum(lengths), strict=True):
-                some = Counter(words[a + j] for j in np.flatnonzero(~here[a:b]))
-                rare += some
-                many += some.values()
-                ends.append(len(rare))
-            lists = [pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(v, type=t)) for v, t in ((rare, pa.binary()), (many, pa.int64()))]
+            away = np.flatnonzero(c < 0)  # each text's other words once, with how often they occur in it
+            once, many = np.unique(owner[away] * len(counts) + at[away], return_counts=True)
+            rare = [others[i] for i in (once % len(counts) - len(known_words)).tolist()]
+            ends = pa.array(np.searchsorted(once, np.arange(n + 1) * len(counts)), type=pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v, type=t)) for v, t in ((rare, pa.binary()), (many, pa.int64()))]
             rows = pa.array([next(ids) for _ in range(n)], type=pa.int64())
             yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(lengths + 1), pa.array(known), pa.array(logs), pa.array(model / np.log(10.0)), *lists], ["row_id", "doc_id", "n_tokens", "known", "logs", "score", "rare", "many"])
 
