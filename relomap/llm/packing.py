@@ -44,7 +44,8 @@ class Encoder:
 
     The merges of the file are run by the faster of two libraries, as ranked byte pairs, where that is known to give the
     same ids: the file's ids ascend in the order of its merges, and the text has only characters that both libraries
-    class alike and no special token. All other texts go through the tokenizers library itself.
+    class alike and no special token. All other texts go through the tokenizers library itself, and so do those that the
+    faster one refuses for a very long run of white space.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,7 +69,10 @@ class Encoder:
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is None or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # its pattern engine keeps a stack entry for each character of a run of white space
+            return self.whole(text)
 
 
 @dataclass(frozen=True)
