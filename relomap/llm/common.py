@@ -5,24 +5,26 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
-from functools import wraps
+from functools import reduce, wraps
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relomap.session import ship
 from relomap.tables import forget, scratch_root, written
 
-__all__ = ["ASCII_SPACE", "flat_bytes", "forget", "hashed_share", "held_side", "lean", "mix64", "row_ids", "runs_of", "scratch_root", "text_of", "train_side", "tune", "written"]
+__all__ = ["ASCII_SPACE", "flat_bytes", "forget", "free_name", "hashed_share", "held_side", "joined_by_size", "lean", "mix64", "row_ids", "runs_of", "scratch_root", "text_of", "train_side", "tune", "written"]
 
 #: Bytes of an Arrow batch that goes to a Python worker; a batch of very long texts then stays small.
 BATCH_BYTES = 4 << 20
 #: ASCII white space as the contracts list it: space and the characters from tab to carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: A key with more than one in so many of all rows is a hot one: there are at most as many of those.
+HOT = 10_000
 
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes and by rows, so that a worker's memory does not follow the text length."""
@@ -52,6 +54,36 @@ def held_side(column: str, modulus: int, held: int) -> Column:
     return (F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus) == held
 
 
+def joined_by_size(rows: DataFrame, sizes: DataFrame, keys: list[str], count: str, total: int, spread: Column, unknown: Column | None = None) -> DataFrame:
+    """``rows`` with what ``sizes`` knows of their keys, where it knows anything: an inner join that no hot key slows.
+
+    With ``unknown``, which is true of rows whose keys ``sizes`` surely has not, all rows stay: a left join.
+
+    ``sizes`` has a row per key and in ``count`` the rows of ``rows`` that have it, ``total`` in all. Keys of more than a
+    ``HOT``-th of them, of which there are at most ``HOT``, are broadcast, and their rows dealt by ``spread`` (a hash or a
+    number of the row); all others are joined by a shuffle. Keys are not null.
+    """
+    hot = F.col(count) > max(total // HOT, 1000)
+    known = [c for c in sizes.columns if c not in keys]
+    heavy = sizes.where(hot).select(*(F.col(k).alias(f"_hot_{k}") for k in keys), F.struct(*known).alias("_heavy"))
+    light = sizes.where(~hot).select(*(F.col(k).alias(f"_own_{k}") for k in keys), F.struct(*known).alias("_light"), F.lit(0).cast("long").alias("_calm"))
+    all_of = lambda prefix: reduce(lambda a, b: a & b, (F.col(k) == F.col(f"{prefix}{k}") for k in keys))
+    apart = F.col("_heavy").isNotNull() if unknown is None else F.col("_heavy").isNotNull() | unknown
+    tagged = rows.join(F.broadcast(heavy), all_of("_hot_"), "left").withColumn("_spread", F.when(apart, spread.bitwiseOR(F.lit(1))).otherwise(0))
+    joined = tagged.join(light, all_of("_own_") & (F.col("_spread") == F.col("_calm")), "left")
+    found = F.coalesce("_heavy", "_light")
+    joined = joined if unknown is not None else joined.where(F.col("_heavy").isNotNull() | F.col("_light").isNotNull())
+    return joined.select(*rows.columns, *(found[c].alias(c) for c in known))
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, or the first of ``name_``, ``name__`` and so on that is none of the columns, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A worker's function that gives memory back when it ends: workers live on, and what they keep is lost to others."""
 

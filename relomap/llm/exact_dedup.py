@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import ASCII_SPACE, flat_bytes, lean, text_of, tune, written
+from relomap.llm.common import ASCII_SPACE, flat_bytes, joined_by_size, lean, text_of, tune, written
 
 #: Bytes of a chunk; the last chunk's bytes are aligned to the end of the text, so the first one may be short.
 CHUNK = 512
@@ -132,7 +132,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, head = now, memoryview(bytes(text))
             same.append(same_bytes(head, text))
         keep = pa.array(own)
-        out = pa.RecordBatch.from_arrays([cols["doc_id"], cols["n_points"], cols["sha"], cols["fp"], pa.array(same)], ["doc_id", "n_points", "sha", "fp", "same"])
+        kept = ["doc_id", "n_points", "sha", "fp", "row"]
+        out = pa.RecordBatch.from_arrays([*(cols[c] for c in kept), pa.array(same)], [*kept, "same"])
         yield out.filter(keep)
 
 
@@ -146,39 +147,42 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     normalised text). One row per input row.
 
     Defined cases: a null text counts as empty and empty texts form one group; a null id sorts after all other ids; rows
-    repeated with the same id are members of one group and all have ``kept`` true if that id stays; an empty table gives
-    an empty result; other columns of ``docs`` are ignored, whatever their names.
+    repeated with the same id are members of one group and all have ``kept`` true if that id stays; ids may be of any
+    type that sorts; an empty table gives an empty result; other columns of ``docs`` are ignored, whatever their names.
     """
     spark, polynomial = docs.sparkSession, polynomial or Polynomial()
     tune(spark)
+    kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text")).select(
         "doc_id", F.length("_text").cast("long").alias("n_points"), F.translate("_text", ASCII_SPACE, "").alias("norm")
     )
-    base = base.withColumn("fp", fingerprint_column(F.col("norm"), polynomial))
-    rank = F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))
-    rows = written(spark, base.select("doc_id", "n_points", "fp", F.sha2(F.col("norm").cast("binary"), 256).alias("sha")), "fingerprints")
-    groups = written(spark, rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("head")), "groups")
-
-    alone = rows.join(groups.where("n = 1").select("fp"), "fp", "left_semi").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
+    base = base.withColumns({"fp": fingerprint_column(F.col("norm"), polynomial), "sha": F.sha2(F.col("norm").cast("binary"), 256), "row": F.monotonically_increasing_id()})
+    # Written once: the fingerprints and normal texts are not made again, and the rows keep their numbers.
+    rows = written(spark, base, "fingerprints")
+    total = rows.count()
+    rank = F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("row").alias("d"))
+    groups = written(spark, rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("head"), F.min("sha").alias("sha")), "groups")
+    spread = F.xxhash64("row")
+
+    # The group of a single row is that row.
+    alone = groups.where("n = 1").select(
+        F.col("head.c").alias("doc_id"), F.col("head.c").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
     # Members of larger groups carry their texts; the representative goes to every salt of its fingerprint, ahead of the others.
-    members = base.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256)).join(groups.where("n > 1"), "fp")
+    members = joined_by_size(rows, groups.where("n > 1").drop("sha"), ["fp"], "n", total, spread)
     salts = F.ceil(F.col("n") / ROWS_PER_SALT).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", "n_points"), salts).cast("int")
-    is_head = (F.col("head.a") == -F.col("n_points")) & F.col("head.c").eqNullSafe(F.col("doc_id"))
-    members = members.withColumn("is_head", is_head).withColumn("_own", own)
+    is_head = F.col("head.d") == F.col("row")
+    members = members.withColumn("is_head", is_head).withColumn("_own", F.pmod(spread, salts).cast("int"))
     members = members.withColumn("salt", F.explode(F.when(F.col("is_head"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array("_own"))))
-    members = members.select("doc_id", "n_points", "sha", "fp", "salt", "norm", (~F.col("is_head")).alias("tail"), (F.col("salt") == F.col("_own")).alias("own"))
+    members = members.select("doc_id", "n_points", "sha", "fp", "row", "salt", "norm", (~F.col("is_head")).alias("tail"), (F.col("salt") == F.col("_own")).alias("own"))
     compared = members.repartition("fp", "salt").sortWithinPartitions("fp", "salt", "tail")
-    checked = written(spark, compared.mapInArrow(lean(_compare), "doc_id long, n_points long, sha string, fp long, same boolean"), "compared")
+    checked = written(spark, compared.mapInArrow(lean(_compare), f"doc_id {kind}, n_points long, sha string, fp long, row long, same boolean"), "compared")
     # A row that differs from its representative (a collision) joins the rows with its own digest instead.
     checked = checked.withColumn("sub", F.when(F.col("same"), F.lit("")).otherwise(F.col("sha")))
     final = checked.groupBy("fp", "sub").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("head"))
-    together = checked.join(final, ["fp", "sub"]).select(
-        "doc_id", F.col("head.c").alias("keep_id"), "group_size", is_head.alias("kept"), F.col("sha").alias("text_sha256")
-    )
-    return alone.unionByName(together)
+    together = joined_by_size(checked, final, ["fp", "sub"], "group_size", total, spread)
+    kept = (F.col("head.a") == -F.col("n_points")) & F.col("head.c").eqNullSafe(F.col("doc_id"))
+    return alone.unionByName(together.select("doc_id", F.col("head.c").alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256")))
 
 
 __all__ = ["Polynomial", "exact_dedup", "fingerprint_column", "same_bytes"]
