@@ -12,20 +12,20 @@ words. That is the exact forward-backward recursion, for texts of any length.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relomap.llm.common import hashed_share, lean, mix64, text_of, tune
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Words of a block of the scan.
 BLOCK = 128
 #: Distinct words whose scores a worker holds; a full table starts anew.
@@ -36,19 +36,19 @@ RANGE = 25.0
 
 @dataclass(frozen=True)
 class LanguageOptions:
-    #: Texts per language that are learned from, about so many and by hashed id: the bound on the driver's sample.
-    texts_per_language: int = 400
-    #: Words of such a text that are learned from: a window at a place that the id's hash gives.
-    words_per_text: int = 400
-    #: Languages there may be.
-    languages: int = 200
+    #: Windows of texts that are learned from in each language, about so many and by hashed id and place: the bound on the
+    #: driver's sample. The windows of a text are parts of all of it, so every word of every text may be drawn.
+    windows_per_language: int = 400
+    #: UTF-8 bytes of a window, about; some 400 words.
+    window_bytes: int = 2400
     #: Lowest count of a word of the sample that gets a lexicon feature.
     lexicon_least: int = 3
     bits: int = 16
     sequence: int = 40
     #: Chance of a switch of text between two words of a training sequence.
     switch: float = 0.05
-    epochs: int = 4
+    #: Passes over the sample's words: the rounds of training follow from these and from the sample alone.
+    epochs: int = 3
     rate: float = 0.2
     l2: float = 1e-5
     seed: int = 7
@@ -169,7 +169,7 @@ def forward_backward(factors: np.ndarray, lengths: np.ndarray, transfer: np.ndar
 
 def fit(samples: list[tuple[str, list[str]]], o: LanguageOptions) -> LanguageModel:
     """Fit weights and transitions by stochastic gradient ascent on the conditional likelihood of spliced sequences."""
-    labels = sorted({lang for lang, _ in samples})[: o.languages]
+    labels = sorted({lang for lang, _ in samples})
     counts = Counter(w.lower() for _, words in samples for w in words)
     features = Features(o.bits, sorted(w for w, c in counts.items() if c >= o.lexicon_least))
     k, rng = max(1, len(labels)), np.random.default_rng(o.seed)
@@ -187,7 +187,7 @@ def fit(samples: list[tuple[str, list[str]]], o: LanguageOptions) -> LanguageMod
     square, square_t = np.full(model.weights.shape, 1e-2), np.full((k, k), 1.0)
     total = sum(len(p) for pool in pools for p in pool)
     batch = 64
-    rounds = max(1, min(600, o.epochs * total // (batch * o.sequence)))
+    rounds = max(1, o.epochs * total // (batch * o.sequence))
     for _ in range(rounds):
         words, gold = np.zeros((batch, o.sequence), dtype=np.int64), np.zeros((batch, o.sequence), dtype=np.int64)
         for b in range(batch):
@@ -238,27 +238,27 @@ def fit(samples: list[tuple[str, list[str]]], o: LanguageOptions) -> LanguageMod
 
 
 def fit_language(docs: DataFrame, learn: Column, options: LanguageOptions | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on a bounded sample of the rows where ``learn`` holds and text and language are not null."""
+    """Fit on a bounded sample of the rows where ``learn`` holds and text and language are not null, of every language."""
     o = options or LanguageOptions()
     tune(docs.sparkSession)
     known = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    known = known.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(1)).alias("h"), F.col(text_col).alias("text"))
-    sizes = docs.where(learn & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.orderBy(F.col("n").desc(), "lang").limit(o.languages)
-    chosen = known.join(F.broadcast(sizes), "lang").where(hashed_share(F.col("h"), o.texts_per_language, F.col("n"))).drop("n")
+    windows = F.ceil((F.octet_length(F.col(text_col)) + 1) / o.window_bytes).cast("int")
+    known = known.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(1)).alias("h"), F.col(text_col).alias("text"), windows.alias("windows"))
+    sizes = known.groupBy("lang").agg(F.sum("windows").alias("n"))  # a row per language
+    parts = known.join(F.broadcast(sizes), "lang").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
+    chosen = parts.where(hashed_share(F.xxhash64("h", "part"), o.windows_per_language, F.col("n"))).select("lang", "h", "text", "windows", "part")
 
     def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, h, texts = batch.columns
+            lang, h, texts, windows, parts = batch.columns
             cut = []
-            for number, text in zip(h.to_pylist(), texts.to_pylist(), strict=True):
+            for text, n, i in zip(texts.to_pylist(), windows.to_pylist(), parts.to_pylist(), strict=True):
                 words = text.split()
-                at = number % max(1, len(words) - o.words_per_text + 1)
-                cut.append(words[at : at + o.words_per_text])
-            yield pa.RecordBatch.from_arrays([lang, h, pa.array(cut, type=pa.list_(pa.string()))], ["lang", "h", "words"])
+                cut.append(words[i * len(words) // n : (i + 1) * len(words) // n])
+            yield pa.RecordBatch.from_arrays([lang, h, parts, pa.array(cut, type=pa.list_(pa.string()))], ["lang", "h", "part", "words"])
 
-    rows = chosen.mapInArrow(lean(window), "lang string, h long, words array<string>").collect()  # a bounded sample
-    return fit([(lang, words) for lang, _, words in sorted((r.lang, r.h, r.words) for r in rows)], o)
+    rows = chosen.mapInArrow(lean(window), "lang string, h long, part int, words array<string>").collect()  # a bounded sample
+    return fit([(lang, words) for lang, _, _, words in sorted((r.lang, r.h, r.part, r.words) for r in rows)], o)
 
 
 class Labeller:
@@ -308,8 +308,8 @@ class Labeller:
         return [self.model.labels[b] if m else UNKNOWN for b, m in zip(best, n, strict=True)], np.clip(score, 0.0, 1.0)
 
 
-def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Label every whole text: the columns of ``docs`` and ``lang_pred`` and ``lang_score``.
+def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """Label every whole text: the columns of ``docs`` and ``lang_pred`` and ``lang_score``, or what these are to be named.
 
     ``lang_pred`` is the language with the highest mean posterior over the words that have letters, ``lang_score`` that
     mean. Ties go to the first label in order.
@@ -329,9 +329,9 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
             langs, scores = labeller.texts(batch.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], ["lang", "score"])
 
-    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    found = docs.select(*names, label(text_of(text_col)).alias("_found"))
-    return found.select(*names, F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("lang_score"))
+    names = [c for c in docs.columns if c not in (pred_col, score_col)]
+    found = docs.select(F.struct(*names).alias("row"), label(text_of(text_col)).alias("found"))
+    return found.select(*(F.col("row").getField(c).alias(c) for c in names), F.col("found.lang").alias(pred_col), F.col("found.score").alias(score_col))
 
 
 def word_languages(texts: list[str | None], model: LanguageModel) -> list[list[tuple[str, str, float]]]:

@@ -179,8 +179,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, options: Qual
     return fit(rows, got.column("label").to_numpy().astype(np.float64), o)
 
 
-def score_quality(docs: DataFrame, model: BoostedTrees, options: QualityOptions | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every whole text: the columns of ``docs`` and ``quality_score`` (0 to 1) and ``quality_predicted`` (0 or 1).
+def score_quality(docs: DataFrame, model: BoostedTrees, options: QualityOptions | None = None, text_col: str = "text", score_col: str = "quality_score", predicted_col: str = "quality_predicted") -> DataFrame:
+    """Score every whole text: the columns of ``docs`` and ``quality_score`` (0 to 1) and ``quality_predicted`` (0 or 1), or
+    what these are to be named.
 
     Defined cases: a null or empty text has all-zero statistics and is scored by them; texts of any length are measured
     whole; rows with null or repeated ids are rows as any other; an empty table gives an empty result. Columns of
@@ -193,4 +194,4 @@ def score_quality(docs: DataFrame, model: BoostedTrees, options: QualityOptions
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(shared.value.score(statistics(texts)))
 
-    return docs.withColumn("quality_score", score(text_of(text_col))).withColumn("quality_predicted", (F.col("quality_score") >= limit).cast("int"))
+    return docs.withColumn(score_col, score(text_of(text_col))).withColumn(predicted_col, (F.col(score_col) >= limit).cast("int"))
