@@ -3,7 +3,7 @@
 Groups of equal texts are the items; each goes to the shard whose residual capacity has the highest dot product with
 it. The packing itself sees a bounded number of items whatever the input: a group of at least ``1 / HEAVY`` of all bytes,
 tokens or rows is an item of its own (there are at most ``3 * HEAVY`` of them), and all lighter groups share ``LIGHT`` hash buckets, whole
-groups to a bucket. A group that passes half of a shard's fair share is cut into pieces of at most that.
+groups to a bucket. Only a group that passes a shard's fair share is cut, into pieces of at most that.
 """
 
 from __future__ import annotations
@@ -24,14 +24,21 @@ class ShardOptions:
     heavy: int = 2400
     #: Hash buckets that the lighter groups share.
     light: int = 12000
+    #: Rows of an item that one task numbers.
+    numbered: int = 50_000
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
-    """Shards for items (rows of non-negative loads): largest first, highest dot product with residual capacity.
+    """Shards for items (rows of non-negative loads): packed by dot product, then evened out by exchanges."""
+    return _even_out(items, pack(items, shards), shards)
+
+
+def pack(items: np.ndarray, shards: int) -> np.ndarray:
+    """Largest first, highest dot product with residual capacity.
 
     Loads are scaled by each dimension's total, so that a capacity is ``1 / shards`` everywhere. A shard is open for an
     item while the item fits the residual in every dimension; if it fits nowhere, the shard with the largest least
-    residual takes it. The last word has ``_even_out``.
+    residual takes it. Ties go to the first item and the first shard.
     """
     total = items.sum(axis=0).astype(np.float64)
     loads = items / np.where(total > 0, total, 1)
@@ -44,7 +51,7 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
         k = int(score.argmax()) if fits.any() else int((residual - loads[i]).min(axis=1).argmax())
         out[i] = k
         residual[k] -= loads[i]
-    return _even_out(items, out, shards)
+    return out
 
 
 def _even_out(items: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
@@ -126,31 +133,37 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.crc32(F.col("_t").cast("binary")).alias("text_crc32"),
         F.regexp_count("_t", F.lit(r"[^ \t-\r]+")).cast("long").alias("n_tokens"),
         F.md5(F.col("_t").cast("binary")).alias("group"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    rows = written(spark, base, "sizes")
+    rows = written(spark, base, "sizes")  # the rows keep their numbers
     loads = [F.sum("size").alias("b"), F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("r")]
     total = rows.agg(*loads).first()
     share = F.greatest(*(F.col(c) / max(1, x or 0) for c, x in zip("btr", total, strict=True)))
     # The heavy groups: a bounded number of rows, each above a fixed fraction of the whole.
     heavy = rows.groupBy("group").agg(*loads).where(share >= 1 / o.heavy)
-    heavy_rows = heavy.select("group", F.least(F.ceil(share * 2 * o.shards), "r").cast("int").alias("pieces")).collect()
+    heavy_rows = heavy.select("group", F.least(F.ceil(share * o.shards), "r").cast("int").alias("pieces")).collect()
     names = {g: i for i, (g, _) in enumerate(sorted(heavy_rows))}
     known = spark.createDataFrame([(g, names[g], n) for g, n in heavy_rows], "group string, heavy int, pieces int")
 
-    piece = F.pmod(F.xxhash64("doc_id", "group", "size"), F.col("pieces")).cast("int")
+    piece = F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int")
     bucket = F.pmod(F.xxhash64("group"), F.lit(o.light)).cast("int")
     unit = F.when(F.col("heavy").isNull(), F.concat(F.lit("l"), bucket.cast("string"))).otherwise(F.concat(F.lit("h"), F.col("heavy").cast("string"), F.lit("."), piece.cast("string")))
     units = rows.join(F.broadcast(known), "group", "left").withColumn("unit", unit).drop("group", "heavy", "pieces")
-    found = sorted(tuple(r) for r in units.groupBy("unit").agg(*loads).collect())  # at most light + 2 * 3 * heavy rows
+    found = sorted(tuple(r) for r in units.groupBy("unit").agg(*loads).collect())  # at most light + 3 * (heavy + shards) rows
     items = np.array([r[1:] for r in found], dtype=np.int64).reshape(-1, 3)
     shard = place(items, o.shards)
     start, seen = np.zeros(len(found), dtype=np.int64), np.zeros(o.shards, dtype=np.int64)
     for i, k in enumerate(shard):
         start[i], seen[k] = seen[k], seen[k] + items[i, 2]
-    plan = spark.createDataFrame([(u[0], int(k), int(s)) for u, k, s in zip(found, shard, start, strict=True)], "unit string, shard int, start long")
-    order = Window.partitionBy("unit").orderBy("doc_id", "text_crc32", "size")
+    plan = [(u[0], int(k), int(s), -(-int(u[3]) // o.numbered)) for u, k, s in zip(found, shard, start, strict=True)]
+    dealt = units.join(F.broadcast(spark.createDataFrame(plan, "unit string, shard int, start long, parts int")), "unit")
+    # The rows of an item are numbered in parts, so that a large item is not one task's.
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "row"), F.col("parts")).cast("int"))
+    earlier = Window.partitionBy("unit").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("unit", "part").agg(F.count(F.lit(1)).alias("n")).select("unit", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    order = Window.partitionBy("unit", "part").orderBy("doc_id", "text_crc32", "size", "row")
     return (
-        units.join(F.broadcast(plan), "unit")
-        .withColumn("slot", (F.col("start") + F.row_number().over(order) - 1).cast("long"))
+        dealt.join(parts, ["unit", "part"])
+        .withColumn("slot", (F.col("start") + F.col("before") + F.row_number().over(order) - 1).cast("long"))
         .select("doc_id", "size", "text_crc32", "n_tokens", "shard", "slot")
     )
