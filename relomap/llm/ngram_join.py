@@ -3,7 +3,9 @@
 Each distinct set of word n-grams gets a sketch of min-hash tokens. A run splits all sets by sampled tokens: at each node
 of a path every token is sampled with chance ``1 / (threshold * tokens)`` by a hash of the path and the token, and sets
 that share a sampled token meet in a child. Small nodes are compared by brute force over sketches, large ones are split
-again, and runs are repeated until a pair at the threshold is met with the target recall. What the runs link is a
+again, and runs are repeated until a pair at the threshold is met with the target recall. The chance to stay together
+falls with each level, so from level ``depth`` on twice as many tokens are sampled: it then has a floor, whatever the
+depth, and the runs are reckoned from that. What the runs link is a
 candidate component; inside it all pairs are compared exactly, in blocks, so links are counted and never listed.
 """
 
@@ -37,8 +39,9 @@ class JoinOptions:
     #: Sketches with this share of equal tokens are candidates: four standard deviations below the threshold.
     candidate: float = 0.6
     recall: float = 0.999
-    #: Levels of splitting that the number of runs is reckoned for.
+    #: Levels of splitting at which a shared token is sampled with a mean of one; below them ``deep`` times as many are.
     depth: int = 3
+    deep: float = 2.0
     #: Sets of a node that are compared by brute force.
     brute: int = 64
     #: Sets of a node that one task splits further; larger nodes are split by the cluster.
@@ -51,9 +54,11 @@ class JoinOptions:
 
     @property
     def runs(self) -> int:
-        """Runs after which a pair at the threshold has met with the target recall."""
+        """Runs after which a pair at the threshold has met with the target recall, however deep its path goes."""
         met = 1.0
-        for _ in range(self.depth):  # sampled shared tokens are about Poisson with mean one
+        for _ in range(200):  # sampled shared tokens are about Poisson, and this falls to its fixed point
+            met = 1.0 - math.exp(-self.deep * met)
+        for _ in range(self.depth):
             met = 1.0 - math.exp(-met)
         return math.ceil(math.log(1.0 - self.recall) / math.log(1.0 - met))
 
@@ -151,24 +156,25 @@ def _measure(o: JoinOptions):
     return measure
 
 
-def sampled(sketch: np.ndarray, path: np.ndarray, o: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and child paths of the tokens that are sampled at the nodes ``path`` of each row."""
+def sampled(sketch: np.ndarray, path: np.ndarray, o: JoinOptions, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and child paths of the tokens that are sampled at the nodes ``path`` of each row, which are at ``level``."""
+    share = (1.0 if level < o.depth else o.deep) / (o.threshold * o.tokens)
     token = sketch.astype(np.uint64) | (np.arange(sketch.shape[1], dtype=np.uint64) << np.uint64(32))
     h = mix64(token ^ path[:, None].view(np.uint64))
-    rows, j = np.nonzero(h < np.uint64(int((1 << 64) / (o.threshold * o.tokens))))
+    rows, j = np.nonzero(h < np.uint64(int((1 << 64) * share)))
     return rows, mix64(h[rows, j] + np.uint64(1)).view(np.int64)
 
 
-def _split(o: JoinOptions, first: bool):
-    """Rows (node, sketch, path) to rows (path, node) of their children; at first, the roots of all runs."""
+def _split(o: JoinOptions, level: int):
+    """Rows (node, sketch, path) to rows (path, node) of their children; at level 0, the roots of all runs."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = [np.int64(o.seed * 1000 + r) for r in range(o.runs)]
         for batch in batches:
             node = batch.column(0).to_numpy()
             sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u4").reshape(-1, o.tokens)
-            for path in [np.full(len(node), r) for r in roots] if first else [batch.column(2).to_numpy()]:
-                rows, child = sampled(sketch, path, o)
+            for path in [batch.column(2).to_numpy()] if level else [np.full(len(node), r) for r in roots]:
+                rows, child = sampled(sketch, path, o, level)
                 yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(node[rows])], ["path", "node"])
 
     return split
@@ -198,8 +204,8 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def linked(sketch: np.ndarray, path: np.int64, o: JoinOptions) -> list[tuple[int, int]]:
-    """Spanning links of the candidate pairs that splitting finds among the rows of one node."""
+def linked(sketch: np.ndarray, path: np.int64, o: JoinOptions, level: int = 0) -> list[tuple[int, int]]:
+    """Spanning links of the candidate pairs that splitting finds among the rows of one node, which is at ``level``."""
     forest, out = Forest(len(sketch)), []
     least = math.ceil(o.candidate * o.tokens)
 
@@ -231,13 +237,13 @@ def linked(sketch: np.ndarray, path: np.int64, o: JoinOptions) -> list[tuple[int
         some = rows[:: max(1, len(rows) // 40)][:40]
         return float((sketch[some][:, None, :] == sketch[some][None, :, :]).mean()) > o.candidate
 
-    todo = [(np.arange(len(sketch)), path, 0)]
+    todo = [(np.arange(len(sketch)), path, level)]
     while todo:
         rows, at, depth = todo.pop()
-        if len(rows) <= o.brute or depth >= o.levels or (len(rows) <= 4096 and alike(rows)):
+        if len(rows) <= o.brute or depth >= level + o.levels or (len(rows) <= 4096 and alike(rows)):
             brute(rows)
             continue
-        pick, child = sampled(sketch[rows], np.full(len(rows), at), o)
+        pick, child = sampled(sketch[rows], np.full(len(rows), at), o, depth)
         order = np.argsort(child, kind="stable")
         pick, child = pick[order], child[order]
         cuts = np.flatnonzero(np.concatenate([[True], child[1:] != child[:-1], [True]]))
@@ -247,14 +253,14 @@ def linked(sketch: np.ndarray, path: np.int64, o: JoinOptions) -> list[tuple[int
     return out
 
 
-def _link(o: JoinOptions):
+def _link(o: JoinOptions, level: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int] = []
         for run in runs_of(batches, "path"):
             node = run.column("node").to_numpy()
             sketch = np.frombuffer(b"".join(run.column("sketch").to_pylist()), dtype="<u4").reshape(-1, o.tokens)
-            for x, y in linked(sketch, run.column("path")[0].as_py(), o):
+            for x, y in linked(sketch, run.column("path")[0].as_py(), o, level):
                 a.append(node[x])
                 b.append(node[y])
             if len(a) > 50_000:
@@ -342,7 +348,7 @@ def _grams(words: int):
 def candidate_links(sets: DataFrame, o: JoinOptions) -> DataFrame:
     """Candidate links ``a``, ``b`` between nodes of ``sets`` (``node``, ``sketch``), spanning within each path's node."""
     spark = sets.sparkSession
-    rows = sets.select("node", "sketch").mapInArrow(lean(_split(o, True)), "path long, node long")
+    rows = sets.select("node", "sketch").mapInArrow(lean(_split(o, 0)), "path long, node long")
     edges: DataFrame | None = None
     for level in range(o.levels + 1):
         met = written(spark, rows.repartition("path").sortWithinPartitions("path", "node").mapInArrow(lean(_several), "path long, node long"), "met")
@@ -351,14 +357,14 @@ def candidate_links(sets: DataFrame, o: JoinOptions) -> DataFrame:
         more = big.limit(1).count() > 0
         small = met.join(big, "path", "left_anti") if more else met
         ready = small.join(sets.select("node", "sketch"), "node").select("path", "node", "sketch")
-        found = ready.repartition("path").sortWithinPartitions("path", "node").mapInArrow(lean(_link(o)), "a long, b long")
+        found = ready.repartition("path").sortWithinPartitions("path", "node").mapInArrow(lean(_link(o, level + 1)), "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
         if not more:
             break
         if level == o.levels:  # still as large after so many splits: one candidate component, for the exact stage to part
             edges = edges.unionByName(met.join(big, "path").select(F.col("head").alias("a"), F.col("node").alias("b")))
             break
-        rows = met.join(big, "path", "left_semi").join(sets.select("node", "sketch"), "node").select("node", "sketch", "path").mapInArrow(lean(_split(o, False)), "path long, node long")
+        rows = met.join(big, "path", "left_semi").join(sets.select("node", "sketch"), "node").select("node", "sketch", "path").mapInArrow(lean(_split(o, level + 1)), "path long, node long")
     return edges
 
 
@@ -429,9 +435,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     under its least id the one with the least hashes stays. Of the rows without n-grams each document stays.
     """
     found = _classed(docs, id_col, text_col, options)
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
-    first = found.where("class IS NOT NULL").groupBy("class").agg(F.min(row).alias("row")).select("row.doc_id", "row.t1", "row.t2")
-    stay = first.unionByName(found.where("class IS NULL").select("doc_id", "t1", "t2").distinct()).toDF("_stay", "_t1", "_t2")
-    keys = docs.withColumns({"_k1": F.xxhash64(text_of(text_col)), "_k2": F.xxhash64(F.lit(1), text_of(text_col))})
-    same = F.col(id_col).eqNullSafe(F.col("_stay")) & (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2"))
-    return keys.join(stay, same, "left_semi").dropDuplicates([id_col, "_k1", "_k2"]).drop("_k1", "_k2")
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
+    first = found.where("class IS NOT NULL").groupBy("class").agg(F.min(least).alias("row")).select("row.doc_id", "row.t1", "row.t2")
+    stay = first.unionByName(found.where("class IS NULL").select("doc_id", "t1", "t2").distinct())
+    keys = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("k1"), F.xxhash64(F.lit(1), text_of(text_col)).alias("k2"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))
+    kept = keys.join(stay, same, "left_semi").dropDuplicates(["id", "k1", "k2"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
