@@ -17,6 +17,8 @@ _BASE = 0x9E3779B97F4A7C15
 _GAPS, _DENSE = np.array([32, 9, 11, 12, 13], dtype=np.uint32), 0x2E80
 #: Code points of lines that are signed together, unless one line is longer.
 SLICE = 1 << 20
+#: Words of a band of lengths in the keys of word signatures.
+BAND = 32
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
@@ -40,10 +42,14 @@ def segments(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.nda
 
 
 class Signer:
-    """Signatures of lines given as code points end to end."""
+    """Signatures of lines given as code points end to end.
 
-    def __init__(self, edits: int) -> None:
-        self.edits, self.probes = edits, probes(edits)
+    With a ``band`` a key knows its line's length only as a multiple of that many. The probes for the lengths of a band
+    then share most of their substrings, so a line has about the square of its edits in keys instead of the cube.
+    """
+
+    def __init__(self, edits: int, band: int = 1) -> None:
+        self.edits, self.probes, self.band = edits, probes(edits), band
         self._power = self._inverse = np.ones(1, dtype=np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -70,7 +76,9 @@ class Signer:
                 ok = (place + shift >= 0) & (place + shift + size <= length) & (total >= self.edits + 1)
                 a = (start + place + shift)[ok]
                 h = (sums[a + size[ok]] - sums[a]) * self._inverse[a]
-                key = mix64(mix64(h + total[ok].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) + np.uint64(i + 1))
+                if self.band > 1:  # the length no longer gives the segment's own
+                    h = mix64(h + size[ok].astype(np.uint64))
+                key = mix64(mix64(h + (total[ok] // self.band).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) + np.uint64(i + 1))
                 lines.append(number[ok])
                 roles.append(np.full(len(a), index))
                 keys.append(key.view(np.int64))
@@ -82,7 +90,11 @@ class Signer:
             first = last
         if not lines:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
-        return np.concatenate(lines), np.concatenate(roles), np.concatenate(keys)
+        line, index, key = np.concatenate(lines), np.concatenate(roles), np.concatenate(keys)
+        if self.band > 1:  # each key of a line once, as an index key where it is one: those are ahead
+            once = np.unique(mix64(line.astype(np.uint64) * np.uint64(_BASE)) ^ key.view(np.uint64), return_index=True)[1]
+            line, index, key = line[once], index[once], key[once]
+        return line, index, key
 
 
 def word_hashes(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +132,7 @@ class WordSigner:
 
     def __init__(self, per: int, most: int) -> None:
         self.per, self.most = per, most
-        self.signers = {e: Signer(e) for e in range(1, most + 1)}
+        self.signers = {e: Signer(e, BAND) for e in range(1, most + 1)}
 
     def sign(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Arrays of (line number, is index, key), as ``Signer.sign``."""
@@ -136,9 +148,8 @@ class WordSigner:
                 ends = np.cumsum(size[pick])
                 spots = np.repeat(at[pick] - (ends - size[pick]), size[pick]) + np.arange(ends[-1])
                 number, index, key = signer.sign(words[spots], np.concatenate([[0], ends]))
-                keep = ~index if probing else np.ones(len(key), dtype=bool)
-                key = mix64(key[keep].view(np.uint64) + np.uint64(e)).view(np.int64)
-                found.append((pick[number[keep]], index[keep], key))
+                key = mix64(key.view(np.uint64) + np.uint64(e)).view(np.int64)
+                found.append((pick[number], index & (not probing), key))  # in a band its own segments may be probes as well
         if not found:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))

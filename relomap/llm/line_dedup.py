@@ -19,33 +19,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import lean, runs_of, text_of, tune, written
+from relomap.llm.common import joined_by_size, lean, runs_of, text_of, tune, written
 from relomap.llm.components import Forest, components
 from relomap.llm.editjoin import Signer, WordSigner, within, within_words
 
 #: ASCII white space but the line feed, which ends lines.
 _BLANK = " \t\x0b\x0c\r"
+#: A signature's row has 63 bits of its line's hash; the sign bit is set in index rows, which so come first.
+_WHO, _INDEX = (1 << 63) - 1, -(1 << 63)
 
 
 @dataclass(frozen=True)
 class LineOptions:
     edits: int = 2
-    #: Lines of fewer code points, trimmed, are too short for edits: they stay as they are, or see ``short_exact``.
+    #: Lines of fewer code points, trimmed, are too short for edits: two of a word of five make another word. If not empty,
+    #: they form classes of equal lines.
     min_chars: int = 20
-    #: Whether those short lines, if not empty, form classes of equal lines.
-    short_exact: bool = False
     #: Lines of n words or more are also linked within one word edit, those of 2n within two and so on; 0 for none.
-    words_per_edit: int = 0
-    #: Where the growth of the word edits ends: signatures of a line grow with the cube of its edits.
+    words_per_edit: int = 30
+    #: Where the growth of the word edits ends: signatures of a line grow with the square of its edits.
     most_word_edits: int = 12
     #: Rows of a signature that one task compares; more are cut into blocks, and all pairs of blocks compared.
     block: int = 1024
 
-    @property
-    def least(self) -> int:
-        """Code points from which on lines are in classes."""
-        return min(1, self.min_chars) if self.short_exact else self.min_chars
-
 
 def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
@@ -74,15 +70,16 @@ def _sign(o: LineOptions):
                 more = by_words.sign(*lines)
                 number, index, key = (np.concatenate(c) for c in zip((number, index, key), (*more[:2], more[2] | 1), strict=True))
             row = np.array(fresh, dtype=np.int64)[number]
+            who = (h1[row] & _WHO) | np.where(index, _INDEX, 0)
             for at in range(0, len(key), 100_000):
                 part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(~index[part]), pa.array(h1[row[part]]), pa.array(h2[row[part]])], ["key", "probe", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(who[part])], ["key", "who"])
 
     return sign
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, probe, h1, h2), those of keys that have an index row and rows of two lines or more.
+    """Of rows sorted by (key, who), those of keys that have an index row and rows of two lines or more.
 
     What is held between batches is the end of a key's run that has shown one line so far: two rows at most.
     """
@@ -92,12 +89,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = pa.concat_batches([held, batch])
         if not batch.num_rows:
             continue
-        k, probe, h1, h2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (probe[1:] != probe[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        batch, k, probe, h1, h2 = batch.filter(pa.array(fresh)), k[fresh], probe[fresh], h1[fresh], h2[fresh]
+        k, who = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (who[1:] != who[:-1])])
+        batch, k, who = batch.filter(pa.array(fresh)), k[fresh], who[fresh]
+        line, probe = who & _WHO, who >= 0
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        several = (np.minimum.reduceat(h1, starts) != np.maximum.reduceat(h1, starts)) | (np.minimum.reduceat(h2, starts) != np.maximum.reduceat(h2, starts))
-        good = several & ~probe[starts]
+        good = (np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts)) & ~probe[starts]
         if held is None and k[0] == key:
             good[0] = state == "open"
         last = int(starts[-1])
@@ -192,25 +189,26 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, extra: list[Column] = ()
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: LineOptions | None = None) -> DataFrame:
-    """One row per judged distinct line: ``h1``, ``h2`` (its identity), ``first`` (doc_id and line_no of its class's first
-    occurrence, as ``first.doc_id`` and ``first.line_no``), ``class_size`` (occurrences of the class's lines)."""
+    """One row per distinct line that is not empty: ``h1``, ``h2`` (its identity), ``n`` (its occurrences), ``first`` (doc_id
+    and line_no of its class's first occurrence), ``class_size`` (occurrences of the class's lines)."""
     spark, o = docs.sparkSession, options or LineOptions()
     tune(spark)
-    judged = _lines(docs, id_col, text_col).where(F.col("n_chars") >= o.least)
+    judged = _lines(docs, id_col, text_col).where("n_chars > 0")
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
     firsts = written(spark, judged.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "lines")
 
-    signed = judged.where(F.col("n_chars") >= o.min_chars).select("line", "h1", "h2").mapInArrow(lean(_sign(o)), "key long, probe boolean, h1 long, h2 long")
-    met = signed.repartition("key").sortWithinPartitions("key", "probe", "h1", "h2").mapInArrow(lean(_meet), "key long, probe boolean, h1 long, h2 long")
-    met = written(spark, met, "met")
-    wanted = met.select("h1", "h2").distinct()
-    texts = judged.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("text"))
-    texts = written(spark, texts.withColumn("node", F.monotonically_increasing_id()), "candidates")
+    signed = judged.where(F.col("n_chars") >= o.min_chars).select("line", "h1", "h2").mapInArrow(lean(_sign(o)), "key long, who long")
+    met = signed.repartition("key").sortWithinPartitions("key", "who").mapInArrow(lean(_meet), "key long, who long")
+    met = written(spark, met.select("key", F.col("who").bitwiseAND(F.lit(_WHO)).alias("line_hash"), (F.col("who") >= 0).alias("probe")), "met")
+    # Written, so that its size is known before the texts are dealt: Spark broadcasts it if small, else both are dealt.
+    wanted = written(spark, met.select("line_hash").distinct(), "wanted")
+    texts = judged.withColumn("line_hash", F.col("h1").bitwiseAND(F.lit(_WHO))).join(wanted, "line_hash", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("text"))
+    texts = written(spark, texts.withColumns({"node": F.monotonically_increasing_id(), "line_hash": F.col("h1").bitwiseAND(F.lit(_WHO))}), "candidates")
 
     # A key's rows are compared in one task, or, if many, in blocks: each row goes to the block pairs that hold its block.
     blocks = F.ceil(F.col("rows") / o.block).cast("int")
     sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > o.block).select("key", blocks.alias("blocks"))
-    dealt = met.join(sizes, "key", "left").join(texts, ["h1", "h2"]).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = met.join(sizes, "key", "left").join(texts, "line_hash").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.col("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     # Side 0 or 1 tells the blocks of a pair apart, so that only rows of different ones are compared; 2 is a block with itself.
@@ -221,21 +219,28 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = written(spark, linked, "linked")
     whole = linked.join(firsts, ["h1", "h2"]).groupBy("root").agg(F.min("first").alias("class_first"), F.sum("n").alias("class_n"))
     classed = linked.join(whole, "root").drop("root")
-    return firsts.join(classed, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("class_first", "first").alias("first"), F.coalesce("class_n", "n").alias("class_size"))
+    found = firsts.join(classed, ["h1", "h2"], "left").select("h1", "h2", "n", F.coalesce("class_first", "first").alias("first"), F.coalesce("class_n", "n").alias("class_size"))
+    return written(spark, found, "line-classes")
+
+
+def _with_classes(lines: DataFrame, classes: DataFrame, keep: bool) -> DataFrame:
+    """Lines with what their classes say, by a join that a line of many occurrences does not slow; ``keep`` empty lines."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    return joined_by_size(lines, classes, ["h1", "h2"], "n", total, F.xxhash64("doc_id", "line_no"), F.col("n_chars") == 0 if keep else None)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: LineOptions | None = None) -> DataFrame:
     """One row per line of every text: ``doc_id``, ``line_no``, ``n_chars`` (trimmed), ``class_doc_id`` and
     ``class_line_no`` (where the line's class occurs first), ``class_size`` (its occurrences), ``kept``.
 
-    Defined cases: a null text counts as empty and is one empty line; lines shorter than ``min_chars`` are classes of
-    their own, with size 1, and stay, but with ``short_exact`` equal ones, if not empty, are one class; a null id sorts after all others; rows repeated with the same id have the same
-    first occurrence, so all of them keep it; an empty table gives an empty result; other columns are ignored.
+    Defined cases: a null text counts as empty and is one empty line; empty lines are classes of their own, with size 1,
+    and stay; lines shorter than ``min_chars`` are linked with equal ones only; a null id sorts after all others; rows
+    repeated with the same id have the same first occurrence, so all of them keep it; an empty table gives an empty
+    result; other columns are ignored.
     """
-    o = options or LineOptions()
     lines = _lines(docs, id_col, text_col).drop("line")
-    found = lines.join(line_classes(docs, id_col, text_col, o), ["h1", "h2"], "left")
-    judged = F.col("n_chars") >= o.least
+    found = _with_classes(lines, line_classes(docs, id_col, text_col, options), True)
+    judged = F.col("n_chars") > 0
     first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))
     return found.select(
         "doc_id",
@@ -251,18 +256,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: LineOptions | None = None) -> DataFrame:
     """The rows of ``docs`` with the repeated lines taken out of their texts; all columns as they were.
 
-    A text without repeated lines is returned unchanged; of others the remaining lines are joined by line feeds. Rows
-    equal in id and text are one document to this operator: both keep their first occurrences.
+    A text without repeated lines is returned unchanged; of others the remaining lines, empty ones among them, are joined
+    by line feeds. Rows equal in id and text are one document to this operator: both keep their first occurrences. A null
+    text stays null; a null id sorts after all others; columns may have any names.
     """
-    o = options or LineOptions()
-    identity = [F.xxhash64(text_col).alias("_t1"), F.xxhash64(F.lit(1), text_col).alias("_t2")]
-    lines = _lines(docs.where(F.col(text_col).isNotNull()), id_col, text_col, identity).drop("line").where(F.col("n_chars") >= o.least)
-    found = lines.join(line_classes(docs, id_col, text_col, o), ["h1", "h2"])
+    identity = [F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2")]
+    texts = docs.where(F.col(text_col).isNotNull())
+    lines = _lines(texts, id_col, text_col, identity).drop("line").where("n_chars > 0")
+    found = _with_classes(lines, line_classes(docs, id_col, text_col, options), False)
     first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))
-    drops = found.where(~first).groupBy("doc_id", "_t1", "_t2").agg(F.collect_set("line_no").alias("_drops"))
-    drops = drops.withColumnRenamed("doc_id", "_d")
-    keys = docs.withColumns({"_k1": F.xxhash64(text_col), "_k2": F.xxhash64(F.lit(1), text_col)})
-    joined = keys.join(drops, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2")), "left")
-    lines_left = F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("_drops", i))
-    text = F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(F.array_join(lines_left, "\n"))
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    drops = found.where(~first).groupBy("doc_id", "t1", "t2").agg(F.collect_set("line_no").alias("drops"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), text_col).alias("k2"))
+    joined = whole.join(drops, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")), "left")
+    lines_left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("drops", i))
+    text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(lines_left, "\n"))
+    return joined.select(*((text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
