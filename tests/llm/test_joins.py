@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from relomap.llm.components import Forest, components
 from relomap.llm.editjoin import Signer, within
-from relomap.llm.line_dedup import LineOptions, _code_points, _meet, dedup_lines, remove_repeated_lines
+from relomap.llm.line_dedup import _INDEX, _WHO, LineOptions, _code_points, _meet, dedup_lines, remove_repeated_lines
 from relomap.llm.ngram_join import JoinOptions, Shingler, keep_first, ngram_join, overlaps, sketches
 from tests.llm.util import AWKWARD, SCHEMA, clashing, empty, rows, table
 
@@ -66,15 +67,15 @@ def test_edit_distance_and_signatures(edits):
 def test_meeting_rows():
     random.seed(5)
     for _ in range(200):
-        made = sorted({(random.randint(0, 6), random.random() < 0.5, random.randint(0, 2), 0) for _ in range(random.randint(0, 20))})
+        made = sorted({(random.randint(0, 6), random.randint(0, 2) + random.choice([0, _INDEX])) for _ in range(random.randint(0, 20))})
         made = sorted(made + random.sample(made, len(made) // 3))
         batches, i = [], 0
         while i < len(made):
             part = made[i : i + random.randint(1, 4)]
             i += len(part)
-            batches.append(pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["key", "probe", "h1", "h2"]))
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*part, strict=True)], ["key", "who"]))
         got = sorted({tuple(r.values()) for b in _meet(iter(batches)) for r in b.to_pylist()})
-        keys = {r[0] for r in made if not r[1] and len({s[2] for s in made if s[0] == r[0]}) > 1}
+        keys = {r[0] for r in made if r[1] < 0 and len({s[1] & _WHO for s in made if s[0] == r[0]}) > 1}
         assert got == sorted({r for r in made if r[0] in keys})
 
 
@@ -84,11 +85,15 @@ def line_brute(docs: list[tuple], o: LineOptions) -> dict:
     for d in docs:
         for n, line in enumerate((d[1] or "").split("\n")):
             occurrences[line.strip(" \t\x0b\x0c\r")].append((d[0], n))
-    lines = [x for x in occurrences if len(x) >= o.min_chars]
+    lines = [x for x in occurrences if x]
+    split = [x.split() for x in lines]
     forest = Forest(len(lines))
     for i, a in enumerate(lines):
         for j in range(i):
-            if abs(len(a) - len(lines[j])) <= o.edits and distance(a, lines[j]) <= o.edits:
+            b = lines[j]
+            near = min(len(a), len(b)) >= o.min_chars and abs(len(a) - len(b)) <= o.edits and distance(a, b) <= o.edits
+            words = min(min(len(split[i]), len(split[j])) // o.words_per_edit, o.most_word_edits) if o.words_per_edit else 0
+            if near or (words and abs(len(split[i]) - len(split[j])) <= words and distance(split[i], split[j]) <= words):
                 forest.join(i, j)
     classes = defaultdict(list)
     for i, line in enumerate(lines):
@@ -98,10 +103,8 @@ def line_brute(docs: list[tuple], o: LineOptions) -> dict:
         first = min(members, key=lambda m: order(*m))
         for m in members:
             out[*m, *first, len(members), m == first] += 1
-    for line, members in occurrences.items():
-        if len(line) < o.min_chars:
-            for m in members:
-                out[*m, *m, 1, True] += 1
+    for m in occurrences.get("", []):
+        out[*m, *m, 1, True] += 1
     return out
 
 
@@ -116,7 +119,7 @@ def got_lines(frame) -> Counter:
     return Counter((r.doc_id, r.line_no, r.class_doc_id, r.class_line_no, r.class_size, r.kept) for r in frame.collect())
 
 
-@pytest.mark.parametrize("options", [LineOptions(), LineOptions(block=3), LineOptions(edits=1, min_chars=10), LineOptions(edits=0)])
+@pytest.mark.parametrize("options", [LineOptions(), LineOptions(block=3), LineOptions(edits=1, min_chars=10), LineOptions(edits=0, words_per_edit=0), LineOptions(words_per_edit=4)])
 def test_line_dedup(spark, options):
     docs = line_docs()
     assert got_lines(dedup_lines(table(spark, docs), options=options)) == line_brute(docs, options)
@@ -130,12 +133,22 @@ def test_line_dedup_awkward(spark):
     assert dedup_lines(table(spark)).where("doc_id = 7").first().n_chars == len(AWKWARD[8][1]) - 1
 
 
+def test_a_hot_line_is_joined_apart(spark):
+    docs = [(i, "one line that most of the texts have\n\n" + f"own {i}", "en", "s", 1) for i in range(1500)]
+    got = dedup_lines(table(spark, docs)).collect()
+    assert sum(r.kept for r in got if r.line_no == 0) == 1 and {r.class_size for r in got if r.line_no == 0} == {1500}
+    assert all(r.kept and r.class_size == 1 for r in got if r.line_no)
+
+
 def test_remove_repeated_lines(spark):
     docs = [(2, "a first line of some length\nkeep me, I am the only such one", "en", "s", 1), (1, "a first line of some length\nx", "en", "s", 1), (3, "a first line, of some length", "en", "s", 1), (4, None, "en", "s", 1), (5, "y\n\ny", "en", "s", 1)]
     docs += [docs[0]]
     got = remove_repeated_lines(table(spark, docs))
     assert got.columns == [c.split()[0] for c in SCHEMA.split(", ")]
-    assert rows(got.select("doc_id", "text")) == sorted([(2, "keep me, I am the only such one"), (2, "keep me, I am the only such one"), (1, docs[1][1]), (3, ""), (4, None), (5, "y\n\ny")], key=str)
+    assert rows(got.select("doc_id", "text")) == sorted([(2, "keep me, I am the only such one"), (2, "keep me, I am the only such one"), (1, docs[1][1]), (3, ""), (4, None), (5, "y\n")], key=str)
+    own = ["_t1", "_k1", "_d", "_drops", "t1", "drops", "row", "id", "h1", "first", "_heavy", "_spread"]
+    clash = remove_repeated_lines(table(spark, docs).withColumns({c: F.lit(c) for c in own}))
+    assert clash.columns == [*got.columns, *own] and rows(clash.select("doc_id", "text", *own)) == [(*r, *own) for r in rows(got.select("doc_id", "text"))]
 
 
 def grams(text: str | None) -> frozenset:
@@ -203,6 +216,9 @@ def test_ngram_join_awkward(spark):
     kept = rows(keep_first(docs).select("doc_id"))
     assert kept == sorted([(1,), (3,), (4,), (5,), (7,), (8,), (9,), (10,), (11,)], key=str)
     assert keep_first(docs).columns == docs.columns
+    own = ["_stay", "_t1", "_k1", "t1", "k1", "row", "id", "class"]
+    clash = keep_first(clashing(spark, own))
+    assert rows(clash.select("doc_id")) == kept and rows(clash.select(*own).distinct()) == [("clash",) * len(own)]
 
 
 def test_shingles_and_sketches():
@@ -222,8 +238,31 @@ def test_shingles_and_sketches():
     assert overlaps([a, b], [b, a[:0], a[:7]]).tolist() == [[800, 0, 7], [len(b), 0, 7]]
 
 
+def test_recall_near_the_threshold_with_deep_paths(spark):
+    """Two thousand pairs at 0.8 to 0.85 whose texts all share a passage; nodes are split until few sets are left."""
+    random.seed(12)
+    word = lambda: "".join(random.choices("abcdefghij", k=5))
+    passage, docs, pairs = [word() for _ in range(60)], [], []
+    while len(pairs) < 2000:
+        base = [word() for _ in range(random.randint(80, 140))]
+        other = base[:]
+        for at in random.sample(range(len(base)), random.randint(1, 4)):
+            other[at] = word()
+        texts = [" ".join(passage + x) for x in (base, other)]
+        a, b = map(grams, texts)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            pairs.append(len(docs))
+            docs += [(len(docs) + i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in ngram_join(table(spark, docs), options=JoinOptions(brute=2, local=600)).collect()}
+    met = sum(got[p] == got[p + 1] for p in pairs) / len(pairs)
+    print("recall", met)
+    assert met >= 0.995
+    assert all(got[p] == p for p in pairs)
+
+
 def test_runs_reach_the_target():
     assert 10 <= JoinOptions().runs <= 20
+    assert JoinOptions(deep=1.5).runs > JoinOptions().runs > JoinOptions(depth=2).runs
     assert JoinOptions(recall=0.9999).runs > JoinOptions().runs
 
 
@@ -242,7 +281,7 @@ def test_short_lines_by_equality(spark, tmp_path):
     want = [(1, 0, 1, 0, 2, True), (1, 1, 1, 1, 3, True), (1, 2, 1, 2, 1, True), (1, 3, 1, 3, 1, True)]
     want += [(2, 0, 2, 0, 1, True), (2, 1, 2, 1, 1, True), (2, 2, 1, 1, 3, False), (2, 3, 1, 0, 2, False), (None, 0, 1, 1, 3, False)]
     assert got_lines(op5_line_dedup(spark, str(tmp_path))) == Counter(want)
-    left = remove_repeated_lines(table(spark, docs), options=LineOptions(short_exact=True)).select("doc_id", "text")
+    left = remove_repeated_lines(table(spark, docs)).select("doc_id", "text")
     assert rows(left) == sorted([(1, docs[0][1]), (2, "shorts\n"), (None, "")], key=str)
 
 

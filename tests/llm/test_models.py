@@ -72,11 +72,56 @@ def test_language_awkward(spark):
     for none in (None, "", " \n\t "):
         assert by_text[none] == ("und", 0.0)
     assert by_text[AWKWARD[8][1]][0] == "de"
+    marks = spark.createDataFrame([("½ ²",), ("Ⅷ ①",), ("_ 12",), ("ª",)], "text string")
+    assert {r.text: r.lang_pred == "und" for r in identify_language(marks, model).collect()} == {"½ ²": True, "Ⅷ ①": True, "_ 12": True, "ª": False}
     assert identify_language(empty(spark), model).count() == 0
     nothing = fit_language(empty(spark), F.lit(True))
     assert {r.lang_pred for r in identify_language(docs, nothing).collect()} == {"und"}
 
 
+def labelling_brute(f: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Marginals of all words by listing every labelling of the text."""
+    from itertools import product
+
+    out = np.zeros(f.shape)
+    for labels in product(range(f.shape[1]), repeat=len(f)):
+        weight = np.prod([f[i, x] for i, x in enumerate(labels)]) * np.prod([a[x, y] for x, y in zip(labels, labels[1:], strict=False)])
+        out[np.arange(len(f)), labels] += weight
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_texts_are_labelled_as_by_all_labellings(spark):
+    """Whole labelling: words, features, factors, marginals over words with letters, mean, best language, score."""
+    sample = [("en", "the cat and the dog in the house of that man".split()), ("de", "der hund und die katze in dem haus nicht".split()), ("fr", "le chat et la maison dans une rue".split())] * 5
+    model = fit(sample, LanguageOptions(epochs=30))
+    texts = ["the cat und", "12 der !! haus", "x", "--", "", None, "le CHAT et der dog in 7"]
+    got = {r.n: (r.lang_pred, r.lang_score) for r in identify_language(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), model).collect()}
+    for n, text in enumerate(texts):
+        words = (text or "").split()
+        lettered = [i for i, w in enumerate(words) if any(c.isalpha() for c in w)]
+        if not lettered:
+            assert got[n] == ("und", 0.0)
+            continue
+        scores = []
+        for w in words:  # features one by one
+            ids, _ = model.features.of([w])
+            scores.append(sum(model.weights[i].astype(float) for i in ids))
+        scores = np.array(scores)
+        factors = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -25.0))
+        mean = labelling_brute(factors, np.exp(model.transitions))[lettered].mean(axis=0)
+        assert got[n][0] == model.labels[int(mean.argmax())] and got[n][1] == pytest.approx(float(mean.max()), abs=1e-4)
+
+
+def test_every_language_and_every_part_of_a_text_is_learned_from(spark):
+    many = [(i, f"w{i % 300}x " * 30, f"l{i % 300:03d}") for i in range(600)]
+    model = fit_language(spark.createDataFrame(many, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(model.labels) == 300
+    long = " ".join(f"word{i}" for i in range(5000))
+    two = spark.createDataFrame([(1, long, "aa"), (2, "other", "bb")], "doc_id long, text string, lang string")
+    model = fit_language(two, F.lit(True), LanguageOptions(lexicon_least=1))
+    assert set(long.split()) <= set(model.features.lexicon)
+
+
 def test_statistics():
     got = dict(zip(FEATURES, statistics(pa.array(["Ab cd AB.\nab cd! |", None, ""]))[0].tolist(), strict=True))
     assert got["share_upper"] == pytest.approx(3 / 18) and got["share_bar"] == pytest.approx(1 / 18)
@@ -104,6 +149,46 @@ def test_trees():
     assert (fit_trees(x, np.ones(800), QualityOptions()).score(x) > 0.99).all()
 
 
+def best_split(x: np.ndarray, g: np.ndarray, h: np.ndarray, edges, o: QualityOptions):
+    """Gain, feature and threshold of the best split of some rows, by trying every one."""
+    best = (1e-9, None, None)
+    for j in range(x.shape[1]):
+        for t in edges[j]:
+            a = x[:, j] <= t
+            if min(h[a].sum(), h[~a].sum()) < o.least:
+                continue
+            gain = sum(g[s].sum() ** 2 / (h[s].sum() + o.l2) for s in (a, ~a)) - g.sum() ** 2 / (h.sum() + o.l2)
+            if gain > best[0] * (1 + 1e-9):
+                best = (gain, j, t)
+    return best
+
+
+def test_splits_are_the_best_of_all():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 12, (300, 3)).astype(np.float32)
+    y = (rng.random(300) < np.where((x[:, 0] > 5) & (x[:, 2] < 7), 0.9, 0.2)).astype(float)
+    o = QualityOptions(trees=3, depth=3)
+    model = fit_trees(x, y, o)
+    edges = [np.unique(x[:, j])[:-1] for j in range(3)]  # fewer values than bins: every cut between two values is a candidate
+    margin = np.full(len(y), model.prior)
+    for root in model.roots:
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        todo = [(int(root), np.arange(len(y)), 0)]
+        while todo:
+            node, rows_, depth = todo.pop()
+            assert model.value[node] == pytest.approx(-o.rate * g[rows_].sum() / (h[rows_].sum() + o.l2))
+            gain, feature, threshold = best_split(x[rows_], g[rows_], h[rows_], edges, o)
+            if model.left[node] == node:
+                assert depth == o.depth or feature is None
+                margin[rows_] += model.value[node]
+                continue
+            side = x[rows_, model.feature[node]] <= model.threshold[node]
+            own = sum(g[rows_][s].sum() ** 2 / (h[rows_][s].sum() + o.l2) for s in (side, ~side)) - g[rows_].sum() ** 2 / (h[rows_].sum() + o.l2)
+            assert own == pytest.approx(gain)
+            todo += [(int(model.left[node]), rows_[side], depth + 1), (int(model.right[node]), rows_[~side], depth + 1)]
+
+
 def test_quality_accuracy(spark):
     import os
 

@@ -91,6 +91,11 @@ def test_encoder_matches_the_library():
         assert encoder(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, " " * 2_000_000 + "word", "a" + "\t \n" * 700_000 + "b c"])
+def test_long_white_space_is_encoded(text):
+    assert Encoder(BYTES)(text).tolist() == Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids
+
+
 def plain_packing(items: list[int], window: int) -> list[int]:
     left: list[int] = []
     for s in sorted(items, reverse=True):
@@ -162,7 +167,7 @@ def test_packing(spark, small):
 
 
 def test_pipeline(spark, small):
-    """Each stage on its predecessor's rows: what goes, and that what stays is as it was."""
+    """Each stage on its predecessor's rows: what goes, and that what stays is as it was. Short lines count as well."""
     from tests.llm.test_joins import join_brute, line_brute
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
@@ -195,6 +200,22 @@ def test_pipeline(spark, small):
     check_packs(corpus_pipeline.STAGES[4][1](spark, once, small).collect(), [tuple(r) for r in once.collect()], 2048)
 
 
+def test_pipeline_stages_with_awkward_rows(spark, small):
+    """Nulls, repeats, an empty table, and columns with the names that operators use."""
+    own = ["lang_pred", "lang_score", "quality_score", "quality_predicted", "_t1", "_d", "_drops", "_stay", "_k1", "row", "id", "h1", "class", "text_"]
+    docs = clashing(spark, own)
+    kept = corpus_pipeline.language_id(spark, docs, small)
+    assert kept.columns == docs.columns and rows(kept.select(*own).distinct()) == [("clash",) * len(own)]
+    assert sorted({r.doc_id for r in kept.collect()} - {None}) == [1, 2, 6, 7, 8, 9, 10, 11]
+    for stage in (corpus_pipeline.quality, corpus_pipeline.line_dedup, corpus_pipeline.ngram_dedup):
+        left = stage(spark, docs, small)
+        assert left.columns == docs.columns and rows(left.select(*own).distinct()) in ([], [("clash",) * len(own)])
+        assert stage(spark, docs.where("false"), small).count() == 0
+    lined = {(r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, docs, small).collect()}
+    assert (1, AWKWARD[0][1]) in lined and (6, AWKWARD[5][1]) not in lined and not {3, 4, 5} & {d for d, _ in lined}
+    assert corpus_pipeline.packing(spark, docs, small).where("doc_id = 3").first().length == 1
+
+
 def test_pipeline_runs(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality", "line_dedup", "ngram_dedup", "packing"]
