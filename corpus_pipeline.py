@@ -8,6 +8,12 @@ Each stage is a function of (spark, docs, sf_dir) whose result is written as Par
 3. ``line_dedup``: lines that repeat an earlier line, a few edits aside, are taken out; documents left empty go.
 4. ``ngram_dedup``: of documents linked by n-gram similarity the one with the least id stays.
 5. ``packing``: what remains is packed into token sequences; one row per piece.
+
+Defined cases, for all stages: a null text is no text of any language, so its row goes in the first stage; stages that see
+one nevertheless treat it as empty (``line_dedup`` drops it). Rows with null or repeated ids are documents like any other,
+told apart by their texts; rows equal in id and text stay together in the first three stages and become one in
+``ngram_dedup``. Ties go to the least id, ids before nulls, then to the least hashes of the texts. Of very long texts all
+words count. Empty tables give empty results. Further columns are passed on as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relomap.llm.catalogue import tokenizer_path
-from relomap.llm.common import written
+from relomap.llm.common import free_name, written
 from relomap.llm.langid import UNKNOWN, fit_language, identify_language
 from relomap.llm.line_dedup import remove_repeated_lines
 from relomap.llm.ngram_join import keep_first
@@ -31,14 +37,16 @@ LEAST_LANGUAGE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no language; the model is learned from this stage's own documents with a known one."""
-    found = identify_language(docs, fit_language(docs, F.lit(True)))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    pred, score = free_name("lang_pred", docs.columns), free_name("lang_score", docs.columns)
+    found = identify_language(docs, fit_language(docs, F.lit(True)), pred_col=pred, score_col=score)
+    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of predicted quality 0; the model is learned from ``labels`` and this stage's documents."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return score_quality(docs, model).where("quality_predicted = 1").select(*docs.columns)
+    score, predicted = free_name("quality_score", docs.columns), free_name("quality_predicted", docs.columns)
+    return score_quality(docs, model, score_col=score, predicted_col=predicted).where(F.col(predicted) == 1).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
