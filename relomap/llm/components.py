@@ -1,12 +1,18 @@
-"""Connected components by alternating large-star and small-star rounds over an edge table."""
+"""Connected components: by alternating large-star and small-star rounds over an edge table, or, of few edges, in a task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import forget, written
+from relomap.llm.common import forget, lean, written
+
+#: Edges of which one task finds the components by union-find, in some tens of megabytes; more are contracted by rounds.
+FEW = 500_000
 
 
 class Forest:
@@ -62,14 +68,30 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges to the rows ``node``, ``root`` of their components."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(c) for c in zip(*parts, strict=True))
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(len(nodes))
+    for x, y in zip(places[: len(a)].tolist(), places[len(a) :].tolist(), strict=True):
+        forest.join(x, y)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[forest.roots()])], ["node", "root"])
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """``node``, ``root`` for every node of the undirected edges ``a``, ``b`` (longs); the root is the least node.
 
-    Self-loops and rows with a null are ignored. Each round is written to the shared folder; rounds grow with the
-    logarithm of the edges, and no round collects edges or nodes.
+    Self-loops and rows with a null are ignored. Edges are counted first: up to ``few`` go through one task. Of more, each
+    round is written to the shared folder; rounds grow with the logarithm of the edges, and no round collects edges or
+    nodes.
     """
     spark = edges.sparkSession
     now = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if now.count() <= few:
+        return now.coalesce(1).mapInArrow(lean(_joined), "node long, root long")
     seen = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
