@@ -42,9 +42,10 @@ def test_components(spark):
         if a is not None and a != b:
             forest.join(a, b)
             numbers |= {a, b}
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {n: forest.root(n) for n in numbers}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for few in (500_000, 0):  # in one task, and by rounds
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+        assert got == {n: forest.root(n) for n in numbers}
+        assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0
 
 
 @pytest.mark.parametrize("edits", [0, 1, 2, 3])
