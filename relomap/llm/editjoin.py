@@ -17,6 +17,10 @@ _BASE = 0x9E3779B97F4A7C15
 _GAPS, _DENSE = np.array([32, 9, 11, 12, 13], dtype=np.uint32), 0x2E80
 #: Code points of lines that are signed together, unless one line is longer.
 SLICE = 1 << 20
+#: Signatures that are made in one step.
+CELLS = 400_000
+#: Units from which on a pair's equal beginnings and ends are cut off before it is compared.
+LONG = 64
 #: Words of a band of lengths in the keys of word signatures.
 BAND = 32
 
@@ -34,7 +38,7 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def segments(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+def segments(length: np.ndarray, i: int | np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Place and size of segment ``i`` of lines of these lengths; the later segments take the remainder."""
     base, rest = length // (edits + 1), length % (edits + 1)
     short = edits + 1 - rest
@@ -61,6 +65,8 @@ class Signer:
     def sign(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Arrays of (line number, is index, key): all of ``edits + 1`` segments and all probes of each line."""
         lines, roles, keys = [], [], []
+        made = [(0, i, 0) for i in range(self.edits + 1)] + self.probes  # the index rows are ahead
+        delta, segment, shift = (np.array(c, dtype=np.int64) for c in zip(*made, strict=True))
         first = 0
         while first < len(offsets) - 1:
             last = int(np.searchsorted(offsets, offsets[first] + SLICE, side="right")) - 1
@@ -69,32 +75,32 @@ class Signer:
             self._powers(len(flat) + 1)
             sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(flat * self._power[: len(flat)])])
             start, length = offsets[first:last] - offsets[first], np.diff(offsets[first : last + 1])
-            number = np.arange(first, last)
-
-            def add(total: np.ndarray, i: int, shift: int, index: bool, start=start, length=length, sums=sums, number=number) -> None:
-                place, size = segments(total, i, self.edits)
-                ok = (place + shift >= 0) & (place + shift + size <= length) & (total >= self.edits + 1)
-                a = (start + place + shift)[ok]
-                h = (sums[a + size[ok]] - sums[a]) * self._inverse[a]
+            step = max(1, CELLS // len(delta))
+            for at in range(0, last - first, step):  # lines by signatures
+                own = slice(at, min(at + step, last - first))
+                total = length[own, None] - delta
+                place, size = segments(total, segment, self.edits)
+                place = place + shift
+                ok = (place >= 0) & (place + size <= length[own, None]) & (total >= self.edits + 1)
+                total, size = total[ok], size[ok]
+                a = (start[own, None] + place)[ok]
+                h = (sums[a + size] - sums[a]) * self._inverse[a]
                 if self.band > 1:  # the length no longer gives the segment's own
-                    h = mix64(h + size[ok].astype(np.uint64))
-                key = mix64(mix64(h + (total[ok] // self.band).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) + np.uint64(i + 1))
-                lines.append(number[ok])
-                roles.append(np.full(len(a), index))
+                    h = mix64(h + size.astype(np.uint64))
+                column = np.broadcast_to(np.arange(len(delta)), ok.shape)[ok]
+                key = mix64(mix64(h + (total // self.band).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) + (segment[column] + 1).astype(np.uint64))
+                number = np.broadcast_to(np.arange(first + own.start, first + own.stop)[:, None], ok.shape)[ok]
+                index = column <= self.edits
+                if self.band > 1:  # each key of a line once, as an index key where it is one: a line's index keys are ahead
+                    once = np.unique(mix64(number.astype(np.uint64) * np.uint64(_BASE)) ^ key, return_index=True)[1]
+                    number, index, key = number[once], index[once], key[once]
+                lines.append(number)
+                roles.append(index)
                 keys.append(key.view(np.int64))
-
-            for i in range(self.edits + 1):
-                add(length, i, 0, True)
-            for delta, i, shift in self.probes:
-                add(length - delta, i, shift, False)
             first = last
         if not lines:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
-        line, index, key = np.concatenate(lines), np.concatenate(roles), np.concatenate(keys)
-        if self.band > 1:  # each key of a line once, as an index key where it is one: those are ahead
-            once = np.unique(mix64(line.astype(np.uint64) * np.uint64(_BASE)) ^ key.view(np.uint64), return_index=True)[1]
-            line, index, key = line[once], index[once], key[once]
-        return line, index, key
+        return np.concatenate(lines), np.concatenate(roles), np.concatenate(keys)
 
 
 def word_hashes(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,17 +187,28 @@ def within(points: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.
     m, n = lengths[a], lengths[b]
     out = np.zeros(len(a), dtype=bool)
     close = np.flatnonzero(m - n <= edits)
-    order = close[np.argsort(-n[close], kind="stable")]
-    a, b, m, n = a[order], b[order], m[order], n[order]
+    a, b, m, n = a[close], b[close], m[close], n[close]
+    start_a, start_b = offsets[a], offsets[b]
+    for k in np.flatnonzero(n >= LONG).tolist():  # equal beginnings and ends cost nothing
+        x, y = points[start_a[k] : start_a[k] + m[k]], points[start_b[k] : start_b[k] + n[k]]
+        differ = x[: n[k]] != y
+        head = int(differ.argmax()) if differ.any() else int(n[k])
+        differ = x[m[k] - n[k] + head :] != y[head:]
+        tail = int(differ[::-1].argmax()) if differ.any() else int(n[k]) - head
+        start_a[k], start_b[k], m[k], n[k] = start_a[k] + head, start_b[k] + head, m[k] - head - tail, n[k] - head - tail
+    out[close[n == 0]] = True  # what is left of the longer one is no longer than the edits
+    rest = np.flatnonzero(n > 0)
+    rest = rest[np.argsort(-n[rest], kind="stable")]
+    start_a, start_b, m, n, order = start_a[rest], start_b[rest], m[rest], n[rest], close[rest]
     if not len(order):
         return out
-    start_a, start_b = offsets[a], offsets[b]
     # Bit w stands for row j + w - edits of column j; rows above the first have vertical difference -1 going down to it.
     one = np.uint64(1)
     full = np.uint64((1 << width) - 1)
-    vp = np.full(len(a), ((1 << width) - 1) & ~((1 << edits) - 1), dtype=np.uint64) & full
-    vn = np.zeros(len(a), dtype=np.uint64)
-    score = np.full(len(a), edits, dtype=np.int64)  # at row j + edits of column j
+    vp = np.full(len(order), ((1 << width) - 1) & ~((1 << edits) - 1), dtype=np.uint64) & full
+    vn = np.zeros(len(order), dtype=np.uint64)
+    score = np.full(len(order), edits, dtype=np.int64)  # at row j + edits of column j
+    across_band, bits = np.arange(width) - edits, one << np.arange(width, dtype=np.uint64)
     at = order
     last = len(points) - 1
     for j in range(int(n.max())):
@@ -213,13 +230,10 @@ def within(points: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.
                 k = int(np.searchsorted(-n, -j, side="left"))
                 if not k:
                     break
-        c = points[np.minimum(start_b[:k] + j, last)]
-        match = np.zeros(k, dtype=np.uint64)
-        for w in range(width):
-            row = j + w - edits
-            if row >= 0:
-                ok = (row < m[:k]) & (points[np.minimum(start_a[:k] + row, last)] == c)
-                match |= ok.astype(np.uint64) << np.uint64(w)
+        c = points[start_b[:k] + j]
+        rows = across_band + j
+        same = (points[np.minimum(start_a[:k, None] + rows, last)] == c[:, None]) & (rows < m[:k, None]) & (rows >= 0)
+        match = (same * bits).sum(axis=1, dtype=np.uint64)
         p, q = vp[:k], vn[:k]
         d0 = ((((match & p) + p) ^ p) | match | q) & full
         hp = (q | ~(d0 | p)) & full

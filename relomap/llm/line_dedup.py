@@ -200,8 +200,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = judged.where(F.col("n_chars") >= o.min_chars).select("line", "h1", "h2").mapInArrow(lean(_sign(o)), "key long, who long")
     met = signed.repartition("key").sortWithinPartitions("key", "who").mapInArrow(lean(_meet), "key long, who long")
     met = written(spark, met.select("key", F.col("who").bitwiseAND(F.lit(_WHO)).alias("line_hash"), (F.col("who") >= 0).alias("probe")), "met")
-    # Written, so that its size is known before the texts are dealt: Spark broadcasts it if small, else both are dealt.
-    wanted = written(spark, met.select("line_hash").distinct(), "wanted")
+    # The lines that meet others grow with the input, so this is a shuffle join at every size.
+    wanted = met.select("line_hash").distinct().hint("merge")
     texts = judged.withColumn("line_hash", F.col("h1").bitwiseAND(F.lit(_WHO))).join(wanted, "line_hash", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("text"))
     texts = written(spark, texts.withColumns({"node": F.monotonically_increasing_id(), "line_hash": F.col("h1").bitwiseAND(F.lit(_WHO))}), "candidates")
 
