@@ -29,9 +29,11 @@ def escape_canonical(text: Column) -> Column:
 
 
 def preview(text: Column, most: int = 60) -> Column:
-    """Collapsed text, cut after ``most`` characters and marked with dots where its bytes are more than that."""
+    """Collapsed text, cut after ``most`` bytes, at the last whole character within them, and marked with dots if it is cut."""
     flat = collapse_space(text)
-    return F.when(F.octet_length(flat) > most, F.concat(F.left(flat, F.lit(most)), F.lit("..."))).otherwise(flat)
+    head = F.left(flat, F.lit(most))
+    fits = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(most)), lambda k: F.octet_length(F.left(head, k)) <= most))
+    return F.when(F.octet_length(flat) > most, F.concat(F.left(head, fits), F.lit("..."))).otherwise(flat)
 
 
 def pad_right(text: Column, width: int) -> Column:

@@ -29,10 +29,11 @@ def greedy_pairs(candidates: DataFrame, key: str = "canonical_text", id_col: str
     return paired.select("del_id", "ins_id")
 
 
-def all_pairs(candidates: DataFrame, cap: int | None = None, key: str = "canonical_text", id_col: str = "candidate_id") -> DataFrame:
+def all_pairs(candidates: DataFrame, cap: int | None, key: str = "canonical_text", id_col: str = "candidate_id") -> DataFrame:
     """``del_id``, ``ins_id``: every deletion with every insertion of equal content.
 
-    With ``cap``, contents are taken in order of their first member as long as the pairs so far do not pass the cap; the
+    The pairs of a content are as many as the product of its sides, so a caller must say how many there may be, or None for
+    all. With ``cap``, contents are taken in order of their first member as long as the pairs so far do not pass the cap; the
     first two-sided content that would ends the list, and its pairs are left out whole.
     """
     deletes, inserts = _sides(candidates)

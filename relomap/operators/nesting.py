@@ -1,19 +1,29 @@
-"""Nesting of diff regions over an ordered node table, by window functions.
+"""Nesting of diff regions over an ordered node table.
 
-Windows are partitioned by (document, unit), so an archive's units are worked on in parallel. Region texts are slices of
-one text per unit, cut at running offsets, so that nested regions need neither a join by depth nor repeated capture.
+Nodes are partitioned by (document, unit), so an archive's units are worked on in parallel. Region texts come from one
+pass over a unit's nodes in order, so their cost is that of the texts; integrity errors are found by window functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from relomap.functions.hashing import fnv1a64
 from relomap.functions.text import SPACE, collapse_space, diff_kind, escape_canonical, existing_move_id, has_content
 from relomap.model import CanonicalOptions
+from relomap.session import ship
 
 _UNIT = ("doc_id", "unit_no")
+#: Regions as they close; numbers are those in their unit.
+_CLOSED = pa.schema(
+    [("doc_id", pa.int64()), ("unit_no", pa.int64()), ("number", pa.int64()), ("kind", pa.string()), ("filename", pa.string()), ("start_idx", pa.int64()), ("end_idx", pa.int64()), ("raw_text", pa.string()), ("canonical_text", pa.string())]
+    + [("parent", pa.int64()), ("depth", pa.int32()), ("has_diff_child", pa.bool_()), ("move", pa.string()), ("xpath", pa.string())]
+)
 
 
 def _in_unit(*order: str) -> Window:
@@ -99,53 +109,93 @@ def _with_parents(starts: DataFrame, keys: tuple[str, ...], order: str, depth: s
     return both.withColumn(name, above).where("_asks").unionByName(top).drop("_level", "_asks")
 
 
+def _close_regions(outer: bool):
+    """Rows of units in node order to regions as they close; texts are kept only while a region is open."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, filename, seen = None, None, 0
+        opened: list[list] = []
+        raw: list[str] = []
+        form: list[str] = []
+        out: list[tuple] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * len(_CLOSED)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, _CLOSED, strict=True)], schema=_CLOSED)
+
+        for batch in batches:
+            for doc_id, unit_no, idx, edge, kind, text, token, mark, named, name, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc_id, unit_no) != unit:
+                    unit, filename, seen = (doc_id, unit_no), None, 0
+                    opened.clear(), raw.clear(), form.clear()
+                if named:
+                    filename = name
+                if edge > 0:
+                    if opened:
+                        opened[-1][-1] = True
+                    begin = len(form) + (not outer)
+                    opened.append([seen, idx, kind, mark, path, opened[-1][0] if opened else None, len(raw), begin, False])
+                    seen += 1
+                if opened:
+                    raw.append(text)
+                    form.append(token)
+                if edge < 0 and opened:
+                    number, start, kind, mark, path, parent, raw_at, form_at, child = opened.pop()
+                    texts = "".join(raw[raw_at:]), "".join(form[form_at : len(form) - (not outer)])
+                    out.append((doc_id, unit_no, number, kind, filename, start, idx, *texts, parent, len(opened), child, mark, path))
+                    held += len(texts[0]) + len(texts[1])
+                    if not opened:
+                        raw.clear(), form.clear()
+                    if len(out) >= 5000 or held > 1 << 22:
+                        yield flush()
+                        held = 0
+        yield flush()
+
+    return close
+
+
 def regions(nodes: DataFrame, options: CanonicalOptions | None = None, with_hash: bool = False) -> DataFrame:
-    """Diff regions in document order, for well-nested node tables.
+    """Diff regions, in one pass over each unit's nodes.
 
     Columns: ``doc_id``, ``region_id`` (order in the document, from 0), ``kind``, ``filename``, ``start_idx``,
     ``end_idx``, ``raw_text``, ``canonical_text``, ``parent_id``, ``depth``, ``has_diff_child``, ``pre_marked``,
-    ``existing_move_id``, ``xpath``, and ``hash`` if asked for. Rows with an ``error`` have no regions.
+    ``existing_move_id``, ``xpath``, and ``hash`` if asked for. Rows with an ``error`` have no regions, and a region that
+    is never closed has no row, though it counts in ``region_id`` (see ``violations``).
     """
     o = options or CanonicalOptions()
+    ship(nodes.sparkSession)
+    diff, opens, ends = diff_kind(F.col("full_name")), F.col("kind") == "START", F.col("kind") == "END"
+    edge = F.when(diff.isNotNull() & opens, 1).when(diff.isNotNull() & ends, -1).otherwise(0)
+    has_name = F.map_contains_key(F.coalesce("attrs", F.create_map().cast("map<string,string>")), F.lit("filename"))
+    named = opens & (F.col("full_name") == "unit") & ((F.col("node_idx") > 0) | has_name)
+    attribute = lambda n: F.col("attrs").getItem(n)
     raw = F.when(F.col("kind") == "TEXT", F.coalesce("content", F.lit(""))).otherwise("")
-    running = _in_unit().rowsBetween(Window.unboundedPreceding, 0)
-    typed = nodes.where("error IS NULL").withColumns({"_raw": raw, "_tok": canonical_token(o)})
-    typed = typed.withColumns({"_raw_at": F.sum(F.length("_raw")).over(running), "_tok_at": F.sum(F.length("_tok")).over(running)})
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_idx", c))), lambda x: x[c]), "")
-    texts = typed.groupBy(*_UNIT).agg(joined("_raw").alias("_unit_raw"), joined("_tok").alias("_unit_tok"))
-
-    tags = typed.where(diff_kind(F.col("full_name")).isNotNull() & F.col("kind").isin("START", "END"))
-    opens = F.col("kind") == "START"
-    tags = tags.withColumn("_depth", F.sum(F.when(opens, 1).otherwise(-1)).over(_in_unit()) - F.when(opens, 1).otherwise(0))
-    of_level = Window.partitionBy(*_UNIT, "_depth").orderBy("node_idx")
-    ahead = {f"_end{c}": F.lead(c).over(of_level) for c in ("node_idx", "_raw_at", "_tok_at", "_tok")}
-    tags = tags.withColumns({**ahead, "has_diff_child": F.coalesce(F.lead("kind").over(_in_unit()) == "START", F.lit(False))})
-    starts = tags.where("kind = 'START'")
-    linked = _with_parents(starts, _UNIT, "node_idx", "_depth", "parent_start").select(*_UNIT, "node_idx", "parent_start")
-    names = unit_names(nodes)
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("node_idx")) - 1
-    ids = starts.select("doc_id", "node_idx", number.cast("long").alias("region_id"))
-    parents = ids.select("doc_id", F.col("node_idx").alias("parent_start"), F.col("region_id").alias("parent_id"))
-
-    out = starts.join(ids, ["doc_id", "node_idx"]).join(linked, [*_UNIT, "node_idx"], "left").join(parents, ["doc_id", "parent_start"], "left").join(names, list(_UNIT), "left").join(texts, list(_UNIT))
-    move = F.col("attrs").getItem("move")
-    outer = F.lit(0) if o.ignore_outer_diff_wrapper else F.length("_tok")
-    last = F.col("_end_tok_at") - (F.length("_end_tok") if o.ignore_outer_diff_wrapper else F.lit(0))
-    begin = F.col("_tok_at") - outer
-    out = out.select(
+    fine = nodes.where("error IS NULL")
+    rows = fine.select(
+        *_UNIT, "node_idx", edge.cast("int").alias("edge"), diff.alias("kind"), raw.alias("raw"), canonical_token(o).alias("form"),
+        F.when(edge > 0, attribute("move")).alias("move"), F.coalesce(named, F.lit(False)).alias("named"), F.when(named, attribute("filename")).alias("filename"), "xpath",
+    )
+    closed = rows.repartition(*_UNIT).sortWithinPartitions(*_UNIT, "node_idx").mapInArrow(_close_regions(not o.ignore_outer_diff_wrapper), from_arrow_schema(_CLOSED))
+    # Numbers in the unit become numbers in the document: a row per unit says how many regions start before it.
+    sizes = fine.where(edge > 0).groupBy(*_UNIT).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("doc_id").orderBy("unit_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*_UNIT, F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("before"))
+    out = closed.join(before, list(_UNIT)).select(
         "doc_id",
-        "region_id",
-        diff_kind(F.col("full_name")).alias("kind"),
+        (F.col("before") + F.col("number")).alias("region_id"),
+        "kind",
         "filename",
-        F.col("node_idx").alias("start_idx"),
-        F.col("_endnode_idx").alias("end_idx"),
-        F.substring("_unit_raw", F.col("_raw_at") + 1, F.col("_end_raw_at") - F.col("_raw_at")).alias("raw_text"),
-        F.substring("_unit_tok", begin + 1, last - begin).alias("canonical_text"),
-        "parent_id",
-        F.col("_depth").cast("int").alias("depth"),
+        "start_idx",
+        "end_idx",
+        "raw_text",
+        "canonical_text",
+        (F.col("before") + F.col("parent")).alias("parent_id"),
+        "depth",
         "has_diff_child",
-        move.isNotNull().alias("pre_marked"),
-        existing_move_id(move).alias("existing_move_id"),
+        F.col("move").isNotNull().alias("pre_marked"),
+        existing_move_id(F.col("move")).alias("existing_move_id"),
         "xpath",
     )
     return out.withColumn("hash", fnv1a64(F.col("canonical_text"))) if with_hash else out

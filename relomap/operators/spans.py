@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relomap.functions.text import clamp, collapse_space, diff_kind, move_ids_label, pad_left, parse_position
 from relomap.operators.nesting import _with_parents
+from relomap.session import ship
 
-# Background colours of highlighted text (24-bit), deletions and insertions, and the reset.
-BACKGROUND = {"delete": "\x1b[48;2;120;30;30m", "insert": "\x1b[48;2;25;90;45m"}
+#: Terminal colours behind highlighted text, a dark red and a dark green of the 256-colour table, and the reset.
+BACKGROUND = {"delete": "\x1b[48;5;52m", "insert": "\x1b[48;5;22m"}
 RESET = "\x1b[0m"
 #: Lines that a located text may span, and characters past its length after which a window is not extended.
 WINDOW_LINES, WINDOW_SLACK = 80, 2000
+#: Lines of a block over which spans are spread, and patterns that one task looks for in a file.
+BLOCK_LINES, PATTERNS = 64, 2000
 
 
 def merge_spans(spans: DataFrame, file_col: str = "id") -> DataFrame:
@@ -33,35 +39,61 @@ def merge_spans(spans: DataFrame, file_col: str = "id") -> DataFrame:
 
 def lines_in_spans(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """``lines`` (``id``, ``line_no``, ...) with the first span, by (begin, end), that holds each: ``begin``, ``end``, ``kind``,
-    ``move_ids``; null where none does. Spans are spread over their lines, so the lookup is an equality join."""
-    spread = spans.select("id", F.explode(F.sequence("begin", "end")).alias("line_no"), F.struct("begin", "end", "kind", "move_ids").alias("_span"))
-    first = spread.groupBy("id", "line_no").agg(F.min("_span").alias("_span"))
+    ``move_ids``; null where none does. Spans are spread over blocks of lines, so the lookup is an equality join."""
+    block = lambda c: F.floor(F.col(c) / BLOCK_LINES)
+    spread = spans.select(F.col("id").alias("_id"), F.explode(F.sequence(block("begin"), block("end"))).alias("_block"), F.struct("begin", "end", "kind", "move_ids").alias("_span"))
+    held = (F.col("id") == F.col("_id")) & (F.col("_at") == F.col("_block")) & F.col("line_no").between(F.col("_span.begin"), F.col("_span.end"))
+    places = lines.select("id", "line_no").distinct().withColumn("_at", block("line_no"))
+    first = places.join(spread, held).groupBy("id", "line_no").agg(F.min("_span").alias("_span"))
     return lines.join(first, ["id", "line_no"], "left").select(*lines.columns, "_span.begin", "_span.end", "_span.kind", "_span.move_ids")
 
 
+def _find(lines: list[str], text: str, separator: str, window: int, slack: int) -> tuple[int, int] | None:
+    """Places (from 0) of the first line that holds the text, else of the ends of the first window that does."""
+    for i, line in enumerate(lines):
+        if text in line:
+            return i, i
+    whole, begins = separator.join(lines), [0]
+    for line in lines:
+        begins.append(begins[-1] + len(line) + len(separator))
+    at = whole.find(text)
+    while at >= 0:
+        first, last = bisect_right(begins, at) - 1, bisect_right(begins, at + len(text) - 1) - 1
+        # A window begins with a line, and goes on while what it holds is not longer than the text by more than the slack.
+        least = max(0, last - window + 1, bisect_left(begins, begins[last] - len(separator) - len(text) - slack))
+        if least <= first:
+            return least, last
+        at = whole.find(text, at + 1)
+    return None
+
+
 def locate(lines: DataFrame, patterns: DataFrame, separator: str = " ", window: int = WINDOW_LINES, slack: int = WINDOW_SLACK) -> DataFrame:
     """Where texts stand in their files: ``pattern_id``, ``begin``, ``end`` (line numbers), for those that are found.
 
     ``lines``: ``id``, ``line_no``, ``line``; ``patterns``: ``pattern_id``, ``id``, ``text``. Both are compared with white
-    space collapsed. The first line that holds the text wins; else the first window of following lines, joined by
-    ``separator``. With a line feed as separator, as the highlighter has it, no window can hold a text that no line
-    holds, since collapsed texts have no line feeds.
+    space collapsed. The first line that holds the text wins; else the first window of at most ``window`` lines, joined by
+    ``separator``, which is not extended beyond ``slack`` characters more than the text. With a line feed as separator, as
+    the highlighter has it, no window can hold a text that no line holds, since collapsed texts have no line feeds.
+
+    A file's lines meet its patterns in one task, in parts of at most ``PATTERNS`` patterns each.
     """
-    flat = lines.select("id", "line_no", collapse_space(F.col("line")).alias("line"))
-    ahead = Window.partitionBy("id").orderBy("line_no").rowsBetween(0, window - 1)
-    windows = flat.withColumn("_ahead", F.collect_list("line").over(ahead))
-    wanted = patterns.select("pattern_id", "id", collapse_space(F.col("text")).alias("text")).where("text <> ''")
-    met = windows.join(wanted, "id")
-    single = F.instr("line", F.col("text")) > 0
-    place = F.instr(F.array_join("_ahead", separator), F.col("text"))
-    ends = F.aggregate("_ahead", F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-len(separator))) + len(separator) + F.length(x)))
-    ended = met.withColumns({"_single": single, "_place": place}).where("_single OR _place > 0").withColumn("_ends", F.when(F.col("_single"), F.array().cast("array<int>")).otherwise(ends))
-    last = F.col("_place") + F.length("text") - 1
-    upto = F.size(F.filter("_ends", lambda e: e < last))  # lines of the window before the one in which the text ends
-    before = F.when(upto > 0, F.try_element_at("_ends", upto)).otherwise(0)
-    fits = F.col("_single") | (before <= F.length("text") + slack)
-    hit = F.struct((~F.col("_single")).alias("late"), F.col("line_no").alias("begin"), (F.col("line_no") + F.when(F.col("_single"), 0).otherwise(upto)).alias("end"))
-    return ended.where(fits).groupBy("pattern_id").agg(F.min(hit).alias("_hit")).select("pattern_id", F.col("_hit.begin").alias("begin"), F.col("_hit.end").cast("long").alias("end"))
+    wanted = patterns.select("pattern_id", F.col("id").alias("file"), collapse_space(F.col("text")).alias("text")).where("text <> ''")
+    sizes = wanted.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / PATTERNS).cast("int").alias("parts"))
+    asked = wanted.join(sizes, "file").withColumn("part", F.pmod(F.xxhash64("pattern_id"), F.col("parts")).cast("int")).select("pattern_id", "file", "part", "text")
+    flat = lines.select(F.col("id").alias("file"), F.col("line_no").cast("long").alias("line_no"), collapse_space(F.col("line")).alias("line"))
+    dealt = flat.join(sizes, "file").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("file", "part", "line_no", "line")
+
+    def search(held: pa.Table, texts: pa.Table) -> pa.Table:
+        held = held.sort_by("line_no")
+        shown, numbers = held.column("line").to_pylist(), held.column("line_no").to_pylist()
+        hits = [_find(shown, t, separator, window, slack) for t in texts.column("text").to_pylist()]
+        found = [i for i, h in enumerate(hits) if h]
+        ends = [pa.array([numbers[hits[i][e]] for i in found], type=pa.int64()) for e in (0, 1)]
+        return pa.Table.from_arrays([texts.column("pattern_id").take(pa.array(found, type=pa.int64())), *ends], ["pattern_id", "begin", "end"])
+
+    ship(lines.sparkSession)
+    kind = patterns.schema["pattern_id"].dataType.simpleString()
+    return dealt.groupBy("file", "part").cogroup(asked.groupBy("file", "part")).applyInArrow(search, f"pattern_id {kind}, begin long, end long")
 
 
 def position_ranges(nodes: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ from relomap.sources.xml import scan_tokens
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Ids that a document's lines may take: more than a text of two gigabytes, the most a string holds, has lines.
+LINE_IDS = 1 << 31
 #: Tags of ``pages`` that are balanced on every page.
 BALANCED = ["ul", "li", "a", "nav"]
 
@@ -58,8 +60,8 @@ def doc_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as regions, numbered by document and line; canonical: white space collapsed."""
     docs = _table(spark, sf_dir, "documents")
-    lines = scan_lines(docs, "doc_id", "text").join(docs.select(F.col("doc_id").alias("id"), "source"), "id")
-    number = (F.col("id") * 1_000_000 + F.col("line_no")).cast("long")
+    lines = scan_lines(docs, "doc_id", "text", keep=("source",))
+    number = (F.col("id") * LINE_IDS + F.col("line_no")).cast("long")
     return lines.select(number.alias("candidate_id"), _side("id").alias("kind"), F.col("source").alias("filename"), F.col("line").alias("raw_text"), collapse_space(F.col("line")).alias("canonical_text"))
 
 
@@ -74,7 +76,7 @@ _LINES = f"""
     raw_lines AS (SELECT doc_id, source, unnest(string_split(regexp_replace(text, '\\n\\z', ''), chr(10))) AS line,
                          generate_subscripts(string_split(regexp_replace(text, '\\n\\z', ''), chr(10)), 1) AS line_no
                   FROM documents WHERE text <> ''),
-    regions AS (SELECT doc_id * 1000000 + line_no AS candidate_id, CASE WHEN doc_id % 2 = 0 THEN 'delete' ELSE 'insert' END AS kind,
+    regions AS (SELECT doc_id * {LINE_IDS} + line_no AS candidate_id, CASE WHEN doc_id % 2 = 0 THEN 'delete' ELSE 'insert' END AS kind,
                        source AS filename, line AS raw_text, {_COLLAPSE.format('line')} AS canonical_text FROM raw_lines),
     candidates AS (SELECT * FROM regions WHERE regexp_matches(raw_text, '[^{_WS}]') AND strlen(raw_text) >= 2)"""
 _COUNTS = """
@@ -132,11 +134,13 @@ _FNV = """list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform
 
 @_query("fnv_hash", f"SELECT n_nationkey, CAST({_FNV.format('n_name')} AS VARCHAR) AS hash FROM nation")
 def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return _table(spark, sf_dir, "nation").select("n_nationkey", fnv1a64(F.col("n_name")).cast("string").alias("hash"))
 
 
-@_query("fnv_hash_lines")
+@_query("fnv_hash_lines", f"SELECT item_id, CAST({_FNV.format('text')} AS VARCHAR) AS hash FROM benchmark")
 def fnv_hash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return _table(spark, sf_dir, "benchmark").select("item_id", fnv1a64(F.col("text")).cast("string").alias("hash"))
 
 
@@ -185,7 +189,7 @@ _ALL = "SELECT d.candidate_id AS del_id, i.candidate_id AS ins_id FROM candidate
 
 @_query("all_pairs", f"WITH {_LINES} {_ALL}")
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.all_pairs(line_candidates(spark, sf_dir))
+    return M.all_pairs(line_candidates(spark, sf_dir), cap=None)
 
 
 @_query(
@@ -432,7 +436,8 @@ def sliding_line_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "preview",
-    f"""SELECT doc_id, CASE WHEN strlen({_COLLAPSE.format('text')}) > 60 THEN substr({_COLLAPSE.format('text')}, 1, 60) || '...' ELSE {_COLLAPSE.format('text')} END AS shown FROM documents""",
+    f"""SELECT doc_id, CASE WHEN strlen(t) > 60 THEN left(t, list_max(list_filter(range(0, 61), lambda k: strlen(left(t, k)) <= 60))) || '...' ELSE t END AS shown
+        FROM (SELECT doc_id, {_COLLAPSE.format('text')} AS t FROM documents)""",
 )
 def preview_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", preview(F.col("text")).alias("shown"))

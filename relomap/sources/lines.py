@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scan_lines(texts: DataFrame, id_col: str, text_col: str, strip_cr: bool = False) -> DataFrame:
-    """``id``, ``line_no`` from 1, ``line``. The end of a last line that is ended by a line feed opens no further line."""
-    lines = texts.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\n\\z", ""), "\n", -1)).alias("_n", "line"), (F.coalesce(F.col(text_col), F.lit("")) == "").alias("_none"))
+def scan_lines(texts: DataFrame, id_col: str, text_col: str, strip_cr: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, ``line_no`` from 1, ``line``, and the columns ``keep`` of the text. The end of a last line that is ended by a
+    line feed opens no further line."""
+    lines = texts.select(F.col(id_col).alias("id"), *keep, F.posexplode(F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\n\\z", ""), "\n", -1)).alias("_n", "line"), (F.coalesce(F.col(text_col), F.lit("")) == "").alias("_none"))
     line = F.regexp_replace("line", "\r\\z", "") if strip_cr else F.col("line")
-    return lines.where("NOT _none").select("id", (F.col("_n") + 1).cast("long").alias("line_no"), line.alias("line"))
+    return lines.where("NOT _none").select("id", (F.col("_n") + 1).cast("long").alias("line_no"), line.alias("line"), *keep)
 
 
 def read_lines(spark: SparkSession, path: str, strip_cr: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 This goes beyond batch detection: each micro-batch replaces the files it mentions. Versions of the table are folders
 ``v=<n>``; the last complete one is current, so a batch that is run again after a failure writes the same version anew.
+A batch reads the version before it; older ones are deleted, so two are kept.
 """
 
 from __future__ import annotations
@@ -25,6 +26,13 @@ def _folders(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[2:]) for n in done)
 
 
+def _forget(spark: SparkSession, path: str, versions: list[int]) -> None:
+    jvm = spark.sparkContext._jvm
+    for v in versions:
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The last complete version, or the last before a given one; None if there is none."""
     versions = [v for v in _folders(spark, path) if before is None or v < before]
@@ -43,6 +51,7 @@ def apply_batch(path: str):
         order = ("filename", "canonical_text", "kind", "raw_text")
         updated = number_candidates(candidates, *order) if known is None else replace_files(known, candidates, *order)
         updated.select(*COLUMNS).write.mode("overwrite").parquet(f"{path}/v={number}")
+        _forget(spark, path, [v for v in _folders(spark, path) if v < number][:-1])
 
     return apply
 

@@ -16,8 +16,15 @@ _MASK = (1 << 33) - 1
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given; a temporary one only where both
+    are unset and all executors are threads of this process, as in tests."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        given = context._jsc.sc().getCheckpointDir()
+        root = given.get() if given.isDefined() else None
+    if not root and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (root or _make_own_root()).rstrip("/")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from relomap.plans.catalogue import ORACLE_SQL, QUERIES
+from relomap.plans.diff_catalogue import ORACLE_SQL, QUERIES
 from tests.compare import connect, same
 
 

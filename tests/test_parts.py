@@ -25,6 +25,7 @@ def test_text(spark):
     assert v(text.has_content(F.lit(" \n"))) is False
     assert v(text.has_content(F.lit(""))) is False
     assert v(text.preview(F.lit("a  b" * 30), 10)) == "a ba ba ba..."
+    assert v(text.preview(F.lit("éééé"), 5)) == "éé..." and v(text.preview(F.lit("éééé"), 8)) == "éééé" and v(text.preview(F.lit("中"), 2)) == "..."
     assert v(text.pad_right(F.lit("abc"), 2)) == "abc"
     assert v(text.pad_left(F.lit("7"), F.lit(3))) == "  7"
     assert tuple(v(text.split_filename(F.lit("a|b|c")))) == ("a", "b|c")
@@ -49,13 +50,15 @@ def fnv(data: bytes) -> int:
 
 
 def test_hashes(spark):
-    for s in ("", "a", "T(int)T(b;)", "é中"):
-        assert int(value(spark, hashing.fnv1a64(F.lit(s)))) == fnv(s.encode())
     from relomap.session import ship
 
     ship(spark)
+    texts = ["", "a", "T(low)T(moon)", "é中", None, "z" * 3000] + ["q" * (i % 70) for i in range(300)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", hashing.fnv1a64(F.col("t")).alias("v")).collect()
+    assert [None if r.v is None else int(r.v) for r in got] == [None if t is None else fnv(t.encode()) for t in texts]
     ids = [r.v for r in spark.range(3).select(hashing.move_id(F.col("id")).alias("v")).collect()]
-    assert ids[:2] == ["97b1dcdaf", "c89025cc1"] and len(set(ids)) == 3
+    assert ids[:2] == ["97b1dcdaf", "c89025cc1"] and len(set(ids)) == 3  # fixed values
+    assert value(spark, hashing.move_id(F.lit(None).cast("long"))) is None
 
 
 ROWS = [(0, "f", "delete", "x", True), (1, "f", "insert", "x", True), (2, "g", "insert", "x", True), (3, "g", "delete", "y", True), (4, "g", "insert", "y", True), (5, "h", "delete", "z", True), (6, "h", "insert", "w", True), (7, "h", "insert", "w", False)]
@@ -157,6 +160,25 @@ def test_lines(spark, tmp_path):
     assert read_json(spark, str(tmp_path / "f.json")).first().a == [1, 2]
 
 
+def test_scratch_folder(spark, tmp_path):
+    from relomap.tables import scratch_root
+
+    class Cluster:
+        """A session of a cluster that names no shared folder."""
+
+        conf = spark.conf
+        sparkContext = type("Context", (), {"getConf": spark.sparkContext.getConf, "_jsc": spark.sparkContext._jsc, "master": "spark://host:7077"})()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch_root(Cluster())
+    assert scratch_root(spark).startswith("file://")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert scratch_root(Cluster()) == str(tmp_path)
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
 def test_stream(spark, tmp_path):
     schema = "filename string, kind string, canonical_text string, raw_text string"
     source, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "check"))
