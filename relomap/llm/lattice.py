@@ -18,7 +18,6 @@ bounded number) from a broadcast table, all others by a shuffle.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -30,7 +29,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import hashed_share, lean, row_ids, text_of, tune, written
+from relomap.llm.common import flat_bytes, hashed_share, lean, mix64, row_ids, text_of, tune, written
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 #: Texts have A to Z in lower case only, so a piece with one of them occurs in no word.
@@ -38,7 +37,7 @@ _CAPITAL = re.compile(rb"[A-Z]")
 #: Bytes of marked words whose lattices are worked on together.
 STRETCH = 1 << 16
 #: Distinct words that a worker's table holds besides the broadcast ones, and that a partial count holds.
-TABLE = 100_000
+TABLE = 200_000
 
 
 @dataclass(frozen=True)
@@ -283,26 +282,55 @@ def words_of(text: str) -> list[bytes]:
 
 
 #: Hash buckets of words by which classes are told apart, and texts whose bucket counts are held at once.
-BUCKETS, GRID = 4096, 256
+BUCKETS, GRID, SLICE = 4096, 256, 1 << 20
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_GAP = np.zeros(256, dtype=bool)
+_GAP[[32, 9, 10, 11, 12, 13]] = True
+
+
+class _Hasher:
+    """Buckets of the words of texts given as bytes end to end, without making the words."""
+
+    def __init__(self) -> None:
+        self.power = self.inverse = np.ones(1, dtype=np.uint64)
+
+    def __call__(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's bucket and text."""
+        n = len(flat)
+        if len(self.power) < n + 1:
+            self.power = np.cumprod(np.full(n + 1, _STEP, dtype=np.uint64))
+            self.inverse = np.cumprod(np.full(n + 1, pow(int(_STEP), -1, 1 << 64), dtype=np.uint64))
+        inside, first = ~_GAP[flat], np.zeros(n + 1, dtype=bool)
+        first[offsets[:-1]] = True  # a text's first byte follows nothing
+        begin = np.flatnonzero(inside & (~np.concatenate([[False], inside[:-1]]) | first[:-1]))
+        end = np.flatnonzero(inside & (~np.append(inside[1:], False) | np.append(first[1:-1], True))) + 1 if n else begin
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((_LOWER[flat].astype(np.uint64) + np.uint64(1)) * self.power[:n])])
+        bucket = mix64((sums[end] - sums[begin]) * self.inverse[begin]) % np.uint64(BUCKETS)
+        return bucket.astype(np.int64), np.searchsorted(offsets, begin, side="right") - 1
 
 
 def _buckets(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % BUCKETS
+    return _Hasher()(np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum([0, *map(len, words)]))[0]
 
 
-def _bucket_grid(texts: list[str]) -> Iterator[tuple[list[list[bytes]], np.ndarray]]:
-    """Words of texts, and how many of each text's words are in each bucket, by ``GRID`` texts at a time."""
-    for i in range(0, len(texts), GRID):
-        cut = [words_of(t) for t in texts[i : i + GRID]]
-        at = _buckets([w for c in cut for w in c])
-        owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-        yield cut, np.bincount(owner * BUCKETS + at, minlength=len(cut) * BUCKETS).reshape(-1, BUCKETS).astype(np.float32)
+def _bucket_grids(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """By groups of texts the first one's place, and how many of each text's words are in each bucket."""
+    flat, offsets = flat_bytes(column)
+    hasher, i = _Hasher(), 0
+    while i < len(column):  # at most GRID texts and about SLICE bytes, unless one text is longer
+        j = min(i + GRID, max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1))
+        at, owner = hasher(flat[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield i, np.bincount(owner * BUCKETS + at, minlength=(j - i) * BUCKETS).reshape(-1, BUCKETS).astype(np.float64)
+        i = j
 
 
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, grid in _bucket_grid(batch.column(0).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(list(grid), type=pa.list_(pa.float32()))], ["row"])
+        for _, grid in _bucket_grids(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(list(grid.astype(np.float32)), type=pa.list_(pa.float32()))], ["row"])
 
 
 def seed_classes(rows: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
@@ -349,7 +377,7 @@ def reseeded(texts: DataFrame, weights: np.ndarray) -> np.ndarray:
         logw = shared.value
         sums = np.zeros(logw.shape)
         for batch in batches:
-            for _, grid in _bucket_grid(batch.column(0).to_pylist()):
+            for _, grid in _bucket_grids(batch.column(0)):
                 grid = grid[grid.any(axis=1)]
                 score = grid @ logw[:, :-1].T + logw[:, -1]
                 share = np.exp(score - score.max(axis=1, keepdims=True))
@@ -388,10 +416,10 @@ def word_counts(texts: DataFrame, seeds: np.ndarray) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words, type=pa.binary()), pa.array([kind] * len(n), type=pa.int32()), pa.array(n, type=pa.int64())], ["word", "kind", "c"])
 
         for batch in batches:
-            for cut, grid in _bucket_grid(batch.column(0).to_pylist()):
+            for first, grid in _bucket_grids(batch.column(0)):
                 kinds = (grid @ shared.value[:, :-1].T + shared.value[:, -1]).argmax(axis=1).tolist()
-                for words, kind in zip(cut, kinds, strict=True):
-                    held[kind].update(words)
+                for text, kind in zip(batch.column(0).slice(first, len(grid)).to_pylist(), kinds, strict=True):
+                    held[kind].update(words_of(text))
                     ended[kind] += 1
                     if sum(map(len, held)) > TABLE:
                         yield from map(out, range(len(held)))
