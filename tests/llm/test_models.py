@@ -331,6 +331,18 @@ def test_scores_awkward(spark):
     assert rows(score_documents(docs, F.lit(True), o).where("doc_id = 4").select("n_tokens")) == [(1,)]
 
 
+def test_buckets_are_those_of_the_words():
+    from relomap.llm import lattice
+
+    texts = ["The cat  sat\n", "", "x", None, " Éa\tTHE the", "end", "end ", "\x0b\x0ca b"]
+    grids = np.concatenate([g for _, g in lattice._bucket_grids(pa.array(texts))])
+    for text, grid in zip(texts, grids, strict=True):
+        words = words_of(text or "")
+        assert grid.sum() == len(words)
+        own = lattice._buckets([b" " + w + b" " for w in words])  # white space around a word is no part of it
+        assert (np.bincount(own, minlength=lattice.BUCKETS) == grid).all() and (own == lattice._buckets(words)).all()
+
+
 def test_classes_are_estimated_over_all_texts(spark):
     """A language that no seed text has gets a class of its own weights, and its texts go there together."""
     from relomap.llm.lattice import BUCKETS, _bucket_rows, _buckets, reseeded, seed_classes, word_counts
