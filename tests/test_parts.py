@@ -160,23 +160,21 @@ def test_lines(spark, tmp_path):
     assert read_json(spark, str(tmp_path / "f.json")).first().a == [1, 2]
 
 
-def test_scratch_folder(spark, tmp_path):
-    from relomap.tables import scratch_root
+def test_scratch_folder():
+    from types import SimpleNamespace as Fake
 
-    class Cluster:
-        """A session of a cluster that names no shared folder."""
+    from relomap.tables import scratch_root
 
-        conf = spark.conf
-        sparkContext = type("Context", (), {"getConf": spark.sparkContext.getConf, "_jsc": spark.sparkContext._jsc, "master": "spark://host:7077"})()  # noqa: N815
+    def session(master, conf=None, given=None):
+        folder = Fake(isDefined=lambda: given is not None, get=lambda: given)
+        settings = Fake(get=lambda *_: conf)
+        return Fake(conf=settings, sparkContext=Fake(getConf=lambda: settings, master=master, _jsc=Fake(sc=lambda: Fake(getCheckpointDir=lambda: folder))))
 
     with pytest.raises(RuntimeError, match="checkpoint"):
-        scratch_root(Cluster())
-    assert scratch_root(spark).startswith("file://")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert scratch_root(Cluster()) == str(tmp_path)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+        scratch_root(session("spark://host:7077"))
+    assert scratch_root(session("local[2]")).startswith("file://")
+    assert scratch_root(session("spark://host:7077", conf="hdfs://a/b/")) == "hdfs://a/b"
+    assert scratch_root(session("spark://host:7077", given="hdfs://a/c")) == "hdfs://a/c"
 
 
 def test_stream(spark, tmp_path):
