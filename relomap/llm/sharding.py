@@ -102,9 +102,9 @@ def _even_out(items: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
         taken = np.rint(moved[:, :, 0] * mean[0]).astype(np.int64)
         # Of the exchanges that close most of the gap, the one that shifts tokens and rows least.
         off = np.abs(taken - gap / 2)
-        fits = off <= max(1.0, min(gap / 4, off.min() * 2 if off.size else 0))
-        if not off.size or not fits.any() or off.min() >= gap / 2:
+        if not off.size or off.min() >= gap / 2:
             break
+        fits = off <= max(1.0, off.min(), min(gap / 4, off.min() * 2))
         shift = np.where(fits, np.abs(moved[:, :, 1:]).sum(axis=2), np.inf)
         x, y = np.unravel_index(int(shift.argmin()), shift.shape)
         if not 0 < taken[x, y] < gap:
