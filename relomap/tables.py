@@ -56,6 +56,20 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
                 _written.remove((spark, path))
 
 
+def tables_so_far() -> int:
+    """A mark for ``forget_since``."""
+    return len(_written)
+
+
+def forget_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete the tables written after a mark but those to keep: what a finished step needed is of no further use."""
+    kept = {getattr(t, "_relomap_path", None) for t in keep}
+    for owner, path in _written[mark:]:
+        if owner is spark and path not in kept:
+            _remove(spark, path)
+            _written.remove((owner, path))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
