@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relomap.llm.catalogue import tokenizer_path
-from relomap.llm.common import free_name, written
+from relomap.llm.common import forget, free_name, written
 from relomap.llm.langid import UNKNOWN, fit_language, identify_language
 from relomap.llm.line_dedup import remove_repeated_lines
 from relomap.llm.ngram_join import keep_first
 from relomap.llm.packing import PackOptions, pack_documents
 from relomap.llm.quality import fit_quality, score_quality
+from relomap.tables import forget_since, tables_so_far
 
 #: Least mean posterior of a text's language; below it no language holds the text.
 LEAST_LANGUAGE = 0.3
@@ -78,8 +79,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the ``documents`` table."""
+    """Apply all stages to the ``documents`` table; what a stage has written for itself goes when its result is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(spark, stage(spark, docs, sf_dir), name)
+        mark = tables_so_far()
+        after = written(spark, stage(spark, docs, sf_dir), name)
+        forget_since(spark, mark, after)
+        forget(spark, docs)
+        docs = after
     return docs
