@@ -163,7 +163,11 @@ class WordSigner:
 
 def within_words(points: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, per: int, most: int) -> np.ndarray:
     """Whether lines ``left[k]`` and ``right[k]`` are within the word edits of the one with fewer words."""
-    words, at = word_hashes(points, offsets)
+    return within_growing(*word_hashes(points, offsets), left, right, per, most)
+
+
+def within_growing(words: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, per: int, most: int) -> np.ndarray:
+    """``within_words`` for lines given as the hashes of their words."""
     size = np.diff(at)
     edits = np.minimum(np.minimum(size[left], size[right]) // per, most)
     out = np.zeros(len(left), dtype=bool)

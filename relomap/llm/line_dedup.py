@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from relomap.llm.common import joined_by_size, lean, runs_of, text_of, tune, written
 from relomap.llm.components import Forest, components
-from relomap.llm.editjoin import Signer, WordSigner, within, within_words
+from relomap.llm.editjoin import Signer, WordSigner, within, within_growing, word_hashes
 
 #: ASCII white space but the line feed, which ends lines.
 _BLANK = " \t\x0b\x0c\r"
@@ -109,8 +109,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(o: LineOptions):
-    def alike(lines: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, words: bool) -> np.ndarray:
-        return within_words(*lines, a, b, o.words_per_edit, o.most_word_edits) if words else within(*lines, a, b, o.edits)
+    def units(texts: list[str], words: bool) -> tuple[np.ndarray, np.ndarray]:
+        lines = _code_points(texts)
+        return word_hashes(*lines) if words else lines
+
+    def alike(lines: tuple[np.ndarray, np.ndarray], a: list[int], b: list[int], words: bool) -> list[bool]:
+        pairs = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        return (within_growing(*lines, *pairs, o.words_per_edit, o.most_word_edits) if words else within(*lines, *pairs, o.edits)).tolist()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []
@@ -120,18 +125,15 @@ def _verify(o: LineOptions):
         spot: dict[int, int] = {}
 
         def flush() -> pa.RecordBatch:
-            lines = _code_points(texts)
-            a, b = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
-            near, kind = np.zeros(len(a), dtype=bool), np.array(by_words, dtype=bool)
+            forest, found = Forest(len(texts)), []
             for words in (False, True):
-                if (kind == words).any():
-                    near[kind == words] = alike(lines, a[kind == words], b[kind == words], words)
-            nodes = np.array(list(spot), dtype=np.int64)
-            forest, found = Forest(len(nodes)), []
-            for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
-                if forest.join(x, y):
-                    found.append((x, y))
-            pairs = nodes[np.array(found, dtype=np.int64).reshape(-1, 2)]
+                a, b = ([x for x, kind in zip(side, by_words, strict=True) if kind == words] for side in (left, right))
+                if a:
+                    found += [(x, y) for x, y, near in zip(a, b, alike(units(texts, words), a, b, words), strict=True) if near and forest.join(x, y)]
+            return out(found)
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            pairs = np.array(list(spot), dtype=np.int64)[np.array(found, dtype=np.int64).reshape(-1, 2)]
             texts.clear(), left.clear(), right.clear(), by_words.clear(), spot.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -157,24 +159,18 @@ def _verify(o: LineOptions):
                     yield flush()
                 continue
             yield flush()
-            forest = Forest(len(set(node.tolist())))
-            for at, i in enumerate(index.tolist(), 1):  # one index row at a time, with rows that are not linked to it yet
-                mine = place(node[i], text[i])
-                others = [place(node[j], text[j]) for j in order[at:] if side[i] == 2 or side[i] != side[j]]
-                root = forest.root(mine)
-                others = [x for x in dict.fromkeys(others) if forest.root(x) != root]
-                if not others:
-                    continue
-                lines = _code_points([texts[mine], *(texts[x] for x in others)])
-                near = alike(lines, np.zeros(len(others), dtype=np.int64), np.arange(1, len(others) + 1), words)
-                for x, ok in zip(others, near.tolist(), strict=True):
-                    if ok and forest.join(mine, x):
-                        left.append(mine)
-                        right.append(x)
-            nodes = np.array(list(spot), dtype=np.int64)
-            a, b = nodes[np.array(left, dtype=np.int64)], nodes[np.array(right, dtype=np.int64)]
-            texts.clear(), left.clear(), right.clear(), spot.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            spots = [place(n, t) for n, t in zip(node.tolist(), text, strict=True)]
+            lines, forest, found = units(texts, words), Forest(len(texts)), []
+            for at, i in enumerate(index.tolist(), 1):  # some index rows at a time, with rows that are not linked to them yet
+                root = forest.root(spots[i])
+                others = dict.fromkeys(spots[j] for j in order[at:] if side[i] == 2 or side[i] != side[j])
+                others = [x for x in others if forest.root(x) != root]
+                left += [spots[i]] * len(others)
+                right += others
+                if len(left) > 8000 or at == len(index):
+                    found += [(x, y) for x, y, near in zip(left, right, alike(lines, left, right, words), strict=True) if near and forest.join(x, y)]
+                    left.clear(), right.clear()
+            yield out(found)
         yield flush()
 
     return verify
