@@ -37,7 +37,7 @@ _CAPITAL = re.compile(rb"[A-Z]")
 #: Bytes of marked words whose lattices are worked on together.
 STRETCH = 1 << 16
 #: Distinct words that a worker's table holds besides the broadcast ones, and that a partial count holds.
-TABLE = 200_000
+TABLE = 150_000
 
 
 @dataclass(frozen=True)
@@ -502,27 +502,29 @@ def _scorer(pieces, common, end_log, log_prior, log_word, log_end):
         names, logp = pieces.value
         lattice, ids = Lattice(names, logp), row_ids()
         known_words, known_counts, known_marginals = common.value
-        index, others = _Index(), []
-        marginal, counts, logs_of = known_marginals, known_counts, np.log10(known_counts + 1.0)
+        index, others, first = _Index(), [], len(known_words)
+        room = first + TABLE  # grown where one batch needs more
+        marginal, counts, logs_of = np.empty((room, len(logp))), np.full(room, -1), np.zeros(room)
+        marginal[:first], counts[:first], logs_of[:first] = known_marginals, known_counts, np.log10(known_counts + 1.0)
 
         def reset() -> None:
-            nonlocal marginal, counts, logs_of
             index.clear(), others.clear()
-            index.update(zip(known_words, range(len(known_words)), strict=True))
-            marginal, counts, logs_of = known_marginals, known_counts, np.log10(known_counts + 1.0)
+            index.update(zip(known_words, range(first), strict=True))
 
         reset()
         for batch in batches:
-            if len(index) > len(known_words) + TABLE:
+            if len(index) > first + TABLE:
                 reset()
             cut = [words_of(t) for t in batch.column(1).to_pylist()]
             lengths = np.array([len(c) for c in cut], dtype=np.int64)
             at = np.fromiter(map(index.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(lengths.sum()))
             if index.fresh:
+                if len(index) > len(counts):
+                    more = len(index) + TABLE // 4 - len(counts)
+                    marginal = np.concatenate([marginal, np.empty((more, len(logp)))])
+                    counts, logs_of = np.append(counts, np.full(more, -1)), np.append(logs_of, np.zeros(more))
+                marginal[len(index) - len(index.fresh) : len(index)] = lattice.marginals(index.fresh)
                 others += index.fresh
-                marginal = np.concatenate([marginal, lattice.marginals(index.fresh)])
-                counts = np.concatenate([counts, np.full(len(index.fresh), -1)])
-                logs_of = np.concatenate([logs_of, np.zeros(len(index.fresh))])
                 index.fresh.clear()
             owner = np.repeat(np.arange(len(cut)), lengths)
             c, n = counts[at], len(cut)
@@ -536,7 +538,7 @@ def _scorer(pieces, common, end_log, log_prior, log_word, log_end):
             known = np.bincount(owner, c > 0, n).astype(np.int64)
             away = np.flatnonzero(c < 0)  # each text's other words once, with how often they occur in it
             once, many = np.unique(owner[away] * len(counts) + at[away], return_counts=True)
-            rare = [others[i] for i in (once % len(counts) - len(known_words)).tolist()]
+            rare = [others[i] for i in (once % len(counts) - first).tolist()]
             ends = pa.array(np.searchsorted(once, np.arange(n + 1) * len(counts)), type=pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(v, type=t)) for v, t in ((rare, pa.binary()), (many, pa.int64()))]
             rows = pa.array([next(ids) for _ in range(n)], type=pa.int64())
