@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from relomap.llm.common import joined_by_size, lean, runs_of, text_of, tune, written
 from relomap.llm.components import Forest, components
 from relomap.llm.editjoin import Signer, WordSigner, within, within_growing, word_hashes
+from relomap.tables import forget_since, tables_so_far
 
 #: ASCII white space but the line feed, which ends lines.
 _BLANK = " \t\x0b\x0c\r"
@@ -189,6 +190,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and line_no of its class's first occurrence), ``class_size`` (occurrences of the class's lines)."""
     spark, o = docs.sparkSession, options or LineOptions()
     tune(spark)
+    mark = tables_so_far()
     judged = _lines(docs, id_col, text_col).where("n_chars > 0")
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
     firsts = written(spark, judged.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "lines")
@@ -216,7 +218,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = linked.join(firsts, ["h1", "h2"]).groupBy("root").agg(F.min("first").alias("class_first"), F.sum("n").alias("class_n"))
     classed = linked.join(whole, "root").drop("root")
     found = firsts.join(classed, ["h1", "h2"], "left").select("h1", "h2", "n", F.coalesce("class_first", "first").alias("first"), F.coalesce("class_n", "n").alias("class_size"))
-    return written(spark, found, "line-classes")
+    classes = written(spark, found, "line-classes")
+    forget_since(spark, mark, classes)  # nothing else that was written here is read again
+    return classes
 
 
 def _with_classes(lines: DataFrame, classes: DataFrame, keep: bool) -> DataFrame:
