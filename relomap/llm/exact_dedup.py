@@ -3,7 +3,8 @@
 A text's fingerprint is the pair of values of its byte polynomial modulo two primes, at two bases. Chunks of a text are
 hashed in parallel (one matrix product for all chunks of a batch) and combined by length-shifted arithmetic:
 ``H(ab) = H(a) * base**len(b) + H(b)``, so a huge document needs no sequential pass. Texts with equal fingerprints are
-then compared chunk by chunk, in a stream over sorted partitions, with the text that represents their fingerprint.
+then compared chunk by chunk, in a stream over sorted partitions, with the text that represents their fingerprint. Only
+texts whose fingerprint may occur twice are dealt: a bitmap of the fingerprints of several rows says so, at every size.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import ASCII_SPACE, flat_bytes, joined_by_size, lean, text_of, tune, written
+from relomap.llm.common import ASCII_SPACE, HOT, flat_bytes, forget, joined_by_size, lean, text_of, tune, written
 
 #: Bytes of a chunk; the last chunk's bytes are aligned to the end of the text, so the first one may be short.
 CHUNK = 512
@@ -25,8 +26,10 @@ CHUNK = 512
 SLICE = 2 << 20
 #: Bytes that one step of the comparison looks at.
 COMPARE = 1 << 16
-#: Rows of one fingerprint that share a comparison partition.
+#: Rows of one hot fingerprint that share a comparison partition.
 ROWS_PER_SALT = 2000
+#: Words of 64 bits in the bitmap of fingerprints that several rows have; with more of these it lets more single rows pass.
+WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -118,7 +121,7 @@ def same_bytes(left: memoryview, right: memoryview) -> bool:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (fingerprint, salt, representative first): does each text equal its representative's?"""
+    """Rows sorted by (fingerprint, salt, representative first): does each text equal its representative's, the first one's?"""
     key, head = None, memoryview(b"")
     for batch in batches:
         if not batch.num_rows:
@@ -137,6 +140,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(keep)
 
 
+def _place() -> tuple[Column, Column]:
+    """Where a fingerprint stands in the bitmap: its word, and that word with its bit alone."""
+    mixed = F.xxhash64("fp")
+    return F.pmod(mixed, F.lit(WORDS)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(mixed, 58).cast("int")).alias("bit")
+
+
+def _bitmap(groups: DataFrame) -> DataFrame:
+    """``word``, ``bits`` of the fingerprints that several rows have: a row per word that is not 0."""
+    return groups.where("n > 1").select(*_place()).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def _parted(frame: DataFrame, bitmap: DataFrame, inside: bool) -> DataFrame:
+    """The rows of ``frame`` whose fingerprint is in the bitmap, or those whose is not; no row of ``frame`` is dealt."""
+    word, bit = _place()
+    placed = frame.withColumns({"word": word, "_bit": bit}).join(F.broadcast(bitmap), "word", "left")
+    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return placed.where(hit if inside else ~hit).select(*frame.columns)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", polynomial: Polynomial | None = None) -> DataFrame:
     """Group rows of equal text, white space aside, and choose the row of each group that stays.
 
@@ -164,19 +186,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = written(spark, rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("head"), F.min("sha").alias("sha")), "groups")
     spread = F.xxhash64("row")
 
-    # The group of a single row is that row.
-    alone = groups.where("n = 1").select(
+    bitmap = written(spark, _bitmap(groups), "bitmap")
+
+    # A fingerprint outside the bitmap has one row, which is its own group.
+    alone = _parted(groups, bitmap, False).select(
         F.col("head.c").alias("doc_id"), F.col("head.c").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
-    # Members of larger groups carry their texts; the representative goes to every salt of its fingerprint, ahead of the others.
-    members = joined_by_size(rows, groups.where("n > 1").drop("sha"), ["fp"], "n", total, spread)
-    salts = F.ceil(F.col("n") / ROWS_PER_SALT).cast("int")
-    is_head = F.col("head.d") == F.col("row")
-    members = members.withColumn("is_head", is_head).withColumn("_own", F.pmod(spread, salts).cast("int"))
-    members = members.withColumn("salt", F.explode(F.when(F.col("is_head"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array("_own"))))
+    # All other rows carry their texts to their fingerprint's partition, once, and few single rows with them. A hot
+    # fingerprint has several partitions: its representative goes to each of them, ahead of the others.
+    hot = groups.where(F.col("n") > max(total // HOT, 1000)).select("fp", F.ceil(F.col("n") / ROWS_PER_SALT).cast("int").alias("_salts"), F.col("head.d").alias("_head"))
+    members = _parted(rows, bitmap, True).join(F.broadcast(hot), "fp", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    members = members.withColumns({"is_head": F.coalesce(F.col("_head") == F.col("row"), F.lit(False)), "_own": F.pmod(spread, F.col("_salts")).cast("int")})
+    members = members.withColumn("salt", F.explode(F.when(F.col("is_head"), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array("_own"))))
     members = members.select("doc_id", "n_points", "sha", "fp", "row", "salt", "norm", (~F.col("is_head")).alias("tail"), (F.col("salt") == F.col("_own")).alias("own"))
     compared = members.repartition("fp", "salt").sortWithinPartitions("fp", "salt", "tail")
     checked = written(spark, compared.mapInArrow(lean(_compare), f"doc_id {kind}, n_points long, sha string, fp long, row long, same boolean"), "compared")
+    forget(spark, rows)
     # A row that differs from its representative (a collision) joins the rows with its own digest instead.
     checked = checked.withColumn("sub", F.when(F.col("same"), F.lit("")).otherwise(F.col("sha")))
     final = checked.groupBy("fp", "sub").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("head"))

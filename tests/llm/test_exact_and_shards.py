@@ -85,6 +85,32 @@ def test_hot_group(spark):
     assert rows(exact_dedup(table(spark, docs))) == brute(docs)
 
 
+def shuffled_bytes(spark) -> int:
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_of_single_rows_are_not_dealt(spark):
+    random.seed(6)
+    docs = [(i, random.randbytes(1500).hex(), "en", "s", 1) for i in range(2000)]
+    docs += [(10_000 + i, " " + docs[7 * i][1], "en", "s", 1) for i in range(60)]
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the groups were many
+    try:
+        given, before = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").cache(), shuffled_bytes(spark)
+        assert rows(exact_dedup(given)) == brute(docs)
+        assert shuffled_bytes(spark) - before < sum(len(d[1]) for d in docs) / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_bitmap_lets_single_rows_pass(spark, monkeypatch):
+    monkeypatch.setattr("relomap.llm.exact_dedup.WORDS", 1)  # many single rows are compared with themselves
+    docs = [(i, f"text {i if i % 3 else i % 60}", "en", "s", 1) for i in range(400)]
+    assert rows(exact_dedup(table(spark, docs))) == brute(docs)
+
+
 def check_shards(got, docs, shards, tolerance):
     by = defaultdict(list)
     assert sorted(r.size for r in got) == sorted(len((d[1] or "").encode()) + 8 for d in docs)
