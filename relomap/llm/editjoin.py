@@ -14,7 +14,7 @@ from relomap.llm.common import mix64
 _BASE = 0x9E3779B97F4A7C15
 #: Space, tab, vertical tab, form feed and carriage return part words; from this code point on (CJK and dense scripts
 #: after it) each code point is a word.
-_GAPS, _DENSE = np.array([32, 9, 11, 12, 13], dtype=np.uint32), 0x2E80
+_INSIDE, _DENSE = ~np.isin(np.arange(33), [32, 9, 11, 12, 13]), 0x2E80
 #: Code points of lines that are signed together, unless one line is longer.
 SLICE = 1 << 20
 #: Signatures that are made in one step.
@@ -114,7 +114,7 @@ def word_hashes(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         if len(power) < len(flat) + 1:
             power = np.cumprod(np.full(len(flat) + 1, _BASE, dtype=np.uint64))
             inverse = np.cumprod(np.full(len(flat) + 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64))
-        inside, cut = ~np.isin(flat, _GAPS), np.zeros(len(flat) + 1, dtype=bool)
+        inside, cut = (flat > 32) | _INSIDE[np.minimum(flat, 32)], np.zeros(len(flat) + 1, dtype=bool)
         cut[own] = True
         dense = np.flatnonzero(flat >= _DENSE)
         cut[dense] = cut[dense + 1] = True

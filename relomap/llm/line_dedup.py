@@ -13,21 +13,32 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relomap.llm.common import joined_by_size, lean, runs_of, text_of, tune, written
+from relomap.llm.common import flat_bytes, joined_by_size, lean, runs_of, text_of, tune, written
 from relomap.llm.components import Forest, components
 from relomap.llm.editjoin import Signer, WordSigner, within, within_growing, word_hashes
 from relomap.tables import forget_since, tables_so_far
 
 #: ASCII white space but the line feed, which ends lines.
 _BLANK = " \t\x0b\x0c\r"
-#: A signature's row has 63 bits of its line's hash; the sign bit is set in index rows, which so come first.
+#: A meeting row has up to 63 bits of its line's hash; the sign bit is set in index rows, which so come first.
 _WHO, _INDEX = (1 << 63) - 1, -(1 << 63)
+#: Signatures are dealt packed: so many bytes of the key, beside those bits of it that name the bucket, and of the line's
+#: hash. A key that two different ones become costs a comparison; two near lines whose hashes are equal would not meet.
+_KEY_BYTES, _LINE_BYTES = 5, 6
+_KEY, _LINE = (1 << 8 * _KEY_BYTES) - 1, (1 << 8 * _LINE_BYTES) - 1
+#: Signatures that a task packs together; signatures of a bucket, about, and the fewest bits of its number; signatures of a
+#: bucket that are looked at together.
+PACK, PER_BUCKET, LEAST_BITS, HELD = 1 << 20, 500_000, 10, 1 << 21
+#: Longs of a block of the bitmap of lines that met others, and the most blocks (32 MB in all).
+BLOCK_LONGS, MOST_BLOCKS = 1024, 4096
 
 
 @dataclass(frozen=True)
@@ -49,11 +60,44 @@ def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), dtype="<u4"), np.cumsum([0, *(len(r) >> 2 for r in raw)])
 
 
-def _sign(o: LineOptions):
-    """Signatures of lines; the lowest bit of a key tells those of words (1) from those of code points."""
+def _points_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``_code_points`` of a column, by one conversion of all its texts."""
+    flat, offsets = flat_bytes(column)
+    if not len(flat) or int(flat.max()) < 128:
+        return flat.astype(np.uint32), offsets
+    begins = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum((flat & 0xC0) != 0x80)])  # code points begin in all other bytes
+    return np.frombuffer(flat.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype="<u4"), begins[offsets]
+
+
+def _packed(key: np.ndarray, who: np.ndarray, index: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Signatures as a row for each bucket and role: ``bucket``, ``probe``, ``rows`` (byte by byte, the keys ascending)."""
+    key = key.view(np.uint64)
+    place = (key >> np.uint64(64 - bits)) << np.uint64(1) | (~index).astype(np.uint64)
+    order = np.argsort(place << np.uint64(8 * _KEY_BYTES) | key & np.uint64(_KEY))
+    place, key, who = place[order], key[order], who[order].view(np.uint64)
+    planes = np.concatenate([key.view(np.uint8).reshape(-1, 8)[:, _KEY_BYTES - 1 :: -1].T, who.view(np.uint8).reshape(-1, 8)[:, :_LINE_BYTES].T])
+    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, dtype=np.int64)
+    rows = [planes[:, a:b].tobytes() for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(place)], strict=bool(len(starts)))]
+    own = place[starts]
+    return pa.RecordBatch.from_arrays([pa.array((own >> np.uint64(1)).astype(np.int32)), pa.array(own & np.uint64(1) == 1), pa.array(rows, type=pa.binary())], ["bucket", "probe", "rows"])
+
+
+def _unpacked(bucket: int, index: list[bytes], probes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Key and who of packed rows of one bucket."""
+    both = _KEY_BYTES + _LINE_BYTES
+    planes = np.concatenate([np.frombuffer(r, dtype=np.uint8).reshape(both, -1) for r in (*index, *probes)], axis=1)
+    key, who = (np.zeros((planes.shape[1], 8), dtype=np.uint8) for _ in range(2))
+    key[:, _KEY_BYTES - 1 :: -1], who[:, :_LINE_BYTES] = planes[:_KEY_BYTES].T, planes[_KEY_BYTES:].T
+    key, who = (x.view(np.int64).ravel() for x in (key, who))
+    who[: sum(map(len, index)) // both] |= _INDEX
+    return key | (bucket << 8 * _KEY_BYTES), who
+
+
+def _sign(o: LineOptions, bits: int):
+    """Packed signatures of lines; the lowest bit of a key tells those of words (1) from those of code points."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, seen = Signer(o.edits), set()
+        signer, seen, ready, size = Signer(o.edits), set(), [], 0
         by_words = WordSigner(o.words_per_edit, o.most_word_edits) if o.words_per_edit else None
         for batch in batches:
             h1, h2 = (batch.column(i).to_numpy() for i in (1, 2))
@@ -64,49 +108,98 @@ def _sign(o: LineOptions):
                 if key not in seen:
                     seen.add(key)
                     fresh.append(i)
-            lines = _code_points(batch.column(0).take(pa.array(fresh, type=pa.int64())).to_pylist())
+            lines = _points_of(batch.column(0).take(pa.array(fresh, type=pa.int64())))
             number, index, key = signer.sign(*lines)
             key &= ~1
             if by_words:
                 more = by_words.sign(*lines)
                 number, index, key = (np.concatenate(c) for c in zip((number, index, key), (*more[:2], more[2] | 1), strict=True))
-            row = np.array(fresh, dtype=np.int64)[number]
-            who = (h1[row] & _WHO) | np.where(index, _INDEX, 0)
-            for at in range(0, len(key), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(who[part])], ["key", "who"])
+            ready.append((key, h1[np.array(fresh, dtype=np.int64)[number]] & _LINE, index))
+            size += len(key)
+            if size >= PACK:
+                yield _packed(*(np.concatenate(c) for c in zip(*ready, strict=True)), bits)
+                ready, size = [], 0
+        if size:
+            yield _packed(*(np.concatenate(c) for c in zip(*ready, strict=True)), bits)
 
     return sign
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, who), those of keys that have an index row and rows of two lines or more.
+    """Of rows (key, who), those of keys that have an index row and rows of two lines or more.
 
-    What is held between batches is the end of a key's run that has shown one line so far: two rows at most.
+    A key's index rows are not in a later batch than its first probe. What is held between batches, for each key with an
+    index row, is one row where the key's others are given back already, else those of its one line: two at most.
     """
-    held, key, state = None, None, "open"
+    key, who, given = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
     for batch in batches:
-        if held is not None:
-            batch = pa.concat_batches([held, batch])
         if not batch.num_rows:
             continue
-        k, who = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (who[1:] != who[:-1])])
-        batch, k, who = batch.filter(pa.array(fresh)), k[fresh], who[fresh]
-        line, probe = who & _WHO, who >= 0
-        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        good = (np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts)) & ~probe[starts]
-        if held is None and k[0] == key:
-            good[0] = state == "open"
-        last = int(starts[-1])
-        held, decided = None, state if k[-1] == key and len(starts) == 1 and held is None else None
-        key = k[-1]
-        state = decided or ("open" if good[-1] else "skip" if probe[last] else "waiting")
-        if state == "waiting":
-            held = batch.slice(last)
-        out = batch.filter(pa.array(np.repeat(good, np.diff(np.append(starts, len(k))))))
-        if out.num_rows:
-            yield out
+        k, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        given = np.concatenate([given, np.zeros(len(k), dtype=bool)])
+        key, who = np.concatenate([key, k]), np.concatenate([who, w])
+        order = np.lexsort((~given, who, key))
+        key, who, given = key[order], who[order], given[order]
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])])
+        key, who, given = key[fresh], who[fresh], given[fresh]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        starts, line = np.flatnonzero(first), who & _WHO
+        sizes = np.diff(np.append(starts, len(key)))
+        indexed = who[starts] < 0
+        good = indexed & (np.logical_or.reduceat(given, starts) | (np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts)))
+        out = np.repeat(good, sizes) & ~given
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(who[out])], ["key", "who"])
+        held = np.repeat(indexed, sizes) & (first | ~np.repeat(good, sizes))
+        key, who, given = key[held], who[held], np.repeat(good, sizes)[held]
+
+
+def _meet_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_meet`` for packed rows sorted by (bucket, probe), bucket by bucket; large buckets some rows at a time."""
+
+    def parts(bucket: int, rows: Iterator[tuple[bool, bytes]]) -> Iterator[pa.RecordBatch]:
+        index, probes, size, whole = [], [], 0, True
+        for probe, packed in rows:
+            if size and size + len(packed) > HELD * (_KEY_BYTES + _LINE_BYTES):
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, _unpacked(bucket, index, probes))), ["key", "who"])
+                index, probes, size, whole = [], [], 0, False
+            (probes if probe else index).append(packed)
+            size += len(packed)
+        key, who = _unpacked(bucket, index, probes)
+        if whole:  # most keys occur once, and are not worth sorting
+            spot = key >> 1 & ((1 << 22) - 1)
+            some = np.flatnonzero(np.bincount(spot, minlength=1 << 22)[spot] > 1)
+            key, who = key[some], who[some]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(who)], ["key", "who"])
+
+    rows = ((b, p, r) for batch in batches for b, p, r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+    for bucket, own in groupby(rows, itemgetter(0)):
+        yield from _meet(parts(bucket, ((p, r) for _, p, r in own)))
+
+
+def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``block``, ``spot`` (a bit's number in the block) sorted by block to a row for each block: ``of``, ``bits``."""
+    for run in runs_of(batches, "block"):
+        grid = np.zeros(BLOCK_LONGS * 64, dtype=np.uint8)
+        grid[run.column("spot").to_numpy()] = 1
+        bits = np.packbits(grid, bitorder="little").view(np.int64)
+        yield pa.RecordBatch.from_arrays([run.column("block").combine_chunks()[:1], pa.array([bits], type=pa.list_(pa.int64()))], ["of", "bits"])
+
+
+def _known(lines: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """Rows of ``lines`` whose ``line_hash`` may be among those ``wanted`` (at most ``most``): all that are and few others.
+
+    By a broadcast bitmap of some 16 bits for each one, up to ``MOST_BLOCKS``; the fuller it is, the more others stay.
+    """
+    count = 1
+    while count < MOST_BLOCKS and count * BLOCK_LONGS * 64 < 16 * most:
+        count *= 2
+    block, spot = F.col("line_hash").bitwiseAND(count - 1), F.shiftright("line_hash", 16).bitwiseAND(BLOCK_LONGS * 64 - 1)
+    marked = wanted.select(block.alias("block"), spot.alias("spot")).repartition("block").sortWithinPartitions("block")
+    bitmap = marked.mapInArrow(lean(_bitmap), "of long, bits array<long>")
+    word = F.get("bits", F.shiftright(spot, 6).cast("int"))
+    bit = F.call_function("shiftright", word, spot.bitwiseAND(63).cast("int")).bitwiseAND(1)
+    return lines.join(F.broadcast(bitmap), (block == F.col("of")) & (bit == 1), "left_semi")
 
 
 def _verify(o: LineOptions):
@@ -128,8 +221,11 @@ def _verify(o: LineOptions):
         def flush() -> pa.RecordBatch:
             forest, found = Forest(len(texts)), []
             for words in (False, True):
-                a, b = ([x for x, kind in zip(side, by_words, strict=True) if kind == words] for side in (left, right))
-                if a:
+                # A pair once, under however many keys it meets, and not if it is linked already.
+                pairs = dict.fromkeys((x, y) for x, y, kind in zip(left, right, by_words, strict=True) if kind == words)
+                pairs = [(x, y) for x, y in pairs if forest.root(x) != forest.root(y)]
+                if pairs:
+                    a, b = map(list, zip(*pairs, strict=True))
                     found += [(x, y) for x, y, near in zip(a, b, alike(units(texts, words), a, b, words), strict=True) if near and forest.join(x, y)]
             return out(found)
 
@@ -195,13 +291,18 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
     firsts = written(spark, judged.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "lines")
 
-    signed = judged.where(F.col("n_chars") >= o.min_chars).select("line", "h1", "h2").mapInArrow(lean(_sign(o)), "key long, who long")
-    met = signed.repartition("key").sortWithinPartitions("key", "who").mapInArrow(lean(_meet), "key long, who long")
-    met = written(spark, met.select("key", F.col("who").bitwiseAND(F.lit(_WHO)).alias("line_hash"), (F.col("who") >= 0).alias("probe")), "met")
-    # The lines that meet others grow with the input, so this is a shuffle join at every size.
-    wanted = met.select("line_hash").distinct().hint("merge")
-    texts = judged.withColumn("line_hash", F.col("h1").bitwiseAND(F.lit(_WHO))).join(wanted, "line_hash", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("text"))
-    texts = written(spark, texts.withColumns({"node": F.monotonically_increasing_id(), "line_hash": F.col("h1").bitwiseAND(F.lit(_WHO))}), "candidates")
+    # Some 16 signatures a line; they are dealt in buckets of keys, packed, and sorted where they arrive.
+    bits = max(LEAST_BITS, (16 * (firsts.agg(F.sum("n")).first()[0] or 0) // PER_BUCKET).bit_length())
+    signed = judged.where(F.col("n_chars") >= o.min_chars).select("line", "h1", "h2").mapInArrow(lean(_sign(o, bits)), "bucket int, probe boolean, rows binary")
+    met = signed.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInArrow(lean(_meet_packed), "key long, who long")
+    # Large buckets are worked on in parts, and may give back a row for several copies of a line.
+    met = met.select("key", F.col("who").bitwiseAND(F.lit(_WHO)).alias("line_hash"), (F.col("who") >= 0).alias("probe")).distinct()
+    met = written(spark, met, "met")
+    # The lines that meet others grow with the input, so this is a shuffle join at every size, of lines that a bitmap picks.
+    wanted = written(spark, met.select("line_hash").distinct(), "wanted")
+    hashed = judged.select("h1", "h2", "line", F.col("h1").bitwiseAND(F.lit(_LINE)).alias("line_hash"))
+    texts = _known(hashed, wanted, wanted.count()).join(wanted.hint("merge"), "line_hash", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("text"))
+    texts = written(spark, texts.withColumns({"node": F.monotonically_increasing_id(), "line_hash": F.col("h1").bitwiseAND(F.lit(_LINE))}), "candidates")
 
     # A key's rows are compared in one task, or, if many, in blocks: each row goes to the block pairs that hold its block.
     blocks = F.ceil(F.col("rows") / o.block).cast("int")

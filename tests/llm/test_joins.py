@@ -333,3 +333,42 @@ def test_op5_links_long_near_copies(spark, tmp_path):
     far = ["changed" if i % 10 == 0 else w for i, w in enumerate(words)]
     table(spark, [(i, " ".join(w), "en", "s", 1) for i, w in enumerate((words, near, far))]).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.kept for r in op5_line_dedup(spark, str(tmp_path)).collect()} == {0: True, 1: False, 2: True}
+
+
+@pytest.mark.parametrize("held", [1 << 21, 40])
+def test_packed_signatures_meet(held, monkeypatch):
+    """Signatures take 11 bytes and a row for each bucket and role; what meets is the same, also where buckets come in parts."""
+    from relomap.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    rng = np.random.default_rng(3)
+    pool = rng.integers(-(1 << 63), (1 << 63) - 1, 900)
+    made, packed = [], []
+    for _ in range(5):  # five tasks
+        key, who, index = rng.choice(pool, 600), rng.integers(0, 1 << 48, 40)[rng.integers(0, 40, 600)], rng.random(600) < 0.4
+        packed.append(line_dedup._packed(key, who, index, 3))
+        made += [(k >> 61 << 40 | k & line_dedup._KEY, w | (_INDEX if i else 0)) for k, w, i in zip(key.view(np.uint64).tolist(), who.tolist(), index.tolist(), strict=True)]
+    sent = pa.Table.from_batches(packed).sort_by([("bucket", "ascending"), ("probe", "ascending")])
+    assert sent.num_rows == 5 * 16 and sum(len(r.as_py()) for r in sent.column("rows")) == 11 * len(made)
+    got = {tuple(r.values()) for b in line_dedup._meet_packed(iter(sent.to_batches(max_chunksize=7))) for r in b.to_pylist()}
+    lines, indexed = defaultdict(set), {k for k, w in made if w < 0}
+    for k, w in made:
+        lines[k].add(w & _WHO)
+    assert got == {(k, w) for k, w in made if k in indexed and len(lines[k]) > 1}
+
+
+def test_only_lines_that_met_are_dealt(spark):
+    from relomap.llm.line_dedup import _known
+
+    rows = spark.range(40_000).select(F.xxhash64("id").bitwiseAND(F.lit((1 << 48) - 1)).alias("line_hash"), "id")
+    wanted = rows.where("id % 10 = 3").select("line_hash")
+    got = [r.id for r in _known(rows, wanted, wanted.count()).collect()]
+    assert len(got) == len(set(got)) and {i for i in range(40_000) if i % 10 == 3} <= set(got) and len(got) < 8000
+
+
+def test_points_of_a_column():
+    from relomap.llm.line_dedup import _points_of
+
+    made = pa.array(["abc", "", "hé中", "\U0001d11ez", "  x"])
+    for column in (made, made.slice(1, 3), pa.array(["plain", "ascii"]), made.slice(0, 0)):
+        assert [x.tolist() for x in _points_of(column)] == [x.tolist() for x in _code_points(column.to_pylist())]
