@@ -1,7 +1,8 @@
 """Language-model scoring by subword lattice likelihood.
 
 The model draws pieces of an existing vocabulary independently, each as a last piece of its word or not; a text's
-probability is the sum over all ways to cut its marked words into pieces, by forward recursion in log space. The
+probability is the sum over all ways to cut its marked words into pieces, by forward recursion (in log space where plain
+numbers are too small). The
 vocabulary file fixes the pieces and their first weights (its scores are ranks, not probabilities, so weights fall with
 the rank); expectation-maximisation over the training texts' word counts then sets the probabilities. Pieces never cross
 words, so each distinct word's marginal is computed once and a text's is the sum over its words and the end.
@@ -36,6 +37,11 @@ _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _CAPITAL = re.compile(rb"[A-Z]")
 #: Bytes of marked words whose lattices are worked on together.
 STRETCH = 1 << 16
+#: Words of fewer bytes are summed as plain probabilities first. None of these sums exceeds 1, so what is lost to underflow
+#: (below 1e-307) is nothing beside a word's probability over ``TINY``; words of less are summed in log space.
+SHORT, TINY = 128, 1e-250
+#: Arcs whose shares are counted together.
+ARCS = 1 << 18
 #: Distinct words that a worker's table holds besides the broadcast ones, and that a partial count holds.
 TABLE = 150_000
 
@@ -105,6 +111,7 @@ class Lattice:
         self.codes, self.entry = codes[order], order.astype(np.int32)
         #: Entry by class, so that an arc's weights in all classes lie together.
         self.weights = np.ascontiguousarray(np.atleast_2d(logp).T)
+        self.chances = np.exp(self.weights)
         self.lengths = set(sizes.tolist())
         #: By the upper bits of a code the place of one such code, or -1; codes that share those bits are searched for.
         self.place = np.full(1 << 20, -1, dtype=np.int32)
@@ -138,28 +145,32 @@ class Lattice:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))  # type: ignore[return-value]
 
     @staticmethod
-    def _sweep(values: np.ndarray, source: np.ndarray, target: np.ndarray, n: np.ndarray, level: np.ndarray, weight: Callable[[np.ndarray], np.ndarray], carried: bool = False) -> None:
-        """Sum over the arcs into each node, level by level; with ``carried``, added to what the nodes hold already.
+    def _rounds(target: np.ndarray, n: np.ndarray, level: np.ndarray, nodes: int) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """Level by level the arcs into its nodes, dealt into rounds, and the rounds' sizes.
 
-        Arcs come by length ``n``, and a node has one arc of a length at most. A level's arcs are dealt into rounds, the
-        r-th arc of each node in round r, with the nodes of most arcs first: a round then is a run of rows that stands
-        beside the first nodes of the level.
+        Arcs come by length ``n``, and a node has one arc of a length at most. The r-th arc of each node is in round r,
+        with the nodes of most arcs first: a round then is a run of rows that stands beside the first nodes of the level.
         """
-        rank, degree = np.empty(len(n), dtype=np.int64), np.zeros(len(values), dtype=np.int64)
+        rank, degree = np.empty(len(n), dtype=np.int64), np.zeros(nodes, dtype=np.int64)
         cuts = [0, *(np.flatnonzero(n[1:] != n[:-1]) + 1).tolist(), len(n)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             rank[a:b] = degree[target[a:b]]
             degree[target[a:b]] += 1
         most = int(degree.max()) + 1
         round_ = level * most + rank
-        order = np.argsort((round_ * most + (most - degree[target])) * len(values) + target)
+        order = np.argsort((round_ * most + (most - degree[target])) * nodes + target)
         round_ = round_[order]
         begin = np.concatenate([[0], np.flatnonzero(round_[1:] != round_[:-1]) + 1])
-        sizes, opens = np.diff(np.append(begin, len(n))).tolist(), round_[begin] % most == 0
-        ends = np.append(np.flatnonzero(opens)[1:], len(begin)).tolist()
-        for first, last in zip(np.flatnonzero(opens).tolist(), ends, strict=True):
-            a, m = int(begin[first]), sizes[first]
-            arcs = order[a : int(begin[last]) if last < len(begin) else len(n)]
+        sizes, opens = np.diff(np.append(begin, len(n))).tolist(), np.flatnonzero(round_[begin] % most == 0)
+        ends = np.append(opens[1:], len(begin)).tolist()
+        for first, last in zip(opens.tolist(), ends, strict=True):
+            yield order[int(begin[first]) : int(begin[last]) if last < len(begin) else len(n)], sizes[first:last]
+
+    @classmethod
+    def _sweep(cls, values: np.ndarray, source: np.ndarray, target: np.ndarray, n: np.ndarray, level: np.ndarray, weight: Callable[[np.ndarray], np.ndarray], carried: bool = False) -> None:
+        """Log of the sum over the arcs into each node; with ``carried``, added to what the nodes hold already."""
+        for arcs, sizes in cls._rounds(target, n, level, len(values)):
+            m = sizes[0]
             into = target[arcs[:m]]
             x = values[source[arcs]] + weight(arcs)
             if m == 1 and len(arcs) > 1:
@@ -167,7 +178,7 @@ class Lattice:
                 x = (top + np.log(np.exp(x - top).sum(axis=0)))[None]
             elif len(arcs) > m:  # log of the sum over the arcs into a node, about their largest
                 top, rows, at = x[:m].copy(), [], m
-                for k in sizes[first + 1 : last]:
+                for k in sizes[1:]:
                     rows.append(x[at : at + k])
                     np.maximum(top[:k], rows[-1], out=top[:k])
                     at += k
@@ -178,6 +189,48 @@ class Lattice:
                 x = np.log(total, out=total) + top
             values[into] = np.logaddexp(values[into], x) if carried else x
 
+    def _chances(self, words: list[bytes]) -> np.ndarray:
+        """Probability of each of some short words in each class, 0 where it is too small for a number."""
+        s, n, entry, low, first, _ = self._joined(words)
+        to = s + n
+        values = np.zeros((int(to.max()) + 1, self.weights.shape[1]))
+        values[first] = 1.0
+        for arcs, sizes in self._rounds(to, n, low + n, len(values)):
+            x = values[s[arcs]]
+            x *= self.chances[entry[arcs]]
+            at = sizes[0]
+            for k in sizes[1:]:
+                x[:k] += x[at : at + k]
+                at += k
+            values[to[arcs[: sizes[0]]]] = x[: sizes[0]]
+        return values[np.append(first[1:] - 1, len(values) - 1)]
+
+    def _shares(self, words: list[bytes], kinds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some short words the arcs' places in ``expected``, what they add there, and which words are too improbable.
+
+        Nodes are numbered by place and then by word, so that those of a place lie together.
+        """
+        _, n, entry, low, _, owner = self._joined(words)
+        many = len(words)
+        w = self.chances[entry, kinds[owner]]
+        source = low * many + owner
+        target, level = source + n * np.int64(many), low + n
+        last = np.array([len(x) + 1 for x in words], dtype=np.int64)
+        top, ended = int(last.max()), last * many + np.arange(many)
+        alpha, beta = np.zeros((top + 1) * many), np.zeros((top + 1) * many)
+        alpha[:many], beta[ended] = 1.0, 1.0
+        for values, by, other, places in ((alpha, level, source, range(1, top + 1)), (beta, low, target, range(top - 1, -1, -1))):
+            order = np.argsort(by.astype(np.int16), kind="stable")
+            ends = np.cumsum(np.bincount(by, minlength=top + 1)).tolist()
+            own, far, weight = owner[order], other[order], w[order]
+            for p in places:
+                arcs = slice(ends[p - 1] if p else 0, ends[p])
+                values[p * many : (p + 1) * many] += np.bincount(own[arcs], values[far[arcs]] * weight[arcs], many)
+        total = alpha[ended]
+        fine = total > TINY
+        factor = np.where(fine, counts, 0.0) / np.where(fine, total, 1.0)
+        return kinds[owner].astype(np.int64) * len(self.weights) + entry, alpha[source] * w * beta[target] * factor[owner], ~fine
+
     @staticmethod
     def _groups(words: list[bytes]) -> Iterator[np.ndarray]:
         sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
@@ -185,20 +238,21 @@ class Lattice:
         ends, first = np.cumsum(sizes[order]), 0
         while first < len(order):
             before = int(ends[first - 1]) if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, before + STRETCH, side="right")))
+            last = int(np.searchsorted(ends, before + STRETCH, side="right"))
+            last = max(first + 1, min(last, int(np.searchsorted(sizes[order], 2 * sizes[order[first]], side="right"))))
             yield order[first:last]
             first = last
 
     def _joined(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Arcs of several words: start node, length, entry, place of start, and the words' first nodes."""
+        """Arcs of several words: start node, length, entry, place of start, the words' first nodes, and the arcs' words."""
         flat = np.frombuffer(b"".join(b" " + w for w in words), dtype=np.uint8)
         lengths = np.array([len(w) + 1 for w in words], dtype=np.int32)
         begin = (np.cumsum(lengths) - lengths).astype(np.int32)
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         place = np.arange(len(flat), dtype=np.int32) - begin[word]
         start, n, entry = self._arcs(flat, lengths[word] - place)
-        node = start + word[start]  # a word has a node more than bytes
-        return node, n, entry, place[start].astype(np.int64), begin + np.arange(len(words), dtype=np.int32)
+        owner = word[start]
+        return start + owner, n, entry, place[start].astype(np.int64), begin + np.arange(len(words), dtype=np.int32), owner  # a word has a node more than bytes
 
     def _stretches(self, word: bytes, back: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """Arcs of one long word by stretches of starts: first and last start, start node in the stretch, length, entry."""
@@ -225,10 +279,18 @@ class Lattice:
         out = np.zeros((len(words), self.weights.shape[1]))
         for group in self._groups(words):
             some = [words[i] for i in group.tolist()]
+            if len(some[-1]) < SHORT:
+                chance = self._chances(some)
+                fine = chance.min(axis=1) > TINY
+                out[group[fine]] = np.log(chance[fine])
+                group = group[~fine]
+                if not len(group):
+                    continue
+                some = [words[i] for i in group.tolist()]
             if len(some[0]) >= STRETCH:
                 out[group[0]] = self._forward(some[0], self.weights)
                 continue
-            s, n, entry, low, first = self._joined(some)
+            s, n, entry, low, first, _ = self._joined(some)
             alpha = np.full((int((s + n).max()) + 1, out.shape[1]), -np.inf)
             alpha[first] = 0.0
             self._sweep(alpha, s, s + n, n, low + n, lambda i, entry=entry: self.weights[entry[i]])
@@ -237,17 +299,27 @@ class Lattice:
 
     def expected(self, words: list[bytes], kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected piece counts by class, of words that occur ``counts`` times in classes ``kinds``."""
-        size = len(self.weights)
+        size, held, waiting = len(self.weights), [], 0
         out = np.zeros(self.weights.size)
         for group in self._groups(words):
             some = [words[i] for i in group.tolist()]
+            if len(some[-1]) < SHORT:
+                places, shares, left = self._shares(some, kinds[group], counts[group])
+                held.append((places, shares))
+                waiting += len(places)
+                if waiting > ARCS:
+                    out += np.bincount(*map(np.concatenate, zip(*held, strict=True)), len(out))
+                    held, waiting = [], 0
+                group = group[left]
+                if not len(group):
+                    continue
+                some = [words[i] for i in group.tolist()]
             if len(some[0]) >= STRETCH:
                 kind = int(kinds[group[0]])
                 out[kind * size : (kind + 1) * size] += self._expected_long(some[0], kind) * counts[group[0]]
                 continue
-            s, n, entry, low, first = self._joined(some)
+            s, n, entry, low, first, owner = self._joined(some)
             e = s + n
-            owner = np.searchsorted(first, s, side="right") - 1
             kind = kinds[group][owner]
             w = self.weights[entry, kind]
             alpha, beta = (np.full(int(e.max()) + 1, -np.inf) for _ in range(2))
@@ -257,6 +329,8 @@ class Lattice:
             self._sweep(beta, e, s, n, low.max() - low, w.__getitem__)
             share = np.exp(alpha[s] + w + beta[e] - alpha[last[owner]]) * counts[group][owner]
             out += np.bincount(kind * size + entry, share, len(out))
+        if held:
+            out += np.bincount(*map(np.concatenate, zip(*held, strict=True)), len(out))
         return out.reshape(-1, size)
 
     def _expected_long(self, word: bytes, kind: int) -> np.ndarray:

@@ -364,3 +364,26 @@ def test_classes_are_estimated_over_all_texts(spark):
     assert share(again) > 0.3 > 0.1 > share(seeds)
     kinds = {r.kind for r in word_counts(frame, again).collect() if r.word is not None and bytes(r.word).startswith(b"c")}
     assert len(kinds) == 1
+
+
+def test_short_words_are_summed_as_plain_numbers(monkeypatch):
+    """The same sums as in log space, which only words of too small a probability still need."""
+    from relomap.llm import lattice
+    from relomap.llm.lattice import Lattice
+
+    rng = np.random.default_rng(7)
+    pieces = sorted({bytes([b]) for b in range(256)} | {b" " + bytes(rng.choice(list(b"abc"), n).tolist()) for n in (1, 2, 3, 4)} | {bytes(rng.choice(list(b"abc"), n).tolist()) for n in (2, 3, 3, 4, 5)})
+    weights = rng.random((3, 2 * len(pieces))) * np.where(np.array([len(p) == 1 and p not in (b"a", b"b", b"c") for p in pieces * 2]), 1e-9, 1.0)
+    logp = np.stack([lattice.normalised(pieces, w) for w in weights])
+    words = [bytes(rng.choice(list(b"abc"), n).tolist()) for n in (*range(1, 40), 126, 127, 128, 300)]
+    small = [b"\xf0" * 60, b"\xf0" * 20 + b"a" * 90, b"a" * 90 + b"\xf0" * 35, b"\x00" * 127]
+    kinds, counts = rng.integers(0, 3, len(words + small)), rng.integers(1, 9, len(words + small)).astype(float)
+    got = Lattice(pieces, logp).marginals(words + small), Lattice(pieces, logp).expected(words + small, kinds, counts)
+    with monkeypatch.context() as patched:
+        patched.setattr(lattice, "SHORT", 0)
+        want = Lattice(pieces, logp).marginals(words + small), Lattice(pieces, logp).expected(words + small, kinds, counts)
+    assert want[0].min() < -800 and all(np.allclose(g, w, rtol=1e-9, atol=1e-9) for g, w in zip(got, want, strict=True))
+    monkeypatch.setattr(Lattice, "_sweep", None)
+    few = words[:39]
+    assert np.allclose(Lattice(pieces, logp).marginals(few), want[0][:39], rtol=1e-9)
+    assert np.isfinite(Lattice(pieces, logp).expected(few, kinds[:39], counts[:39])).all()
